@@ -16,14 +16,17 @@ def decode_genotype(gt: Column, heterozygous: str = "error") -> Column:
     """One observed allele per individual: 0, 1, NULL (not callable) or an error code.
 
     Any missing allele makes the individual uncallable. A mixed call is either
-    an error or uncallable, by ``heterozygous``.
+    an error or uncallable, by ``heterozygous``. The usual spellings come first
+    so that the patterns run only for rare ones.
     """
     if heterozygous not in ("error", "missing"):
         raise ValueError("heterozygous must be 'error' or 'missing'")
     unphased = F.translate(gt, "|", "/")
     mixed = F.lit(None).cast("int") if heterozygous == "missing" else F.lit(HETEROZYGOUS)
     return (
-        F.when(unphased.rlike(r"(^|/)\.(/|$)"), F.lit(None).cast("int"))
+        F.when(gt.isin("0", "0/0", "0|0"), F.lit(0))
+        .when(gt.isin("1", "1/1", "1|1"), F.lit(1))
+        .when(unphased.rlike(r"(^|/)\.(/|$)"), F.lit(None).cast("int"))
         .when(~unphased.rlike(r"^[0-9]+(/[0-9]+)*$"), F.lit(INVALID))
         .when(unphased.rlike(r"^0*0(/0*0)*$"), F.lit(0))
         .when(unphased.rlike(r"^0*1(/0*1)*$"), F.lit(1))

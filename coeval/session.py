@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -52,13 +53,49 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def write_through(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back.
+class RunFolder:
+    """Written tables of one run, named by step.
 
-    A Parquet table rather than ``checkpoint()`` keeps size statistics, so the
-    optimizer can still pick a broadcast side by measured bytes.
+    A step's table is written once and read back, which cuts lineage and
+    survives the loss of any executor. Parquet rather than ``checkpoint()``
+    keeps size statistics, so a broadcast side is still chosen by measured
+    bytes. Every random draw is a counter, so a resumed run that finds a step
+    already written continues exactly where the first run stopped.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | None = None,
+        identity: dict | None = None,
+        resume: bool = False,
+    ) -> None:
+        self.spark = spark
+        self.resume = resume
+        self.path = (path or f"{shared_folder(spark)}/run-{uuid.uuid4().hex}").rstrip("/")
+        if path is None:
+            return
+        text = json.dumps(identity or {}, sort_keys=True)
+        marker = f"{self.path}/identity"
+        if not self._exists(marker):
+            if self._exists(self.path):
+                raise FileExistsError(f"{self.path} exists and is not a run folder")
+            spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.text(marker)
+            return
+        if not resume:
+            raise FileExistsError(f"run folder already exists: {self.path}")
+        if spark.read.text(marker).first()["value"] != text:
+            raise ValueError("run folder belongs to a different run")
+
+    def _exists(self, path: str) -> bool:
+        jvm = self.spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+    def table(self, step: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the step's table, unless this run already has it."""
+        path = f"{self.path}/{step}"
+        if not (self.resume and self._exists(f"{path}/_SUCCESS")):
+            mode = "overwrite" if self.resume else "errorifexists"
+            df.write.mode(mode).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
