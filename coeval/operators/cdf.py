@@ -216,9 +216,13 @@ def set_cdf(members: DataFrame, changes: DataFrame, grid: Grid, keys: list[str])
 def wasserstein(
     cdf: DataFrame, target: DataFrame, grid: Grid, keys: list[str], name: str = "wasserstein"
 ) -> DataFrame:
-    """W1 between each CDF and ``target`` (bin, target_cdf): the last bin is ignored."""
+    """W1 between each CDF and ``target`` (bin, target_cdf): the last bin is ignored.
+
+    Key columns both sides hold pick each key's own target; a key only the
+    target holds compares every CDF with every target.
+    """
     gap = F.abs(F.col("cdf") - F.col("target_cdf")) * F.lit(grid.width)
-    on = [c for c in target.columns if c != "target_cdf"]
+    on = [c for c in target.columns if c != "target_cdf" and c in cdf.columns]
     return (
         cdf.join(target, on)
         .where(F.col("bin") < grid.bins - 1)

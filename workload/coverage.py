@@ -64,7 +64,7 @@ def maximum_age(spark, folder):
     ),
 )
 def coverage_totals(spark, folder):
-    return catalog.coverage_totals(v.sites(spark, folder))
+    return catalog.coverage_totals(v.built_sites(spark, folder))
 
 
 @register(
@@ -98,7 +98,7 @@ def bucket_statistics(spark, folder):
     with_views(["site"], "SELECT row_id, position FROM site WHERE valid AND eligible"),
 )
 def eligible(spark, folder):
-    return v.sites(spark, folder).where("valid AND eligible").select("row_id", "position")
+    return v.built_sites(spark, folder).where("valid AND eligible").select("row_id", "position")
 
 
 @register(

@@ -14,6 +14,7 @@ covers its whole source tables.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from coeval.functions.age import Grid
 from coeval.functions.rng import uniform
 from coeval.operators import catalog, cdf
+from coeval.session import RunFolder, shared_folder
 
 DRAWS = 8
 USABLE_FRACTION = 0.85
@@ -61,13 +63,38 @@ def mut(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def sites(spark: SparkSession, folder: str) -> DataFrame:
+def stored(name: str):
+    """Write a view once per application and data folder, then read it back.
+
+    The engine's samplers and scores read a built store, not raw tables; this
+    is that store for the given tables. Queries on the build itself call the
+    ``built_`` functions.
+    """
+
+    def wrap(build):
+        def read(spark: SparkSession, folder: str) -> DataFrame:
+            identity = hashlib.sha256(folder.encode()).hexdigest()[:12]
+            application = spark.sparkContext.applicationId
+            path = f"{shared_folder(spark)}/store-{application}-{identity}"
+            run = RunFolder(spark)
+            run.path, run.resume = path, True
+            return run.table(name, build(spark, folder))
+
+        return read
+
+    return wrap
+
+
+def built_sites(spark: SparkSession, folder: str) -> DataFrame:
     facts = mut(spark, folder)
     covered = catalog.site_coverage(catalog.per_draw_coverage(facts), DRAWS, USABLE_FRACTION)
     return catalog.union_catalog(facts).join(covered, "position")
 
 
-def intervals(spark: SparkSession, folder: str) -> DataFrame:
+sites = stored("sites")(built_sites)
+
+
+def built_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """Usable intervals keyed by ``row_id``, with each site's interval count."""
     facts = mut(spark, folder).where("above IS NOT NULL")
     counted = sites(spark, folder).select("row_id", "position", "usable_intervals")
@@ -76,8 +103,11 @@ def intervals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+intervals = stored("intervals")(built_intervals)
+
+
 def maximum_above(spark: SparkSession, folder: str) -> float:
-    return mut(spark, folder).agg(F.max("above")).first()[0]
+    return intervals(spark, folder).agg(F.max("above")).first()[0]
 
 
 def grid(spark: SparkSession, folder: str, width: float = WIDTH) -> Grid:
