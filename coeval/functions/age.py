@@ -54,6 +54,21 @@ def interval_cdf(below: Column, above: Column, point: Column, side: str = "right
     return F.when(above == below, reached.cast("double")).otherwise(ramp)
 
 
+def interval_cdf_text(point: float, side: str = "right") -> str:
+    """:func:`interval_cdf` of columns ``below`` and ``above`` as one text expression.
+
+    Used where many points become many aggregates.
+    """
+    if side not in ("left", "right"):
+        raise ValueError("side must be 'left' or 'right'")
+    at = f"{float(point)!r}D"
+    reached = ">=" if side == "right" else ">"
+    return (
+        f"CASE WHEN above = below THEN CAST({at} {reached} below AS DOUBLE) ELSE "
+        f"greatest(0D, least(1D, ({at} - CAST(below AS DOUBLE)) / (CAST(above AS DOUBLE) - CAST(below AS DOUBLE)))) END"
+    )
+
+
 def nearest_bin(age: Column, width: float) -> Column:
     """Index of the closest bin centre; a tie goes to the older bin."""
     return F.floor(age / F.lit(float(width)) + F.lit(0.5))

@@ -1,37 +1,28 @@
-"""Hypergeometric projection of (k derived, n callable) onto m chromosomes.
-
-Every binomial involved has at most ``m`` factors, so the products are short,
-stay far from overflow and need no log-gamma.
-"""
+"""Hypergeometric projection of (k derived, n callable) onto m chromosomes."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PROJECTION_SIZE = 20
 
 
-def _choose(a: Column, b: Column) -> Column:
-    """C(a, b) as a double for small ``b``; 0 when ``b`` exceeds ``a``."""
-    factors = F.sequence(F.lit(1), F.greatest(b, F.lit(1)))
-    product = F.aggregate(
-        factors,
-        F.lit(1.0),
-        lambda acc, i: acc * (a - b + i).cast("double") / i.cast("double"),
-    )
-    return F.when(b == 0, F.lit(1.0)).when(b > a, F.lit(0.0)).otherwise(product)
-
-
-def projection(k: Column, n: Column, m: int = PROJECTION_SIZE) -> Column:
-    """Array of ``m + 1`` probabilities of seeing j derived alleles in m draws.
+def projection_mass(k: str, n: str, j: str, m: int = PROJECTION_SIZE) -> Column:
+    """Probability of ``j`` derived alleles among ``m`` drawn from ``n`` holding ``k``.
 
-    Callers keep ``n >= m`` and ``0 <= k <= n``; see ``operators.spectrum``.
+    Written as m draws without replacement, ancestral ones first: each draw is
+    one factor, an impossible draw is a zero factor, and no binomial larger
+    than C(m, j) appears. The arguments name columns; the text form keeps the
+    long product a single expression. Callers keep ``n >= m`` and
+    ``0 <= k <= n``; see ``operators.spectrum``.
     """
-    whole = _choose(n.cast("bigint"), F.lit(m))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(m)),
-        lambda j: _choose(k.cast("bigint"), j)
-        * _choose((n - k).cast("bigint"), F.lit(m) - j)
-        / whole,
-    )
+    draws = [
+        f"CASE WHEN {i} < {m} - {j} THEN greatest({n} - {k} - {i}, 0)"
+        f" ELSE greatest({k} - ({i} - ({m} - {j})), 0) END / CAST({n} - {i} AS DOUBLE)"
+        for i in range(m)
+    ]
+    orders = ", ".join(f"{math.comb(m, i)}D" for i in range(m + 1))
+    return F.expr(" * ".join([f"element_at(array({orders}), {j} + 1)", *draws]))

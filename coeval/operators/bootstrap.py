@@ -11,6 +11,8 @@ from coeval.functions.rng import uniform
 from coeval.operators.cdf import accumulate, wasserstein
 from coeval.operators.ranks import MAX_ORDER_STATISTIC_ROWS, dense_row_ids
 
+TRACE_TILE = 1 << 16
+
 
 def bootstrap_counts(target: DataFrame, size: int, replicates: int, seed: int) -> DataFrame:
     """(replicate, target_idx, times): ``size`` draws with replacement per replicate.
@@ -80,13 +82,28 @@ def best_restart(restarts: DataFrame) -> DataFrame:
     )
 
 
-def running_best(trace: DataFrame, keys: list[str]) -> DataFrame:
-    """Best-so-far distance, improvement and stagnation per epoch of a trace."""
-    order = W.partitionBy(*keys).orderBy("epoch")
-    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    best = F.min("wasserstein").over(so_far)
-    traced = trace.withColumn("best_distance", best)
-    before = F.lag("best_distance").over(order)
-    return traced.withColumn(
-        "improvement", F.coalesce(before - F.col("best_distance"), F.lit(0.0))
+def running_best(trace: DataFrame, keys: list[str], tile: int = TRACE_TILE) -> DataFrame:
+    """Best-so-far distance and improvement per epoch of a trace.
+
+    Epochs are cut into tiles: the running minimum starts from the best of the
+    tiles before, so a trace of any length is spread over tasks.
+    """
+    cut = trace.withColumn("_tile", F.floor(F.col("epoch") / F.lit(tile)))
+    earlier = W.partitionBy(*keys).orderBy("_tile").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        cut.groupBy(*keys, "_tile")
+        .agg(F.min("wasserstein").alias("_best"))
+        .withColumn("_carry", F.min("_best").over(earlier))
+        .drop("_best")
+    )
+    within = W.partitionBy(*keys, "_tile").orderBy("epoch")
+    before = F.least(
+        F.col("_carry"), F.min("wasserstein").over(within.rowsBetween(W.unboundedPreceding, -1))
+    )
+    return (
+        cut.join(carried, [*keys, "_tile"])
+        .withColumn("_before", before)
+        .withColumn("best_distance", F.least("_before", "wasserstein"))
+        .withColumn("improvement", F.coalesce(F.col("_before") - F.col("best_distance"), F.lit(0.0)))
+        .drop("_tile", "_carry", "_before")
     )

@@ -5,10 +5,9 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.operators.ranks import POSITION_TILE, dense_row_ids
+from coeval.operators.ranks import POSITION_TILE, dense_row_ids, ordinal_in_group
 from coeval.schema import STATUS_ABSENT, STATUS_UNUSABLE, STATUS_USABLE
 
 
@@ -105,8 +104,7 @@ def coverage_totals(sites: DataFrame) -> DataFrame:
 
 def mutation_order(intervals: DataFrame) -> DataFrame:
     """Ordinal of each interval inside its site: draw order, then mutation order."""
-    order = W.partitionBy("row_id").orderBy("draw_id", "mutation_id")
-    return intervals.withColumn("ord", F.row_number().over(order) - 1)
+    return ordinal_in_group(intervals, ["row_id"], ["draw_id", "mutation_id"], "mutation_id")
 
 
 def bucket_statistics(row_intervals: DataFrame, rows: int, buckets: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.functions.age import Grid, interval_cdf, midpoint
+from coeval.functions.age import Grid, interval_cdf, interval_cdf_text, midpoint
 
 WIDE_POINTS = 64
 
@@ -27,10 +27,9 @@ def cdf_at(
     if weighting not in ("interval", "draw"):
         raise ValueError("weighting must be 'interval' or 'draw'")
     keys = keys or ["row_id"]
-    below, above = F.col("below").cast("double"), F.col("above").cast("double")
     if len(points) <= WIDE_POINTS:
         names = [f"_p{i}" for i in range(len(points))]
-        values = [interval_cdf(below, above, F.lit(float(p)), side) for p in points]
+        values = [F.expr(interval_cdf_text(p, side)) for p in points]
         if weighting == "interval":
             wide = intervals.groupBy(*keys).agg(*[F.avg(v).alias(n) for v, n in zip(values, names)])
         else:
@@ -40,15 +39,12 @@ def cdf_at(
                 .groupBy(*keys)
                 .agg(*[F.avg(n).alias(n) for n in names])
             )
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("point_idx"), F.lit(float(p)).alias("point"), F.col(n).alias("cdf")
-                )
-                for i, (p, n) in enumerate(zip(points, names))
-            ]
+        cells = ", ".join(
+            f"named_struct('point_idx', {i}, 'point', {float(p)!r}D, 'cdf', {n})"
+            for i, (p, n) in enumerate(zip(points, names))
         )
-        return wide.select(*keys, F.inline(cells))
+        return wide.select(*keys, F.expr(f"inline(array({cells}))"))
+    below, above = F.col("below").cast("double"), F.col("above").cast("double")
     literal = F.array(*[F.lit(float(p)) for p in points])
     long = intervals.select(*keys, "draw_id", "below", "above", F.posexplode(literal)).withColumnsRenamed(
         {"pos": "point_idx", "col": "point"}
@@ -193,19 +189,21 @@ def set_changes(members: DataFrame, changes: DataFrame, keys: list[str]) -> Data
     """Mean of member changes per set; repeated members count each time.
 
     Members are first counted per (set, row), then joined once to the changes.
+    Every site has exactly one change at bin 0, so the members counted there
+    are the size of the set.
     """
+    names = ("slope", "intercept", "complete")
     counted = members.groupBy(*keys, "row_id").agg(F.count("*").alias("_times"))
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("_size"))
     summed = (
         counted.join(changes, "row_id")
         .groupBy(*keys, "bin")
-        .agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in ("slope", "intercept", "complete")])
-    )
-    return summed.join(sizes, keys).select(
-        *keys,
-        "bin",
-        *[(F.col(c) / F.col("_size")).alias(c) for c in ("slope", "intercept", "complete")],
+        .agg(
+            *[F.sum(F.col(c) * F.col("_times")).alias(c) for c in names],
+            F.sum(F.when(F.col("bin") == 0, F.col("_times")).otherwise(0)).alias("_members"),
+        )
+        .withColumn("_size", F.max("_members").over(W.partitionBy(*keys)))
     )
+    return summed.select(*keys, "bin", *[(F.col(c) / F.col("_size")).alias(c) for c in names])
 
 
 def set_cdf(members: DataFrame, changes: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:

@@ -36,6 +36,31 @@ def dense_row_ids(positions: DataFrame, tile: int = POSITION_TILE) -> DataFrame:
     )
 
 
+def ordinal_in_group(
+    df: DataFrame, groups: list[str], order: list[str], tile_by: str, tile: int = POSITION_TILE
+) -> DataFrame:
+    """0-based ``ord`` of each row in its group, ordered by ``order``.
+
+    The last order column, ``tile_by``, is cut into tiles. Rows are ranked
+    inside (group, leading order columns, tile) and shifted by the counts of
+    the tiles before, so one huge group is ranked by many tasks.
+    """
+    lead = [c for c in order if c != tile_by]
+    cut = df.withColumn("_tile", F.floor(F.col(tile_by) / F.lit(tile)))
+    pieces = cut.groupBy(*groups, *lead, "_tile").agg(F.count("*").alias("_n"))
+    before = (
+        W.partitionBy(*groups).orderBy(*lead, "_tile").rowsBetween(W.unboundedPreceding, -1)
+    )
+    starts = pieces.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.row_number().over(W.partitionBy(*groups, *lead, "_tile").orderBy(tile_by))
+    return (
+        cut.withColumn("_rank", rank)
+        .join(starts, [*groups, *lead, "_tile"])
+        .withColumn("ord", F.col("_start") + F.col("_rank") - 1)
+        .drop("_tile", "_rank", "_start")
+    )
+
+
 def smallest_by_key(
     df: DataFrame,
     groups: list[str],

@@ -99,3 +99,25 @@ def candidate_problems(sites: DataFrame, candidates: DataFrame) -> DataFrame:
         .when(~F.col("eligible"), F.lit("ineligible"))
     )
     return joined.select("row_id", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def gather_intervals(requests: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Intervals of every request; repeats keep their own group, empty ones too.
+
+    The result is as long as the requests ask for, repeats included. To reduce
+    per request, use :func:`gather_summaries`.
+    """
+    return requests.join(intervals, "row_id", "left")
+
+
+def gather_summaries(requests: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Interval count and total width per request.
+
+    Sites are reduced before the join, so a busy site asked for many times
+    costs one row per request.
+    """
+    per_site = intervals.groupBy("row_id").agg(
+        F.count("*").alias("intervals"), F.sum(F.col("above") - F.col("below")).alias("width")
+    )
+    joined = requests.join(per_site, "row_id", "left")
+    return joined.withColumn("intervals", F.coalesce("intervals", F.lit(0)))

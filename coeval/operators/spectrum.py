@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.functions.hypergeom import PROJECTION_SIZE, projection
+from coeval.functions.hypergeom import PROJECTION_SIZE, projection_mass
 
 
 def callable_sites(counts: DataFrame, m: int = PROJECTION_SIZE) -> DataFrame:
@@ -19,17 +19,11 @@ def count_problems(counts: DataFrame) -> DataFrame:
     return counts.where((F.col("k") < 0) | (F.col("k") > F.col("n")))
 
 
-def project_pairs(counts: DataFrame, m: int = PROJECTION_SIZE) -> DataFrame:
-    """Each distinct eligible (k, n) with its projection, computed once."""
-    pairs = callable_sites(counts, m).select("k", "n").distinct()
-    return pairs.withColumn("projection", projection(F.col("k"), F.col("n"), m))
-
-
 def project_long(counts: DataFrame, m: int = PROJECTION_SIZE) -> DataFrame:
-    """(k, n, bin, mass) of the projections, endpoints 0 and m included."""
-    return project_pairs(counts, m).select(
-        "k", "n", F.posexplode("projection").alias("bin", "mass")
-    )
+    """(k, n, bin, mass) of each distinct eligible pair, endpoints 0 and m included."""
+    pairs = callable_sites(counts, m).select("k", "n").distinct()
+    cells = pairs.select("k", "n", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("bin"))
+    return cells.withColumn("mass", projection_mass("k", "n", "bin", m))
 
 
 def accumulate_spectra(
@@ -38,8 +32,8 @@ def accumulate_spectra(
     """Spectra and per-set diagnostics of member sites.
 
     Members meet their counts once and collapse to (set, k, n) multiplicities
-    before any projection is expanded, so the projection step costs distinct
-    pairs, not members. Repeated members count each time. Sites with too few
+    before any projection is evaluated, so that step costs distinct pairs, not
+    members. Repeated members count each time. Sites with too few
     callable samples are dropped; nothing is renormalised per site.
 
     Returns (keys, bin, raw) for bins 0..m and (keys, input_sites,
@@ -53,10 +47,11 @@ def accumulate_spectra(
         F.coalesce(F.sum(F.when(enough, F.col("_times"))), F.lit(0)).alias("eligible_sites"),
     )
     eligible = tallied.where(enough)
-    expanded = eligible.join(project_pairs(eligible, m), ["k", "n"]).select(
-        *keys, "_times", F.posexplode("projection").alias("bin", "_mass")
+    cells = eligible.select(
+        *keys, "k", "n", "_times", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("bin")
     )
-    spectra = expanded.groupBy(*keys, "bin").agg(F.sum(F.col("_mass") * F.col("_times")).alias("raw"))
+    mass = projection_mass("k", "n", "bin", m)
+    spectra = cells.groupBy(*keys, "bin").agg(F.sum(mass * F.col("_times")).alias("raw"))
     diagnostics = totals.withColumn("dropped", F.col("input_sites") - F.col("eligible_sites"))
     return spectra, diagnostics
 

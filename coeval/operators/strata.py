@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from coeval.functions.age import Grid
 
 PROBABILITY_STEPS = 20
+EDGES = "array<struct<edge:int,edge_cdf:double,label_age:double>>"
 
 
 def equal_mass_edges(target: DataFrame, grid: Grid, steps: int = PROBABILITY_STEPS) -> DataFrame:
@@ -23,21 +24,22 @@ def equal_mass_edges(target: DataFrame, grid: Grid, steps: int = PROBABILITY_STE
         "bin", (F.col("target_cdf") / F.last("target_cdf").over(by_bin.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("edge_cdf")
     ).withColumn("_before", F.coalesce(F.lag("edge_cdf").over(by_bin), F.lit(0.0)))
     probabilities = F.array(*[F.lit(i * (1.0 / steps)) for i in range(1, steps)])
-    reached = F.exists(
-        probabilities, lambda p: (p > F.col("_before")) & (p <= F.col("edge_cdf"))
-    )
-    final = F.col("bin") == grid.bins - 1
-    interior = scaled.where(reached | final).select(
+    reached = F.exists(probabilities, lambda p: (p > F.col("_before")) & (p <= F.col("edge_cdf")))
+    kept = reached | (F.col("bin") == grid.bins - 1)
+    edge = F.struct(
         (F.col("bin") + 1).cast("int").alias("edge"),
-        "edge_cdf",
+        F.col("edge_cdf").alias("edge_cdf"),
         (F.col("bin") * F.lit(grid.width)).alias("label_age"),
     )
-    first = (
-        scaled.where("bin = 0")
-        .select(F.lit(0).alias("edge"), F.lit(0.0).alias("edge_cdf"), F.lit(0.0).alias("label_age"))
+    first = F.struct(
+        F.lit(0).alias("edge"), F.lit(0.0).alias("edge_cdf"), F.lit(0.0).alias("label_age")
     )
+    starts = F.when(F.col("bin") == 0, F.array(first)).otherwise(F.array().cast(EDGES))
+    ends = F.when(kept, F.array(edge)).otherwise(F.array().cast(EDGES))
     age = (F.col("edge") - F.lit(0.5)) * F.lit(grid.width)
-    return first.unionByName(interior).select("edge", age.alias("age"), "label_age", "edge_cdf")
+    return scaled.select(F.inline(F.concat(starts, ends))).select(
+        "edge", age.alias("age"), "label_age", "edge_cdf"
+    )
 
 
 def strata(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from coeval.operators import catalog, parents
 from coeval.operators.ranks import POSITION_TILE
 from coeval.plans.validation import bad_intervals, require_none
+from coeval.session import RunFolder
 
 
 @dataclass
@@ -26,10 +27,11 @@ def interval_store_tables(
     draw_sites: DataFrame,
     mutations: DataFrame,
     draws: int,
+    run: RunFolder,
     min_usable_fraction: float = 0.1,
     tile: float = POSITION_TILE,
 ) -> IntervalStore:
-    """Lazy tables of the store.
+    """Tables of the store; only the aged mutations are written on the way.
 
     Mutations find their position, their parent at that position and the two
     node ages. Coverage counts every mutation; only those with a parent make an
@@ -38,7 +40,12 @@ def interval_store_tables(
     """
     placed = mutations.join(draw_sites, ["draw_id", "site_id"]).drop("site_id")
     aged = parents.with_ages(parents.mutation_parents(placed, edges, tile), nodes)
-    keyed = aged.withColumn("position", F.col("position").cast("bigint"))
+    keyed = run.table(
+        "aged-mutations",
+        aged.select(
+            F.col("position").cast("bigint").alias("position"), "draw_id", "mutation_id", "below", "above"
+        ),
+    )
     present = draw_sites.select(
         "draw_id", F.col("position").cast("bigint").alias("position")
     ).distinct()

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +17,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the call site of every column expression slows plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -53,6 +57,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class RunFolder:
     """Written tables of one run, named by step.
 
@@ -92,10 +99,29 @@ class RunFolder:
         target = jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
-    def table(self, step: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` as the step's table, unless this run already has it."""
+    def table(self, step: str, df: DataFrame | Callable[[], DataFrame]) -> DataFrame:
+        """Write ``df`` as the step's table, unless this run already has it.
+
+        A callable is built only when needed; the schema of a table written or
+        seen in this process is remembered, so reading back infers nothing.
+        """
         path = f"{self.path}/{step}"
-        if not (self.resume and self._exists(f"{path}/_SUCCESS")):
-            mode = "overwrite" if self.resume else "errorifexists"
-            df.write.mode(mode).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        schema = _SCHEMAS.get(path)
+        if schema is None or not self.resume:
+            frame = df() if callable(df) else df
+            schema = frame.schema
+            if not (self.resume and self._exists(f"{path}/_SUCCESS")):
+                mode = "overwrite" if self.resume else "errorifexists"
+                frame.write.mode(mode).parquet(path)
+            _SCHEMAS[path] = schema
+        return self.spark.read.schema(schema).parquet(path)
+
+
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """Range-partition and sort a fact table by its keys before it is written.
+
+    Later aggregates by the leading key then combine almost fully before their
+    shuffle. The trailing keys let a range boundary fall inside a huge group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)

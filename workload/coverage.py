@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coeval.functions import bits
 from coeval.operators import catalog, diversity, parents, resolution
+from coeval.session import RunFolder
 from workload import views as v
 from workload.registry import register
 from workload.views import settle, settle_sql, with_views
@@ -207,6 +208,25 @@ def coalesced_slabs(spark, folder):
     return diversity.coalesced_slabs(v.targets(spark, folder), gap=8)
 
 
+@register(
+    "t01_mutation_order",
+    """SELECT draw_id, mutations, CAST(mutations * (mutations - 1) / 2 AS BIGINT) AS ord_sum FROM (
+         SELECT l_suppkey AS draw_id, count(*) AS mutations FROM lineitem GROUP BY 1)""",
+)
+def mutation_order(spark, folder):
+    """Ordinals inside each group: 0..n-1 whatever the size of the group."""
+    rows = v.table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("row_id"),
+        F.lit(0).alias("draw_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mutation_id"),
+    )
+    return (
+        catalog.mutation_order(rows)
+        .groupBy(F.col("row_id").alias("draw_id"))
+        .agg(F.count("*").alias("mutations"), F.sum("ord").alias("ord_sum"))
+    )
+
+
 # --- Tree tables: as-of parents and interval facts ---------------------------
 
 
@@ -317,6 +337,7 @@ def interval_store_build(spark, folder):
         draw_sites=v.tree_sites(spark, folder),
         mutations=v.tree_mutations(spark, folder),
         draws=5,
+        run=RunFolder(spark),
         min_usable_fraction=0.6,
         tile=512,
     )

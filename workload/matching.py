@@ -39,10 +39,11 @@ def _with_boot(body, extra=None, views=()):
 
 
 def _target_parts(spark, folder):
+    """(grid, target rows, their number, their changes on the grid)."""
     grid = v.grid(spark, folder)
-    rows = bootstrap.index_targets(v.targets(spark, folder))
-    own = v.intervals(spark, folder).join(rows.select("row_id"), "row_id", "left_semi")
-    return grid, rows, rows.count(), cdf.row_changes(own, grid)
+    mine = v.targets(spark, folder)
+    own = v.intervals(spark, folder).join(mine, "row_id", "left_semi")
+    return grid, mine, mine.count(), cdf.row_changes(own, grid)
 
 
 @register("a21_bootstrap_counts", _with_boot("SELECT replicate, target_idx, times FROM boot"))
@@ -56,17 +57,19 @@ def bootstrap_counts(spark, folder):
     _with_boot(f"SELECT replicate, bin, {settle_sql('cdf', 7)} AS cdf FROM rep_cdf"),
 )
 def bootstrap_cdfs(spark, folder):
-    grid, rows, size, changes = _target_parts(spark, folder)
+    grid, mine, size, changes = _target_parts(spark, folder)
+    rows = bootstrap.index_targets(mine)
     counts = bootstrap.bootstrap_counts(rows, size, REPLICATES, v.SEED)
     means = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
     return means.withColumn("cdf", settle(F.col("cdf"), 7))
 
 
 def _distances(spark, folder):
-    grid, rows, size, changes = _target_parts(spark, folder)
+    grid, mine, size, changes = _target_parts(spark, folder)
+    rows = bootstrap.index_targets(mine)
     counts = bootstrap.bootstrap_counts(rows, size, REPLICATES, v.SEED)
     means = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
-    return bootstrap.bootstrap_distances(means, mean_target(rows, changes, grid), grid)
+    return bootstrap.bootstrap_distances(means, mean_target(mine, changes, grid), grid)
 
 
 @register(
@@ -112,8 +115,8 @@ _STRATA = {
 
 
 def _strata(spark, folder):
-    grid, rows, size, changes = _target_parts(spark, folder)
-    edges = strata.equal_mass_edges(mean_target(rows, changes, grid), grid)
+    grid, mine, size, changes = _target_parts(spark, folder)
+    edges = strata.equal_mass_edges(mean_target(mine, changes, grid), grid)
     return strata.largest_remainder(strata.strata(edges), size)
 
 
@@ -266,7 +269,8 @@ def best_restart(spark, folder):
 )
 def closest_seeds(spark, folder):
     """The two control sets nearest to each bootstrap replicate."""
-    grid, rows, size, changes = _target_parts(spark, folder)
+    grid, mine, size, changes = _target_parts(spark, folder)
+    rows = bootstrap.index_targets(mine)
     counts = bootstrap.bootstrap_counts(rows, size, REPLICATES, v.SEED)
     means = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
     every = cdf.row_changes(v.intervals(spark, folder), grid)

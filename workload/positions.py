@@ -155,15 +155,8 @@ def resolve_native(spark, folder):
     ),
 )
 def requested_intervals(spark, folder):
-    """Ragged gather: repeated requests keep their own group, empty ones too."""
+    """Every customer key asked for once per order; absent sites give empty groups."""
     wanted = v.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("request_index"), F.col("o_custkey").alias("row_id")
     )
-    return (
-        wanted.join(v.intervals(spark, folder), "row_id", "left")
-        .groupBy("request_index", "row_id")
-        .agg(
-            F.count("below").alias("intervals"),
-            F.sum(F.col("above") - F.col("below")).alias("width"),
-        )
-    )
+    return resolution.gather_summaries(wanted, v.intervals(spark, folder))

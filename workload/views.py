@@ -15,7 +15,7 @@ covers its whole source tables.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from coeval.functions.age import Grid
 from coeval.functions.rng import uniform
 from coeval.operators import catalog, cdf
-from coeval.session import RunFolder, shared_folder
+from coeval.session import RunFolder, clustered, shared_folder
 
 DRAWS = 8
 USABLE_FRACTION = 0.85
@@ -63,22 +63,23 @@ def mut(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def stored(name: str):
+def stored(name: str, *keys: str):
     """Write a view once per application and data folder, then read it back.
 
-    The engine's samplers and scores read a built store, not raw tables; this
-    is that store for the given tables. Queries on the build itself call the
-    ``built_`` functions.
+    The engine's operators read a built store and ready tree tables; this is
+    that store for the given tables. Queries on the build itself call the
+    ``built_`` functions. ``keys`` cluster a large table.
     """
 
     def wrap(build):
+        @wraps(build)
         def read(spark: SparkSession, folder: str) -> DataFrame:
             identity = hashlib.sha256(folder.encode()).hexdigest()[:12]
             application = spark.sparkContext.applicationId
-            path = f"{shared_folder(spark)}/store-{application}-{identity}"
             run = RunFolder(spark)
-            run.path, run.resume = path, True
-            return run.table(name, build(spark, folder))
+            run.path, run.resume = f"{shared_folder(spark)}/store-{application}-{identity}", True
+            make = lambda: clustered(build(spark, folder), *keys) if keys else build(spark, folder)
+            return run.table(name, make)
 
         return read
 
@@ -91,7 +92,7 @@ def built_sites(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.union_catalog(facts).join(covered, "position")
 
 
-sites = stored("sites")(built_sites)
+sites = stored("sites", "row_id")(built_sites)
 
 
 def built_intervals(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +104,7 @@ def built_intervals(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-intervals = stored("intervals")(built_intervals)
+intervals = stored("intervals", "row_id", "draw_id", "below")(built_intervals)
 
 
 def maximum_above(spark: SparkSession, folder: str) -> float:
@@ -114,12 +115,14 @@ def grid(spark: SparkSession, folder: str, width: float = WIDTH) -> Grid:
     return Grid.spanning(maximum_above(spark, folder), width)
 
 
+@stored("targets")
 def targets(spark: SparkSession, folder: str) -> DataFrame:
     small = table(spark, folder, "part").where(F.col("p_size") <= TARGET_MAX_SIZE)
     wanted = small.select((F.col("p_partkey") + 1).alias("position"))
     return sites(spark, folder).where("eligible").join(wanted, "position", "left_semi").select("row_id")
 
 
+@stored("candidates")
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     eligible = sites(spark, folder).where("eligible").select("row_id")
     return eligible.join(targets(spark, folder), "row_id", "left_anti")
@@ -165,6 +168,7 @@ def site_counts(spark: SparkSession, folder: str) -> DataFrame:
 SETS = 6
 
 
+@stored("control-sets")
 def control_sets(spark: SparkSession, folder: str) -> DataFrame:
     """(chain_index, sample_index, row_id): six overlapping candidate sets.
 
@@ -209,6 +213,7 @@ def tree_draws(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@stored("tree-nodes", "draw_id", "node_id")
 def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Customers are young nodes; orders are their older parents."""
     owners = tree_draws(spark, folder)
@@ -228,6 +233,7 @@ def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return young.unionByName(old)
 
 
+@stored("tree-edges", "draw_id", "child", "left")
 def tree_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Each order reigns from its date to the customer's next order.
 
@@ -253,6 +259,7 @@ def tree_edges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@stored("tree-mutations", "draw_id", "site_id", "node_id")
 def tree_mutations(spark: SparkSession, folder: str) -> DataFrame:
     """A line item mutates the customer's node at its ship date."""
     orders = table(spark, folder, "orders").select(
@@ -272,6 +279,7 @@ def tree_mutations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@stored("tree-sites")
 def tree_sites(spark: SparkSession, folder: str) -> DataFrame:
     return tree_mutations(spark, folder).select("draw_id", "site_id").distinct().withColumn(
         "position", F.col("site_id").cast("double")
