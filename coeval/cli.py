@@ -20,7 +20,7 @@ from coeval.plans import controls, matcher, phi, rejection, stores, swap
 from coeval.plans.blocks import BlockConfig
 from coeval.plans.distribution import estimate_distributions
 from coeval.plans.target import TargetConfig, build_target
-from coeval.plans.validation import require_none
+from coeval.plans.validation import bad_members, require_none
 from coeval.session import RunFolder, build_session
 from coeval.sinks.publish import publish
 from coeval.sources import bundles, text_inputs, vcf
@@ -179,10 +179,15 @@ def match(spark, args) -> None:
         replicates=args.replicates, search_bin_width=args.search_bin_width, min_epochs=args.min_epochs,
         max_epochs=args.max_epochs, patience=args.patience,
     )
+    pool = _candidates(spark, store, args, made.rows)
     found = matcher.match_replicates(
-        store.table("intervals"), _candidates(spark, store, args, made.rows), made,
+        store.table("intervals"), pool, made,
         _sets_of(seeds).select("set_id", "row_id"), store.metadata["maximum_above"], args.seed, config, run,
     )
+    require_none(
+        bad_members(found.members, store.table("sites"), made.rows, ["replicate"], made.size, pool),
+        "matched members",
+    )
     publish(
         spark, args.output, bundles.REPLICATES,
         {

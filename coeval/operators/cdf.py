@@ -56,6 +56,24 @@ def cdf_at(
     return long.groupBy(*keys, "point_idx", "point").agg(value)
 
 
+def boundary_cdfs(
+    intervals: DataFrame, rows: DataFrame, ages: list[float], strategy: str = "gather"
+) -> DataFrame:
+    """CDFs of the requested rows at boundary ages, read from the left.
+
+    ``gather`` reduces the facts to the rows first, ``scan`` evaluates every
+    site and keeps the rows afterwards. Both give the same numbers; the first
+    suits a small share of the sites, the second nearly all of them. A caller
+    that asks repeatedly gathers from its own written subset.
+    """
+    wanted = rows.select("row_id")
+    if strategy == "gather":
+        return cdf_at(intervals.join(wanted, "row_id", "left_semi"), ages, side="left")
+    if strategy == "scan":
+        return cdf_at(intervals, ages, side="left").join(wanted, "row_id", "left_semi")
+    raise ValueError("strategy must be 'gather' or 'scan'")
+
+
 def mean_age(intervals: DataFrame, weighting: str = "interval") -> DataFrame:
     """Mean midpoint per site under either weighting."""
     middle = F.avg(midpoint(F.col("below"), F.col("above"))).alias("mean_age")

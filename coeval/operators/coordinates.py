@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coeval.schema import CHROMOSOMES
+from coeval.session import broadcast_within
 
 MAX_CHROMOSOMES = 100_000
 
@@ -51,10 +52,11 @@ def chromosome_frame(spark: SparkSession, table: list[Chromosome]) -> DataFrame:
 def native_to_global(requests: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """Add ``position`` and a ``problem`` column to (chrom, native) requests.
 
-    The chromosome table is at most ``MAX_CHROMOSOMES`` rows, so it is always a
-    broadcast side.
+    The chromosome table is a broadcast side as long as it is within
+    ``MAX_CHROMOSOMES`` rows, which is checked here.
     """
-    joined = requests.join(F.broadcast(chromosomes), "chrom", "left")
+    table = broadcast_within(chromosomes, MAX_CHROMOSOMES)
+    joined = requests.join(table, "chrom", "left")
     problem = F.when(F.col("offset").isNull(), F.lit("unknown chromosome")).when(
         ~F.col("native").between(F.lit(1), F.col("length")), F.lit("position out of range")
     )
@@ -83,7 +85,7 @@ def global_to_native(sites: DataFrame, chromosomes: DataFrame, tile: int) -> Dat
     )
     tiled = sites.withColumn("_at", F.floor(F.col("position") / F.lit(tile)))
     return (
-        tiled.join(F.broadcast(listed), (F.col("_at") == F.col("_tile")) & within, "left")
+        tiled.join(broadcast_within(listed, 4 * MAX_CHROMOSOMES), (F.col("_at") == F.col("_tile")) & within, "left")
         .withColumn("native", F.col("position") - F.col("_offset"))
         .drop("_at", "_offset", "_length", "_tile")
     )

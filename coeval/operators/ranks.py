@@ -126,3 +126,18 @@ def empirical_quantile(values: DataFrame, column: str, quantile: float) -> DataF
 
 def quantile_rank(n: int, quantile: float) -> int:
     return math.ceil((n - 1) * quantile)
+
+
+def stratified_sample(
+    df: DataFrame, flag: str, key: str, tie: str, size: int
+) -> DataFrame:
+    """``size`` rows, half of them flagged; a short half is filled from the other.
+
+    Rows are taken by smallest counter ``key`` within each half.
+    """
+    counts = {r[flag]: r["n"] for r in df.groupBy(flag).agg(F.count("*").alias("n")).collect()}
+    yes, no = counts.get(True, 0), counts.get(False, 0)
+    from_yes = min(yes, max(size // 2, size - no))
+    from_no = min(no, size - from_yes)
+    take = F.when(F.col(flag), F.lit(from_yes)).otherwise(F.lit(from_no))
+    return smallest_by_key(df, [flag], key, tie, take)

@@ -121,3 +121,15 @@ def gather_summaries(requests: DataFrame, intervals: DataFrame) -> DataFrame:
     )
     joined = requests.join(per_site, "row_id", "left")
     return joined.withColumn("intervals", F.coalesce("intervals", F.lit(0)))
+
+
+def candidates_at(sites: DataFrame, positions: DataFrame, policy: str = "error") -> DataFrame:
+    """Candidate rows from a list of global positions, under the missing policy."""
+    return enforce_policy(resolve(positions, sites), policy).select("row_id")
+
+
+def candidates_marked(sites: DataFrame, mask: DataFrame) -> DataFrame:
+    """Candidate rows from a mask table (row_id, selected) covering the catalog."""
+    if mask.count() != sites.count():
+        raise ValueError("the mask must cover every catalog row")
+    return mask.where("selected").select("row_id")

@@ -68,7 +68,7 @@ def from_counts(everyone: DataFrame, counts: DataFrame, on: list[str], run: RunF
     bins = run.table(
         "bins",
         spectrum.phi_bins(goal.drop("target_raw"), normal.where(F.col("set_id") != TARGET_SET), KEYS)
-        .join(F.broadcast(goal.select("bin", "target_raw")), "bin"),
+        .join(goal.select("bin", "target_raw"), "bin"),
     )
     scores = spectrum.phi_scores(bins, KEYS).join(diagnostics, KEYS)
     require_none(scores.where("identity_max_abs_error > 1e-8").select("set_id"), "spectrum identity")

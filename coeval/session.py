@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SESSION_DEFAULTS = {
@@ -117,6 +118,11 @@ class RunFolder:
         return self.spark.read.schema(schema).parquet(path)
 
 
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint behind a row count; a longer table stays unhinted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def clustered(df: DataFrame, *keys: str) -> DataFrame:
     """Range-partition and sort a fact table by its keys before it is written.
 

@@ -329,3 +329,34 @@ def accessory_distribution(spark, folder):
     oldest = aged.agg(F.max("above")).first()[0]
     result = estimate_distributions(aged, Grid.spanning(oldest, 40000.0), draws=5)
     return result.withColumn("probability", settle(F.col("probability"), 7))
+
+
+@register(
+    "x01_b08_access_strategies",
+    with_views(["cand"], "SELECT count(*) * 21 AS cells, 0.0::DOUBLE AS max_difference FROM cand"),
+)
+def access_strategies(spark, folder):
+    """Boundary CDFs of all candidates by both strategies, compared cell by cell."""
+    ages = [3000.0 * i for i in range(21)]
+    facts, wanted = v.intervals(spark, folder), v.candidates(spark, folder)
+    gathered = cdf.boundary_cdfs(facts, wanted, ages)
+    scanned = cdf.boundary_cdfs(facts, wanted, ages, "scan").withColumnRenamed("cdf", "scanned")
+    return gathered.join(scanned, ["row_id", "point_idx", "point"]).agg(
+        F.count("*").alias("cells"), F.round(F.max(F.abs(F.col("cdf") - F.col("scanned"))), 12).alias("max_difference")
+    )
+
+
+@register(
+    "k12_candidate_boundary_cdfs",
+    with_views(
+        ["iv", "cand"],
+        f"""SELECT row_id, CAST(i AS INTEGER) AS point_idx, i * 3000.0::DOUBLE AS point,
+            {settle_sql('avg(greatest(0.0, least(1.0, (i * 3000.0::DOUBLE - below) / (above - below))))', 9)} AS cdf
+            FROM iv SEMI JOIN cand USING (row_id), range(0, 21) r(i) GROUP BY ALL""",
+    ),
+)
+def candidate_boundary_cdfs(spark, folder):
+    """21 boundary ages of every candidate."""
+    ages = [3000.0 * i for i in range(21)]
+    values = cdf.boundary_cdfs(v.intervals(spark, folder), v.candidates(spark, folder), ages)
+    return values.withColumn("cdf", settle(F.col("cdf"), 9))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coeval.functions import bits
-from coeval.operators import catalog, diversity, parents, resolution
+from coeval.functions.rng import uniform
+from coeval.operators import catalog, diversity, parents, ranks, resolution
 from coeval.session import RunFolder
 from workload import views as v
 from workload.registry import register
@@ -227,6 +228,44 @@ def mutation_order(spark, folder):
     )
 
 
+@register(
+    "p03_p04_policy_violations",
+    with_views(
+        ["site"],
+        """SELECT position, missing_draws, skipped_roots FROM site
+           WHERE missing_draws > 0 OR skipped_roots > 0""",
+    ),
+)
+def policy_violations(spark, folder):
+    """Positions that the strict missing or root policy would refuse."""
+    sites = v.built_sites(spark, folder)
+    return sites.where("missing_draws > 0 OR skipped_roots > 0").select(
+        "position", "missing_draws", "skipped_roots"
+    )
+
+
+@register(
+    "t08_stratified_audit_sample",
+    f"""SELECT event_id, flagged FROM (SELECT event_id, flagged,
+          row_number() OVER (PARTITION BY flagged ORDER BY u, event_id) AS rk,
+          count(*) FILTER (WHERE flagged) OVER () AS yes, count(*) FILTER (WHERE NOT flagged) OVER () AS no,
+          count(*) OVER () // 2 AS size
+          FROM (SELECT event_id, event_type = 'error' AS flagged,
+                {v._uniform_sql(f"'{v.SEED}'", "'audit'", "event_id::VARCHAR")} AS u FROM events))
+        WHERE rk <= CASE WHEN flagged THEN least(yes, greatest(size // 2, size - no))
+          ELSE least(no, size - least(yes, greatest(size // 2, size - no))) END""",
+)
+def stratified_audit_sample(spark, folder):
+    """Half of all events, error events preferred up to one half of the sample."""
+    events = v.table(spark, folder, "events").select(
+        "event_id",
+        (F.col("event_type") == "error").alias("flagged"),
+        uniform(v.SEED, "audit", F.col("event_id")).alias("u"),
+    )
+    sampled = ranks.stratified_sample(events, "flagged", "u", "event_id", events.count() // 2)
+    return sampled.select("event_id", "flagged")
+
+
 # --- Tree tables: as-of parents and interval facts ---------------------------
 
 

@@ -160,3 +160,21 @@ def requested_intervals(spark, folder):
         F.col("o_orderkey").alias("request_index"), F.col("o_custkey").alias("row_id")
     )
     return resolution.gather_summaries(wanted, v.intervals(spark, folder))
+
+
+@register(
+    "s09_candidates_from_positions",
+    with_views(["resolved"], "SELECT row_id FROM resolved WHERE eligible"),
+)
+def candidates_from_positions(spark, folder):
+    return resolution.candidates_at(v.sites(spark, folder), v.requests(spark, folder), "drop")
+
+
+@register(
+    "s09_candidates_from_mask",
+    with_views(["site"], "SELECT row_id FROM site WHERE usable_intervals > 15"),
+)
+def candidates_from_mask(spark, folder):
+    sites = v.sites(spark, folder)
+    mask = sites.select("row_id", (F.col("usable_intervals") > 15).alias("selected"))
+    return resolution.candidates_marked(sites, mask)
