@@ -24,6 +24,8 @@ BLOCK_SUFFIXES = (".bgz", ".bgzf")
 BLOCK_MAGIC = b"\x1f\x8b\x08\x04"
 SPLIT_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
+# Fields before the samples once CHROM and POS are cut off.
+FIXED_FIELDS = 7
 
 
 def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -138,7 +140,7 @@ def site_counts(
         F.try_element_at(head, F.lit(3)).alias("rest"),
     )
     wanted = keyed.join(requested.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
-    fields = wanted.withColumn("f", F.split("rest", "\t"))
+    fields = wanted.withColumn("f", F.split("rest", "\t", FIXED_FIELDS + 1))
     field = lambda i: F.try_element_at("f", F.lit(i))
     parsed = fields.select(
         "chrom",
@@ -146,17 +148,21 @@ def site_counts(
         field(2).alias("ref"),
         field(3).alias("alt"),
         field(6).alias("info"),
-        (F.array_position(F.split(field(7), ":"), "GT") - 1).alias("gt_index"),
-        F.slice("f", 8, F.greatest(F.size("f") - 7, F.lit(0))).alias("samples"),
-        (F.size("f") < 8).alias("short"),
+        (F.array_position(F.split(field(7), ":"), "GT") - 1).cast("int").alias("gt_index"),
+        field(FIXED_FIELDS + 1).alias("samples"),
+        (F.size("f") <= FIXED_FIELDS).alias("short"),
     )
+    counted = _count_plain_calls(parsed)
     decode = lambda s: decode_genotype(sample_genotype(s, F.col("gt_index")), heterozygous)
     origin = F.col("ref") if ancestral == "ref" else info_value(F.col("info"), ancestral_key)
-    called = parsed.withColumn("origin", origin).withColumn(
-        "alleles", F.when(F.col("gt_index") >= 0, F.transform("samples", decode))
+    called = counted.withColumn("origin", origin).withColumn(
+        "alleles",
+        F.when((F.col("gt_index") >= 0) & ~F.col("plain"), F.transform(F.split("samples", "\t"), decode)),
     )
-    n = F.size(F.filter("alleles", lambda a: a >= 0))
-    alt = F.size(F.filter("alleles", lambda a: a == 1))
+    n = F.when(F.col("plain"), F.col("n_ref") + F.col("n_alt")).otherwise(
+        F.size(F.filter("alleles", lambda a: a >= 0))
+    )
+    alt = F.when(F.col("plain"), F.col("n_alt")).otherwise(F.size(F.filter("alleles", lambda a: a == 1)))
     k = F.when(F.col("origin") == F.col("ref"), alt).otherwise(n - alt)
     return called.select(
         "chrom", "pos", k.cast("bigint").alias("k"), n.cast("bigint").alias("n"),
@@ -164,6 +170,29 @@ def site_counts(
     )
 
 
+def _count_plain_calls(parsed: DataFrame) -> DataFrame:
+    """Count the usual calls of a record as text, without splitting its samples.
+
+    ``plain`` tells that every sample was one of the usual spellings of 0, 1 or
+    missing; only other records go through the call-by-call decoder.
+    """
+    text = F.concat(F.lit("\t"), F.col("samples"))
+    skipped = F.repeat(F.lit("[^:\t]*:"), F.greatest(F.col("gt_index"), F.lit(0)))
+    count = lambda call: F.regexp_count(
+        text, F.concat(F.lit("\t"), skipped, F.lit(f"(?:{call})(?=[:\t]|$)"))
+    )
+    total = F.length(text) - F.length(F.replace(text, F.lit("\t"), F.lit("")))
+    tallied = parsed.withColumns(
+        {
+            "n_ref": count(r"0(?:[/|]0)?"),
+            "n_alt": count(r"1(?:[/|]1)?"),
+            "n_gap": count(r"\.(?:[/|]\.)?"),
+        }
+    )
+    plain = (F.col("gt_index") >= 0) & (F.col("n_ref") + F.col("n_alt") + F.col("n_gap") == total)
+    return tallied.withColumn("plain", F.coalesce(plain, F.lit(False)))
+
+
 def _record_problem(ancestral: str) -> Column:
     has = lambda code: F.coalesce(F.exists("alleles", lambda a: a == code), F.lit(False))
     problem = F.when(F.col("short"), F.lit("no samples or FORMAT")).when(

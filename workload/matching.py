@@ -352,10 +352,8 @@ def triangle_check(spark, folder):
 
 def _prepared(spark, folder, replicates=60, quantile=0.9):
     run = RunFolder(spark)
-    facts = run.table("intervals", v.intervals(spark, folder))
-    sites = run.table("sites", v.sites(spark, folder))
-    mine = run.table("target-rows", v.targets(spark, folder))
-    pool = run.table("pool", v.candidates(spark, folder))
+    facts, sites = v.intervals(spark, folder), v.sites(spark, folder)
+    mine, pool = v.targets(spark, folder), v.candidates(spark, folder)
     oldest = facts.agg(F.max("above")).first()[0]
     config = TargetConfig(v.WIDTH, replicates, quantile, v.SEED)
     target = build_target(facts, mine, oldest, config, run)

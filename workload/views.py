@@ -15,6 +15,7 @@ covers its whole source tables.
 from __future__ import annotations
 
 import hashlib
+import threading
 from functools import lru_cache, wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,9 @@ def mut(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_BUILDING = threading.RLock()
+
+
 def stored(name: str, *keys: str):
     """Write a view once per application and data folder, then read it back.
 
@@ -79,7 +83,8 @@ def stored(name: str, *keys: str):
             run = RunFolder(spark)
             run.path, run.resume = f"{shared_folder(spark)}/store-{application}-{identity}", True
             make = lambda: clustered(build(spark, folder), *keys) if keys else build(spark, folder)
-            return run.table(name, make)
+            with _BUILDING:
+                return run.table(name, make)
 
         return read
 
