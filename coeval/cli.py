@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
-from coeval.operators import cdf, coordinates, parents, resolution
+from coeval.operators import cdf, coordinates, density, parents, resolution
 from coeval.plans import controls, matcher, phi, rejection, stores, swap
 from coeval.plans.blocks import BlockConfig
 from coeval.plans.distribution import estimate_distributions
-from coeval.plans.target import TargetConfig, build_target
+from coeval.plans.target import TargetConfig, build_target, target_from_changes
 from coeval.plans.validation import bad_members, require_none
 from coeval.session import RunFolder, build_session
 from coeval.sinks.publish import publish
@@ -70,6 +70,12 @@ def validate(spark, args) -> None:
         stores.validate_interval_store(bundle, args.deep)
 
 
+def export(spark, args) -> None:
+    """One bundle table as CSV with a header."""
+    table = bundles.open_bundle(spark, args.bundle).table(args.table)
+    table.write.mode("errorifexists").option("header", True).csv(args.output)
+
+
 def distribution(spark, args) -> None:
     trees = load_draws(spark, args.trees)
     wanted = text_inputs.numeric_positions(spark.read.text(args.positions)).distinct()
@@ -90,11 +96,17 @@ def distribution(spark, args) -> None:
 
 
 def target(spark, args) -> None:
-    store = bundles.open_bundle(spark, args.store, bundles.INTERVAL_STORE)
+    store = bundles.open_bundle(spark, args.store, bundles.INTERVAL_STORE, bundles.DENSE_STORE)
     run = _run(spark, args, "target")
     rows = run.table("resolved", resolve_native(spark, store, args.positions, args.policy))
-    config = TargetConfig(args.bin_width, args.replicates, args.quantile, args.seed, args.distance)
-    made = build_target(store.table("intervals"), rows, store.metadata["maximum_above"], config, run)
+    if store.version == bundles.DENSE_STORE:
+        grid = Grid(store.metadata["bin_width"], store.metadata["bins"])
+        config = TargetConfig(grid.width, args.replicates, args.quantile, args.seed, args.distance)
+        own = store.table("codes").join(rows.select("row_id"), "row_id", "left_semi")
+        made = target_from_changes(density.code_changes(own), rows, grid, config, run)
+    else:
+        config = TargetConfig(args.bin_width, args.replicates, args.quantile, args.seed, args.distance)
+        made = build_target(store.table("intervals"), rows, store.metadata["maximum_above"], config, run)
     publish(
         spark, args.output, bundles.TARGET,
         {
@@ -108,8 +120,8 @@ def target(spark, args) -> None:
     )
 
 
-def _matching_inputs(spark, args):
-    store = bundles.open_bundle(spark, args.store, bundles.INTERVAL_STORE)
+def _matching_inputs(spark, args, *versions):
+    store = bundles.open_bundle(spark, args.store, *(versions or (bundles.INTERVAL_STORE,)))
     bundle = bundles.open_bundle(spark, args.target, bundles.TARGET)
     bundles.require_same_source(store, bundle)
     made = controls.load_target(bundle)
@@ -135,12 +147,17 @@ def sample(spark, args) -> None:
 
 
 def reject(spark, args) -> None:
-    store, made, identity = _matching_inputs(spark, args)
+    store, made, identity = _matching_inputs(spark, args, bundles.INTERVAL_STORE, bundles.DENSE_STORE)
     run = _run(spark, args, "rejection")
     pool = run.table("pool", _candidates(spark, store, args, made.rows))
-    facts = store.table("intervals")
-    weights = rejection.candidate_weights(facts, pool, made.strata)
-    changes = run.table("changes", cdf.row_changes(facts.join(pool, "row_id", "left_semi"), made.grid))
+    if store.version == bundles.DENSE_STORE:
+        facts = store.table("codes").join(pool, "row_id", "left_semi")
+        weights = rejection.dense_weights(facts, pool, made.strata)
+        changes = run.table("changes", density.code_changes(facts))
+    else:
+        facts = store.table("intervals").join(pool, "row_id", "left_semi")
+        weights = rejection.candidate_weights(facts, pool, made.strata)
+        changes = run.table("changes", cdf.row_changes(facts, made.grid))
     result = rejection.generate_matches(
         weights, made.strata, changes, made.cdf, made.grid, made.threshold,
         args.sets, args.max_proposals, args.seed, run,
@@ -279,6 +296,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--omit-transpose", action="store_true")
     c = add("validate", validate, "store")
     c.add_argument("--deep", action="store_true")
+    add("export", export, "bundle", "table", "output")
     c = add("distribution", distribution, "positions", "output")
     c.add_argument("--trees", nargs="+", required=True)
     c.add_argument("--bin-width", type=float, default=1000.0)

@@ -73,3 +73,18 @@ def boundary_codes(codes: DataFrame, edges: list[int], keys: list[str]) -> DataF
         F.col("w.edge").alias("edge"),
         F.when(F.col("w.edge") == 0, F.lit(0)).otherwise(F.col("code")).alias("code"),
     )
+
+
+def code_changes(codes: DataFrame) -> DataFrame:
+    """Dense codes as per-site changes, so every set operator reads either store.
+
+    A quantised CDF is a step at each bin; a step of zero is dropped except at
+    bin 0, where every site keeps its one change.
+    """
+    order = W.partitionBy("row_id").orderBy("bin")
+    step = (F.col("code") - F.coalesce(F.lag("code").over(order), F.lit(0))) / F.lit(float(CDF_SCALE))
+    return (
+        codes.withColumn("complete", step)
+        .where((F.col("bin") == 0) | (F.col("complete") != 0))
+        .select("row_id", "bin", F.lit(0.0).alias("slope"), F.lit(0.0).alias("intercept"), "complete")
+    )

@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
 from coeval.functions.rng import counter, uniform
-from coeval.operators import cdf
+from coeval.operators import cdf, density
 from coeval.operators.ranks import smallest_by_key
+from coeval.schema import CDF_SCALE
 from coeval.session import RunFolder
 
 
@@ -42,6 +44,24 @@ def candidate_weights(intervals: DataFrame, candidates: DataFrame, strata: DataF
     )
 
 
+def dense_weights(codes: DataFrame, candidates: DataFrame, strata: DataFrame) -> DataFrame:
+    """The same weights from a dense store: code steps between stratum edges."""
+    spans = strata.select("stratum", "first_edge", "last_edge").orderBy("stratum").collect()
+    edges = [s["first_edge"] for s in spans] + [spans[-1]["last_edge"]]
+    own = codes.join(candidates.select("row_id"), "row_id", "left_semi")
+    before = F.lag("code").over(W.partitionBy("row_id").orderBy("edge_idx"))
+    return (
+        density.boundary_codes(own, edges, ["row_id"])
+        .withColumn("_before", before)
+        .where(F.col("code") > F.col("_before"))
+        .select(
+            "row_id",
+            (F.col("edge_idx") - 1).alias("stratum"),
+            ((F.col("code") - F.col("_before")) / F.lit(float(CDF_SCALE))).alias("weight"),
+        )
+    )
+
+
 def _race(weights: DataFrame, first: int, last: int, seed: int) -> DataFrame:
     """Exponential race times per (proposal, stratum, row).
 

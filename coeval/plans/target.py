@@ -57,18 +57,27 @@ def build_target(
     config: TargetConfig,
     run: RunFolder,
 ) -> Target:
-    """All target products; facts are reduced once to per-site changes.
+    """All target products from an interval store, on the configured grid."""
+    config.validate()
+    grid = Grid.spanning(maximum_above, config.bin_width)
+    own = intervals.join(target_rows.select("row_id"), "row_id", "left_semi")
+    return target_from_changes(cdf.row_changes(own, grid), target_rows, grid, config, run)
+
 
-    An absolute acceptance distance overrides the bootstrap quantile.
+def target_from_changes(
+    changes: DataFrame, target_rows: DataFrame, grid: Grid, config: TargetConfig, run: RunFolder
+) -> Target:
+    """All target products from per-site changes, of whichever store they came.
+
+    Facts are reduced to the target rows' changes once. An absolute acceptance
+    distance overrides the bootstrap quantile.
     """
     config.validate()
-    grid = Grid.spanning(maximum_above, config.bin_width)
     rows = run.table("target/rows", bootstrap.index_targets(target_rows))
     size = rows.count()
     if size == 0:
         raise ValueError("target set is empty")
-    own = intervals.join(rows.select("row_id"), "row_id", "left_semi")
-    changes = run.table("target/changes", cdf.row_changes(own, grid))
+    changes = run.table("target/changes", changes.join(rows.select("row_id"), "row_id", "left_semi"))
     if changes.select("row_id").distinct().count() != size:
         raise ValueError("some target rows have no usable interval")
     observed = run.table("target/cdf", mean_target(rows, changes, grid))

@@ -108,6 +108,16 @@ def test_workflow(spark, workspace):
     )
     assert bundles.open_bundle(spark, at("rejected")).table("members").count() == 8
 
+    run("target", "--store", at("dense"), "--positions", at("te.txt"), "--output", at("dense-target"), *common[:4])
+    run(
+        "reject", "--store", at("dense"), "--target", at("dense-target"), "--output", at("dense-rejected"),
+        "--candidates", at("pool.txt"), "--sets", "1", "--max-proposals", "64", "--seed", "2",
+    )
+    run("export", "--bundle", at("dense-rejected"), "--table", "members", "--output", at("csv"))
+    assert spark.read.option("header", True).csv(at("csv")).count() == 8
+    with pytest.raises(ValueError, match="different store"):
+        run("reject", "--store", at("store"), "--target", at("dense-target"), "--output", at("never"), "--sets", "1")
+
     run(
         "match", "--store", at("store"), "--target", at("target"), "--seed-sets", at("controls"),
         "--candidates", at("pool.txt"), "--output", at("matched"), "--replicates", "2",

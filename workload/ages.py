@@ -255,6 +255,50 @@ def _set_distances(spark, folder):
     return cdf.wasserstein(means, v.target_cdf(spark, folder, grid, facts), grid, keys)
 
 
+@register(
+    "a13_dense_target_cdf",
+    with_views(
+        ["iv", "coarse", "te"],
+        f"""SELECT bin, {settle_sql('avg(code / 65535.0::DOUBLE)', 7)} AS target_cdf
+            FROM codes SEMI JOIN te USING (row_id) GROUP BY bin""",
+        _CODES,
+    ),
+)
+def dense_target_cdf(spark, folder):
+    """Target CDF from the dense codes, through the shared set operator."""
+    from coeval.plans.target import mean_target
+
+    grid, codes = _codes(spark, folder)
+    mine = v.targets(spark, folder)
+    changes = density.code_changes(codes.join(mine, "row_id", "left_semi"))
+    means = mean_target(mine, changes, grid)
+    return means.withColumn("target_cdf", settle(F.col("target_cdf"), 7))
+
+
+@register(
+    "m04_dense_candidate_weights",
+    with_views(
+        ["iv", "coarse", "cand"],
+        f"""SELECT row_id, CAST(i - 1 AS INTEGER) AS stratum, {settle_sql('(code - before) / 65535.0::DOUBLE', 8)} AS weight
+            FROM (SELECT row_id, i, code, lag(code) OVER (PARTITION BY row_id ORDER BY i) AS before FROM (
+              SELECT row_id, i, CASE WHEN e = 0 THEN 0 ELSE code END AS code
+              FROM (SELECT * FROM codes SEMI JOIN cand USING (row_id))
+              JOIN (VALUES (0, 0), (1, 3), (2, 5), (3, 9)) t(i, e) ON bin = greatest(e - 1, 0)))
+            WHERE code > before""",
+        _CODES,
+    ),
+)
+def dense_candidate_weights(spark, folder):
+    """Stratum weights of the candidates from dense code steps."""
+    from coeval.plans.rejection import dense_weights
+
+    spans = spark.createDataFrame(
+        [(0, 0, 3), (1, 3, 5), (2, 5, 9)], "stratum INT, first_edge INT, last_edge INT"
+    )
+    weights = dense_weights(_codes(spark, folder)[1], v.candidates(spark, folder), spans)
+    return weights.withColumn("weight", settle(F.col("weight"), 8))
+
+
 @register(
     "a13_dense_aggregate",
     with_views(
