@@ -83,8 +83,13 @@ def draw_sets(
     Strata are filled in a random order per proposal and a row taken by one
     stratum is gone for the next ones. Since at most ``size`` rows can be taken
     elsewhere, the ``size`` fastest rows of each stratum decide the draw, and
-    only those are kept for the stratum-by-stratum pass. All proposals advance
-    together; no step gathers a proposal's rows in one task.
+    only those are kept.
+
+    All strata then pick at once. A row belongs to the picker whose turn comes
+    first and is closed to every later one, for good: it can only pass to a
+    still earlier turn. Each pass settles at least the next turn, so the passes
+    end with the rows that filling the strata one by one would give, usually
+    after a few. No step gathers a proposal's rows in one task.
 
     Returns (proposal_id, row_id, stratum) and (proposal_id, stratum, short).
     """
@@ -103,14 +108,23 @@ def draw_sets(
         "turn", F.array_position(F.transform(turn, lambda x: x["s"]), F.col("stratum")).cast("int")
     ).join(F.broadcast(quotas), "stratum")
     pool = run.table(f"draw-{first}/finalists", ordered)
-    taken: DataFrame | None = None
-    for step in range(1, len(steps) + 1):
-        here = pool.where(F.col("turn") == step)
-        if taken is not None:
-            here = here.join(taken.select("proposal_id", "row_id"), ["proposal_id", "row_id"], "left_anti")
-        chosen = smallest_by_key(here, ["proposal_id"], "race", "row_id", F.col("quota"), slot=pace)
-        chosen = run.table(f"draw-{first}/turn-{step}", chosen.select("proposal_id", "row_id", "stratum"))
-        taken = chosen if taken is None else taken.unionByName(chosen)
+    owners: DataFrame | None = None
+    for step in range(len(steps)):
+        free = pool
+        if owners is not None:
+            free = pool.join(owners, ["proposal_id", "row_id"], "left").where(
+                F.col("_first").isNull() | (F.col("turn") <= F.col("_first"))
+            ).drop("_first", "_picks")
+        picks = smallest_by_key(
+            free, ["proposal_id", "stratum"], "race", "row_id", F.col("quota"), slot=pace
+        ).select("proposal_id", "stratum", "row_id", "turn")
+        taken = run.table(f"draw-{first}/picks-{step}", picks)
+        owners = taken.groupBy("proposal_id", "row_id").agg(
+            F.min("turn").alias("_first"), F.count("*").alias("_picks")
+        )
+        if owners.where("_picks > 1").isEmpty():
+            break
+    taken = taken.select("proposal_id", "row_id", "stratum")
     wanted = run.spark.range(first, last + 1).select(
         F.col("id").cast("int").alias("proposal_id"),
         F.explode(F.array(*[F.lit(s) for s in steps])).alias("stratum"),
