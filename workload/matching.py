@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coeval.functions.rng import uniform
 from coeval.operators import bootstrap, cdf, diversity, strata
 from coeval.operators.ranks import empirical_quantile, smallest_by_key
 from coeval.plans import blocks, matcher, rejection, swap, validation
