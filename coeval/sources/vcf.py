@@ -130,21 +130,29 @@ def site_counts(
     """(chrom, pos, k, n, problem) of the requested records.
 
     Only CHROM and POS are cut from a record until it is known to be wanted;
-    the sample columns of the rest are never split.
+    the sample columns of the rest are never split. Records without them, asked
+    for or not, come back as malformed, so one scan finds every problem.
     """
     if ancestral not in ("ref", "info"):
         raise ValueError("ancestral must be 'ref' or 'info'")
     head = F.split("value", "\t", 3)
+    pos = F.try_element_at(head, F.lit(2)).try_cast("bigint")
     keyed = lines.where(~F.col("value").startswith("#")).select(
-        head[0].alias("chrom"), F.try_element_at(head, F.lit(2)).try_cast("bigint").alias("pos"),
+        head[0].alias("chrom"),
+        pos.alias("pos"),
         F.try_element_at(head, F.lit(3)).alias("rest"),
+        ((F.size(head) < 3) | pos.isNull()).alias("malformed"),
+    )
+    asked = requested.select("chrom", "pos").distinct().withColumn("_asked", F.lit(True))
+    wanted = keyed.join(asked, ["chrom", "pos"], "left").where(
+        F.coalesce("_asked", F.lit(False)) | F.col("malformed")
     )
-    wanted = keyed.join(requested.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
     fields = wanted.withColumn("f", F.split("rest", "\t", FIXED_FIELDS + 1))
     field = lambda i: F.try_element_at("f", F.lit(i))
     parsed = fields.select(
         "chrom",
         "pos",
+        "malformed",
         field(2).alias("ref"),
         field(3).alias("alt"),
         field(6).alias("info"),
@@ -195,7 +203,8 @@ def _count_plain_calls(parsed: DataFrame) -> DataFrame:
 
 def _record_problem(ancestral: str) -> Column:
     has = lambda code: F.coalesce(F.exists("alleles", lambda a: a == code), F.lit(False))
-    problem = F.when(F.col("short"), F.lit("no samples or FORMAT")).when(
+    problem = F.when(F.col("malformed"), F.lit("malformed record"))
+    problem = problem.when(F.col("short"), F.lit("no samples or FORMAT")).when(
         F.contains(F.col("alt"), F.lit(",")), F.lit("multiallelic record")
     )
     if ancestral == "info":

@@ -103,6 +103,10 @@ def test_vcf_problems(spark):
     assert sorted((r["pos"], r["problem"]) for r in missing.collect()) == [(10, "duplicate record"), (11, "absent")]
     broken = spark.createDataFrame([("#h",), ("c\tx\t.",), ("c",), ("c\t1\t.",)], "value STRING")
     assert sorted(r["value"] for r in vcf.malformed_records(broken).collect()) == ["c", "c\tx\t."]
+    found = vcf.site_counts(broken, asked).collect()
+    assert sorted((r["problem"], r["pos"] is None) for r in found) == [
+        ("malformed record", True), ("malformed record", True), ("no samples or FORMAT", False)
+    ]
 
 
 def test_bundles(spark, tmp_path):
