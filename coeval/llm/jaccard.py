@@ -15,13 +15,14 @@ A document's set is its distinct word shingles as 64-bit hashes. A link needs
    groups under length and positional bounds; members are expanded and verified.
 
 Only connectivity is asked for, so pairs whose ends are already connected are
-never built: groups are first compared with one pivot each, and what a prefix
-token then still holds in different components is compared in full.
+never built: groups are first compared with one central pivot each, and what a
+prefix token then still holds in different components is compared in full.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,17 @@ from coeval.llm.common import M1, M2, WordHashes, drop_table, part_count, scramb
 from coeval.llm.components import components
 from coeval.session import RunFolder
 
-STAR_ROUNDS = 3
+#: Rounds with pivots before the rest is compared; ratio of the sizes in a band.
+STAR_ROUNDS, BAND = 2, 1.1
 
 
-def shingle_set(text: str | None, width: int, words: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles.
+def shingle_set(text: bytes | None, width: int, words: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text's UTF-8 bytes.
 
     A-Z is lower-cased and words are split at ASCII white space. A text with
     fewer words than ``width`` is one shingle; null or no words give none.
     """
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    found = text.lower().split() if text else []
     if not found:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
@@ -123,33 +125,67 @@ def _sampler(width: int, percent: int, parts: int):
 
 
 FACTS = "doc bigint, n bigint, need bigint, digest binary, credit bigint"
+CREDITS = f"bucket int, {FACTS}, docs binary, credits binary"
 
 
-def _crediting():
-    """Give documents a credit for every sampled shingle that another batch also holds."""
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_py(), kind) for x in table.column(name) if x.is_valid)])
+
+
+def _crediting(parts: int):
+    """Give documents a credit for every sampled shingle that another batch also holds, one row a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, docs, lone = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+        names, lone = [np.empty(0, np.uint64)], [np.empty(0, bool)]
         for a, b in zip(table.column("names"), table.column("docs")):
             if a.is_valid:
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.int64)
-                names.append(a)
-                docs.append(b)
-                lone.append(np.arange(len(a)) < len(b))
-        names, docs, lone = map(np.concatenate, (names, docs, lone))
-        _, index, counts = np.unique(names, return_inverse=True, return_counts=True)
-        owners, credit = np.unique(docs[counts[index][lone] > 1], return_counts=True)
-        facts = table.filter(table.column("doc").is_valid()).select(["doc", "n", "need", "digest", "credit"])
+                names.append(np.frombuffer(a.as_py(), np.uint64))
+                lone.append(np.arange(len(names[-1])) < len(b.as_py()) // 8)
+        names, lone, docs = np.concatenate(names), np.concatenate(lone), _column(table, "docs", np.int64)
+        order = np.argsort(names)
+        same = names[order][1:] == names[order][:-1]
+        shared = np.zeros(len(names), bool)
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        owners, credit = np.unique(docs[shared[lone]], return_counts=True)
+        bucket = owners % parts
+        by = np.argsort(bucket, kind="stable")
+        keys, cuts = np.unique(bucket[by], return_index=True)
+        ends = [*cuts[1:], len(by)]
+        facts = table.filter(table.column("doc").is_valid()).select(["part", "doc", "n", "need", "digest", "credit"])
+        facts = facts.rename_columns(["bucket", *facts.column_names[1:]])
+        blank = pa.nulls(len(facts), pa.binary())
+        facts = facts.append_column("docs", blank).append_column("credits", blank)
+        none = pa.nulls(len(keys), pa.int64())
         more = pa.table(
             {
-                "doc": pa.array(owners, pa.int64()),
-                "n": pa.nulls(len(owners), pa.int64()),
-                "need": pa.nulls(len(owners), pa.int64()),
-                "digest": pa.nulls(len(owners), pa.binary()),
-                "credit": pa.array(credit, pa.int64()),
+                "bucket": pa.array(keys, pa.int32()),
+                "doc": none,
+                "n": none,
+                "need": none,
+                "digest": pa.nulls(len(keys), pa.binary()),
+                "credit": none,
+                "docs": pa.array([owners[by[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                "credits": pa.array([credit[by[a:b]].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
             }
         )
-        return pa.concat_tables([facts, more.cast(facts.schema)])
+        return pa.concat_tables([facts, more])
+
+    return run
+
+
+def _totals():
+    """Add a bucket's packed credits to its documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs, credits = _column(table, "docs", np.int64), _column(table, "credits", np.int64)
+        keys, index = np.unique(docs, return_inverse=True)
+        sums = np.bincount(index, credits, len(keys)).astype(np.int64)
+        facts = table.filter(table.column("doc").is_valid()).select(["doc", "n", "need", "digest", "credit"])
+        mine = facts.column("doc").to_numpy()
+        at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
+        got = np.where(keys[at] == mine, sums[at], 0) if len(keys) else np.zeros(len(mine), np.int64)
+        return facts.set_column(4, "credit", pa.array(facts.column("credit").to_numpy() + got, pa.int64()))
 
     return run
 
@@ -179,7 +215,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, n, lone, prefix): the shared tokens among a set's rarest, after ``lone`` unshared ones."""
+    """(rep, n, lone, prefix, middle): the shared tokens among a set's rarest, after ``lone`` unshared ones.
+
+    ``middle`` is the mean number of sets that hold a token of the set: among
+    near copies of one text it is highest for what they have in common.
+    """
     tokens = sets.select("rep", "n", F.explode("tokens").alias("token"))
     count = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     ordered = tokens.join(count, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
@@ -187,7 +227,8 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return (
         ordered.withColumn("lone", F.col("n") - F.size("ts"))
         .filter(F.size("ts") >= alpha)
-        .select("rep", "n", "lone", F.slice("ts.token", F.lit(1), (F.col("n") - alpha + 1 - F.col("lone")).cast("int")).alias("prefix"))
+        .withColumn("middle", (F.aggregate("ts.df", F.lit(0).cast("bigint"), lambda s, x: s + x) + F.col("lone")) / F.col("n"))
+        .select("rep", "n", "lone", "middle", F.slice("ts.token", F.lit(1), (F.col("n") - alpha + 1 - F.col("lone")).cast("int")).alias("prefix"))
     )
 
 
@@ -207,15 +248,15 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
     run = RunFolder(docs.sparkSession)
-    plain = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("doc is not null")
+    plain = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("text")).filter("doc is not null")
     parts = part_count(plain, "text", 16)
     packed = plain.mapInArrow(_sampler(width, percent, parts), f"part int, {FACTS}, names binary, docs binary")
-    credited = packed.groupBy("part").applyInArrow(_crediting(), FACTS)
+    credited = packed.groupBy("part").applyInArrow(_crediting(parts), CREDITS).groupBy("bucket").applyInArrow(_totals(), FACTS)
     facts = run.table(
         "facts",
         credited.groupBy("doc").agg(
             F.min(F.when(F.col("digest").isNotNull(), F.struct("digest", "n", "need"))).alias("f"),
-            F.sum("credit").alias("credit"),
+            F.max("credit").alias("credit"),
         )
         .select("doc", "f.digest", "f.n", "f.need", "credit"),
     )
@@ -248,58 +289,84 @@ def _link(run: RunFolder, sets: DataFrame, percent: int) -> DataFrame:
     prefixes = run.table("prefixes", _prefixes(sets, percent))
     # A token of one class only cannot recur in another prefix, so such a prefix is a group by itself.
     key = ["n", "lone", "prefix", F.when(F.col("lone") > 0, F.col("rep")).alias("own")]
-    groups = run.table("groups", prefixes.groupBy(*key).agg(F.min("rep").alias("gid")))
+    groups = run.table("groups", prefixes.groupBy(*key).agg(F.min("rep").alias("gid"), F.max("middle").alias("middle")))
     members = run.table(
         "members",
         prefixes.filter("lone = 0").join(groups.filter("lone = 0").select("n", "prefix", "gid"), ["n", "prefix"]).select("gid", "rep", "n")
         .unionAll(prefixes.filter("lone > 0").select(F.col("rep").alias("gid"), "rep", "n")),
     )
-    postings = run.table(
-        "postings",
-        groups.select("gid", "n", "lone", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", "n", (F.col("pos") + F.col("lone")).alias("pos")),
-    )
-    sets = sets.join(prefixes.select("rep"), "rep", "left_semi")
-    sets = run.table("live", sets)
+    tokens = groups.select("gid", "n", "middle", "lone", F.posexplode("prefix").alias("pos", "token"))
+    postings = run.table("postings", tokens.select("token", "gid", "n", "middle", (F.col("pos") + F.col("lone")).alias("pos"), F.floor(F.log("n") / F.log(F.lit(BAND))).alias("band")))
+    sets = run.table("live", sets.join(prefixes.select("rep"), "rep", "left_semi"))
 
     # Round one: members against their group, groups against the pivot most of their tokens name.
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n")
-    banded = postings.select("token", "gid", band.alias("band"))
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("gid"), "gid")).alias("p"), F.count("*").alias("held")).filter("held > 1")
-    named = banded.join(pivots, ["token", "band"]).select("gid", F.col("p.gid").alias("pivot")).filter("gid <> pivot")
-    chosen = named.groupBy("gid", "pivot").count().groupBy("gid").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot"))
-    stars = members.filter("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b")).unionAll(chosen.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
+    wide = postings.select("token", "gid", "middle", F.floor(F.log("n") / F.log(F.lit(max(100 / percent, BAND)))).alias("wide"))
+    pivots = wide.groupBy("token", "wide").agg(F.max(F.struct("middle", "gid")).alias("p"), F.count("*").alias("held")).filter("held > 1")
+    named = wide.join(pivots, ["token", "wide"]).select(F.col("gid").alias("b"), F.col("p.gid").alias("a"))
+    stars = members.filter("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b")).unionAll(_favourite(named))
     found = [run.table("links-0", _verified(stars, sets, percent))]
     label = components(run, "cc-0", found[0])
 
     for i in range(1, STAR_ROUNDS + 1):
-        last = i == STAR_ROUNDS
-        named = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        units = run.table(f"units-{i}", named.groupBy("gid", "label").agg(F.min("rep").alias("rep"), F.max("n").alias("n")))
-        held = postings.join(units.select("gid", "label", "rep"), "gid")
-        mixed = held.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-        open_units = run.table(f"open-{i}", held.join(mixed, "token"))
+        units = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        units = run.table(f"units-{i}", units)
+        open_units = run.table(f"open-{i}", _open(postings, units, percent))
         if open_units.isEmpty():
             break
-        if last:
-            pairs = _rest(run, open_units, named, percent)
+        if i < STAR_ROUNDS:
+            pivots = open_units.groupBy("token", "low", "high").agg(F.max(F.struct("middle", "rep", "label")).alias("p"))
+            named = open_units.join(pivots, ["token", "low", "high"]).filter("label <> p.label").select(F.col("rep").alias("b"), F.col("p.rep").alias("a"))
+            pairs = _favourite(named)
         else:
-            pivots = open_units.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(i)), "rep", "label")).alias("p"))
-            names = open_units.join(pivots, "token").filter("label <> p.label").select("rep", F.col("p.rep").alias("pivot"))
-            pairs = names.groupBy("rep", "pivot").count().groupBy("rep").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+            pairs = _rest(open_units, units, percent)
         found.append(run.table(f"links-{i}", _verified(pairs, sets, percent)))
         label = components(run, f"cc-{i}", reduce(DataFrame.unionAll, found))
     return label
 
 
-def _rest(run: RunFolder, units: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def _favourite(named: DataFrame) -> DataFrame:
+    """Of the pivots ``a`` named for every ``b``, the one named most often."""
+    counted = named.filter("a <> b").groupBy("b", "a").count()
+    return counted.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+
+
+def _open(postings: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """Postings that may still lead to a link between different components.
+
+    A unit is what one group has in one component. A posting is kept for every
+    band of sizes in which, by length and position, a partner can be; postings
+    of one token and pair of bands are dropped if all are of one component.
+    """
+    units = units.groupBy("gid", "label").agg(F.min("rep").alias("rep"))
+    held = postings.join(units, "gid")
+    bands = held.groupBy("token", F.col("band").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("one"), F.max("label").alias("two"))
+    reach = int(-(-log(100 / percent) // log(BAND))) + 1
+    wide = held.withColumn("other", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach)))
+    near = wide.join(bands, ["token", "other"]).filter("one <> two or one <> label")
+    partner = F.greatest("least", F.expr(f"({percent} * n + 99) div 100"))
+    fits = (partner <= F.col("most")) & (partner * percent <= F.col("n") * 100) & ((100 + percent) * (F.col("n") - F.col("pos")) >= percent * (F.col("n") + partner))
+    near = near.filter(fits).withColumns({"low": F.least("band", "other"), "high": F.greatest("band", "other")})
+    mixed = near.groupBy("token", "low", "high").agg(F.min("label").alias("one"), F.max("label").alias("two")).filter("one < two").select("token", "low", "high")
+    return near.drop("one", "two", "least", "most").join(mixed, ["token", "low", "high"])
+
+
+def _rest(open_units: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """Every pair of members in different components that the filters let through."""
     lengths = F.expr(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
     bound = F.expr(f"(100 + {percent}) * least(na - pa, nb - pb) >= {percent} * (na + nb)")
-    labels = units.select("token", "label").distinct()
-    apart = labels.withColumnRenamed("label", "la").join(labels.withColumnRenamed("label", "lb"), "token").filter("la < lb")
-    side = lambda s: units.select("token", F.col("label").alias(f"l{s}"), F.col("gid").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
-    groups = apart.join(side("a"), ["token", "la"]).join(side("b"), ["token", "lb"]).filter(lengths & bound).select("ga", "la", "gb", "lb").distinct()
-    member = lambda s, r: named.select(F.col("gid").alias(f"g{s}"), F.col("label").alias(f"l{s}"), F.col("rep").alias(r))
+    labels = open_units.select("token", "band", "other", "label").distinct()
+    apart = (
+        labels.withColumnRenamed("label", "la")
+        .join(labels.select("token", F.col("other").alias("band"), F.col("band").alias("other"), F.col("label").alias("lb")), ["token", "band", "other"])
+        .filter("la < lb")
+    )
+
+    def side(s: str, band: str, other: str) -> DataFrame:
+        return open_units.select("token", F.col("band").alias(band), F.col("other").alias(other), *(F.col(c).alias(f"{c[0]}{s}") for c in ("label", "gid", "n", "pos")))
+
+    pairs = apart.join(side("a", "band", "other"), ["token", "band", "other", "la"]).join(side("b", "other", "band"), ["token", "band", "other", "lb"])
+    groups = pairs.filter(lengths & bound).select("ga", "la", "gb", "lb").distinct()
+    member = lambda s, r: units.select(F.col("gid").alias(f"g{s}"), F.col("label").alias(f"l{s}"), F.col("rep").alias(r))
     return groups.join(member("a", "a"), ["ga", "la"]).join(member("b", "b"), ["gb", "lb"]).select("a", "b").distinct()
 
 
