@@ -50,6 +50,20 @@ def part_count(docs: DataFrame, text: str, megabytes: int) -> int:
     return max(least, -(-total // (megabytes << 20)))
 
 
+def bites(batches, column: int, size: int = 8 << 20):
+    """Arrow batches cut to pieces with about ``size`` bytes in a binary column, so arrays stay small."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            base = held[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(held, base + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 

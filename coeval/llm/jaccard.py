@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coeval.llm.common import M1, M2, WordHashes, drop_table, part_count, scramble, ship_by_value, small_side
+from coeval.llm.common import M1, M2, WordHashes, bites, drop_table, part_count, scramble, ship_by_value, small_side
 from coeval.llm.components import components
 from coeval.session import RunFolder
 
@@ -68,7 +68,7 @@ def _sampler(width: int, percent: int, parts: int):
         import hashlib
 
         words = WordHashes()
-        for batch in batches:
+        for batch in bites(batches, 1):
             ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             sets = [shingle_set(t.as_py(), width, words) for t in batch.column(1)]
             n = np.array([len(s) for s in sets], np.int64)
@@ -193,7 +193,7 @@ def _totals():
 def _setter(width: int):
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in bites(batches, 1):
             sets = [shingle_set(t.as_py(), width, words).view(np.int64) for t in batch.column(1)]
             yield pa.record_batch({"rep": batch.column(0), "tokens": pa.array(sets, pa.list_(pa.int64()))})
 

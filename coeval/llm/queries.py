@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coeval.llm.common import read
 from coeval.llm.jaccard import jaccard_classes
+from coeval.llm.mixing import mixed
+from coeval.llm.quality import fit_quality, is_held_out, quality_scores
+from coeval.llm.suffix import repeated_spans, row_key
+from coeval.llm.tokens import token_counts
+from coeval.llm.urls import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,3 +34,50 @@ def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @_register("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
+@_register("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    size, text = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"), F.coalesce("text", F.lit(""))
+    plain = docs.select("doc_id", row_key("doc_id", "text").alias("key"), size.alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
+    cut = repeated_spans(docs).select("key", total.alias("removed"), F.size("spans").cast("bigint").alias("spans"), F.sha2("kept", 256).alias("kept"))
+    return plain.join(cut, "key", "left").select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce("removed", F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("bigint").alias("n_spans"),
+        F.coalesce("kept", "whole").alias("kept_sha256"),
+    )
+
+
+#: Fixed values of the query: rules with their verdicts.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@_register("op4_url_filters")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@_register("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    weights = fit_quality(docs, labels.filter(~is_held_out("doc_id")))
+    scores = quality_scores(docs, weights)
+    return scores.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_register("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@_register("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.select("*", (F.col("n_tokens") > 2048).alias("over_limit"))
