@@ -43,6 +43,17 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Send at most so many rows to a Python worker at a time: texts are wide.
+
+    Both sides of the pipe hold a batch whole, and Spark counts it in rows.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(spark.conf.get(name))
+    if held <= 0 or held > rows:
+        spark.conf.set(name, rows)
+
+
 def part_count(docs: DataFrame, text: str, megabytes: int) -> int:
     """Parts so that each stands for about ``megabytes`` of text, whatever the total."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -50,7 +61,7 @@ def part_count(docs: DataFrame, text: str, megabytes: int) -> int:
     return max(least, -(-total // (megabytes << 20)))
 
 
-def bites(batches, column: int, size: int = 8 << 20):
+def bites(batches, column: int, size: int = 4 << 20):
     """Arrow batches cut to pieces with about ``size`` bytes in a binary column, so arrays stay small."""
     import pyarrow.compute as pc
 

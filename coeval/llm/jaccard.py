@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coeval.llm.common import M1, M2, WordHashes, bites, drop_table, part_count, scramble, ship_by_value, small_side
+from coeval.llm.common import M1, M2, WordHashes, bites, drop_table, part_count, scramble, ship_by_value, short_batches, small_side
 from coeval.llm.components import components
 from coeval.session import RunFolder
 
@@ -248,6 +248,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
     run = RunFolder(docs.sparkSession)
+    short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("text")).filter("doc is not null")
     parts = part_count(plain, "text", 16)
     packed = plain.mapInArrow(_sampler(width, percent, parts), f"part int, {FACTS}, names binary, docs binary")

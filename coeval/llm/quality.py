@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coeval.llm.common import M1, WordHashes, bites, scramble, ship_by_value
+from coeval.llm.common import M1, WordHashes, bites, scramble, ship_by_value, short_batches
 from coeval.session import RunFolder
 
 SLOTS = 1 << 18
@@ -113,6 +113,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     are left out. Without labelled rows all weights are 0, so every score is a half.
     """
     run = RunFolder(docs.sparkSession)
+    short_batches(docs.sparkSession)
     known = labels.filter(F.col(id_column).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.min(label).alias("low"), F.max(label).alias("high")).filter("low = high")
     picked = run.table("picked", known.orderBy(F.xxhash64(id_column), id_column).limit(SAMPLE_ROWS).select(F.col(id_column).alias("id"), F.col("low").cast("double").alias("label")))
     # At most SAMPLE_ROWS ids are broadcast.
@@ -132,6 +133,7 @@ def quality_scores(docs: DataFrame, weights: np.ndarray, id_column: str = "doc_i
     whole. Repeated rows are scored one by one; null ids are passed on. An empty
     table gives no rows; other columns are not read.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(F.struct(F.col(id_column).alias("id")).alias("row"), F.col(text).cast("binary").alias("bytes"))

@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coeval.llm.common import M1, M2, bites, drop_table, part_count, scramble, ship_by_value, small_side
+from coeval.llm.common import M1, M2, bites, drop_table, part_count, scramble, ship_by_value, short_batches, small_side
 from coeval.session import RunFolder
 
 #: Bytes ranked at a time, and most starts in one run.
-SEGMENT, RUN = 1 << 20, 256
+SEGMENT, RUN = 1 << 18, 256
 LEAST_LENGTH = 16
 
 DEALT = "part int, first binary, second binary, docs binary, places binary, known binary, doc bigint, found binary, lead binary"
@@ -452,6 +452,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """
     Steps(length)
     run = RunFolder(docs.sparkSession)
+    short_batches(docs.sparkSession)
     plain = docs.select(row_key(id_column, text).alias("doc"), F.col(text).cast("binary").alias("bytes"))
     parts = part_count(plain, "bytes", 16)
     body = "doc bigint, bytes binary, alive binary"
