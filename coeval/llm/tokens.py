@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coeval.llm.common import bites, ship_by_value
+from coeval.llm.common import bites, ship_by_value, short_batches
 
 #: Pre-tokens broadcast, sent by a task, held while counting, cached by a worker; bytes above which none is kept.
-FREQUENT, PER_TASK, COUNTED, CACHED, LONGEST = 32_768, 4_096, 400_000, 400_000, 64
+FREQUENT, PER_TASK, COUNTED, CACHED, LONGEST = 32_768, 4_096, 250_000, 250_000, 64
 
 
 def _heavy():
@@ -44,7 +44,15 @@ def _encoder(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return lambda words: [len(e.ids) for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+
+    def count(words: list[bytes]) -> list[int]:
+        """Tokens of every pre-token; a few at a time, since encodings are large."""
+        out: list[int] = []
+        for at in range(0, len(words), 512):
+            out += [len(e.ids) for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at : at + 512]], add_special_tokens=False)]
+        return out
+
+    return count
 
 
 def _counter(path: str, table):
@@ -102,6 +110,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: st
     passed on. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     if not _drops_space(path):
         raise ValueError("the tokenizer keeps white space, so texts cannot be split at it")
     table = spark.sparkContext.broadcast(frequent_lengths(docs, text, path))
