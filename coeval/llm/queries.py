@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from coeval.llm.common import read
 from coeval.llm.jaccard import jaccard_classes
+from coeval.llm.lines import repeated_lines
 from coeval.llm.mixing import mixed
 from coeval.llm.quality import fit_quality, is_held_out, quality_scores
 from coeval.llm.suffix import repeated_spans, row_key
 from coeval.llm.tokens import token_counts
+from coeval.llm.topk import top_k
 from coeval.llm.urls import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +33,25 @@ def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@_register("op1_exact_topk_search", TOPK_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @_register("op2_ngram_jaccard_join")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
@@ -81,3 +102,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("*", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@_register("op8_line_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
