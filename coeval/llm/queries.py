@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coeval.llm.common import read
+from coeval.llm.common import lower_ascii, read
+from coeval.llm.decontam import WORD, benchmark_hits
+from coeval.llm.decontam import row_key as leak_key
 from coeval.llm.jaccard import jaccard_classes
+from coeval.llm.licences import TEMPLATES, THRESHOLD, inverse_frequency, scan_licences, template_weights, unseen_frequency
 from coeval.llm.lines import repeated_lines
 from coeval.llm.mixing import mixed
 from coeval.llm.quality import fit_quality, is_held_out, quality_scores
@@ -35,8 +38,8 @@ def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 TOPK_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
@@ -108,3 +111,93 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = repeated_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return lines.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+LEAKS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, w, least(10, len(w)) AS k FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  ) WHERE len(w) > 0
+), wins AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM b)
+), ks AS (SELECT DISTINCT k FROM wins),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d),
+hits AS (
+  SELECT doc_id, s, ks.k AS k, item_id FROM p JOIN ks ON s + ks.k - 1 <= len(w)
+  JOIN wins ON wins.k = ks.k AND wins.g = array_to_string(w[s:s + ks.k - 1], ' ')
+), n AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + k)) AS at FROM hits) GROUP BY 1
+), i AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+
+@_register("op9_benchmark_decontamination", LEAKS_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_hits(docs, read(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
+    found = found.select("key", hit.alias("hit"), F.size("items").cast("bigint").alias("found"), F.array_join("items", ",").alias("names"))
+    words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD)), F.lit(0)).cast("bigint")
+    plain = docs.select("doc_id", leak_key("doc_id", "text").alias("key"), words.alias("n_words"))
+    return plain.join(found, "key", "left").select(
+        "doc_id",
+        "n_words",
+        F.coalesce("hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.coalesce("found", F.lit(0)).cast("bigint").alias("n_items"),
+        F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"),
+    )
+
+
+def _op7_sql() -> str:
+    weights = ", ".join(f"('{name}', '{token}', {weight!r})" for name, token, weight in template_weights(TEMPLATES))
+    known = ", ".join(f"('{token}', {value!r})" for token, value in sorted(inverse_frequency(TEMPLATES).items()))
+    other = unseen_frequency(TEMPLATES)
+    return rf"""
+WITH weights(licence, token, w) AS (VALUES {weights}), idf(token, v) AS (VALUES {known}),
+files AS (
+  SELECT doc_id, coalesce(source, '') || CASE WHEN lang = 'en' THEN '' ELSE '/' || coalesce(lang, '') END AS dir, string_split(text, chr(10)) AS lines FROM documents
+), segments AS (SELECT DISTINCT unnest(lines) AS line FROM files),
+tf AS (
+  SELECT line, token, count(*) AS tf FROM (
+    SELECT line, unnest(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS token FROM segments
+  ) GROUP BY ALL
+), norms AS (SELECT line, sqrt(sum((tf * coalesce(v, {other!r})) ** 2)) AS norm FROM tf LEFT JOIN idf USING (token) GROUP BY 1),
+scores AS (
+  SELECT line, licence, round(sum(tf * v * w) / any_value(norm), 6) AS score FROM tf JOIN idf USING (token) JOIN weights USING (token) JOIN norms USING (line) GROUP BY ALL
+), best AS (
+  SELECT line, arg_max(licence, (score, -rank)) AS licence, max(score) AS score
+  FROM (SELECT *, dense_rank() OVER (ORDER BY licence) AS rank FROM scores WHERE score >= {THRESHOLD!r}) GROUP BY 1
+), own AS (
+  SELECT doc_id, dir, licence, score FROM (
+    SELECT doc_id, dir, licence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r
+    FROM (SELECT doc_id, dir, unnest(lines) AS line FROM files) JOIN best USING (line)
+  ) WHERE r = 1
+), dirs AS (
+  SELECT dir, licence, doc_id AS giver FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, dir || '/' || doc_id) AS r FROM own) WHERE r = 1
+), near AS (
+  SELECT f.doc_id, d.licence, d.giver, row_number() OVER (PARTITION BY f.doc_id ORDER BY len(d.dir) DESC) AS r
+  FROM files f JOIN dirs d ON d.dir = f.dir OR starts_with(f.dir, d.dir || '/')
+)
+SELECT f.doc_id, coalesce(o.licence, n.licence) AS licence, o.score, CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN n.licence IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN o.licence IS NULL THEN n.giver END AS giver
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN (SELECT * FROM near WHERE r = 1) n USING (doc_id)
+"""
+
+
+@_register("op7_license_scans", _op7_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Documents have no file names: English lies in a source's own directory, other languages below it,
+    # and any document with a licence speaks for its directory.
+    folder = F.concat(F.coalesce("source", F.lit("")), F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit("/"), F.coalesce("lang", F.lit("")))))
+    files = read(spark, sf_dir, "documents").select("doc_id", "text", F.concat(folder, F.lit("/"), F.col("doc_id")).alias("path"))
+    found = scan_licences(files, speaks=F.lit(True))
+    last = F.element_at(F.split("given_by", "/"), -1).cast("bigint")
+    return found.select("doc_id", "licence", "score", "origin", last.alias("giver"))
