@@ -12,8 +12,10 @@ have equal anchors. An anchor whose rank is unique rules out every start of a
 long string that would contain it. The rest is ranked again at twice the offset,
 and what is left is past the threshold: runs of starts between anchors are
 ranked whole, with all bytes their strings cover. A run that recurs settles all
-its starts, and one of its copies stands for the others when the starts of runs
-that do not recur are ranked one by one, at the threshold itself.
+its starts. The starts of runs that do not recur are ranked one by one, at the
+threshold itself, and with them those of one copy of every run that recurs and
+is followed by the same anchor as one that does not: a start's string holds that
+anchor, so no other run can have the same string.
 
 A batch sends each rank once, so a string found everywhere costs one row a batch.
 """
@@ -31,6 +33,8 @@ from coeval.session import RunFolder
 #: Bytes ranked at a time, and most starts in one run.
 SEGMENT, RUN = 1 << 18, 256
 LEAST_LENGTH = 16
+#: Text that a part of the ranks stands for, in MB; a part is sorted in one task's memory.
+PART_MB = 6
 
 DEALT = "part int, first binary, second binary, docs binary, places binary, known binary, doc bigint, found binary, lead binary"
 REPLY = "doc bigint, found binary, lead binary"
@@ -71,7 +75,7 @@ def _pieces(texts: list[bytes], look: int):
 
 def _ranks(array: np.ndarray, offset: int, also: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
     """Rank of every position at ``offset``, and at the smaller ``also``."""
-    size = min(8, offset)
+    size = min(8, offset, also or 8)
     n = len(array) - 8
     ranks = np.ndarray((n,), np.uint64, array.tobytes(), 0, (1,)).copy()
     if size < 8:
@@ -375,8 +379,16 @@ def _run_ranks(length: int, parts: int):
     return run
 
 
-def _start_ranks(length: int, parts: int):
-    """(doc, bytes, alive, found, lead) to dealt single starts at the threshold."""
+def _next_anchors(begins: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every run: index of the first anchor after it; whether strings of some starts hold that, and of all."""
+    at = np.searchsorted(anchors, begins + sizes)
+    place = np.append(anchors, np.iinfo(np.int64).max)[at]
+    reach = steps.length - steps.long
+    return at, place - (begins + sizes - 1) <= reach, place - begins <= reach
+
+
+def _next_ranks(length: int, parts: int):
+    """(doc, bytes, alive, found, lead) to dealt anchors after runs: those of leads ask whether a run that does not recur has the same."""
 
     def run(batches):
         steps = Steps(length)
@@ -384,10 +396,39 @@ def _start_ranks(length: int, parts: int):
             keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             texts = [x.as_py() for x in batch.column(1)]
             runs = _runs(texts, [_words(x) for x in batch.column(2)], steps)
+            owner, place, name = _anchors(texts, steps, steps.long)
+            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+            out = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))]
+            for i, (first, sizes) in enumerate(runs):
+                shared, leads = np.isin(first, _words(batch.column(3)[i])), np.isin(first, _words(batch.column(4)[i]))
+                at, some, _ = _next_anchors(first, sizes, place[cuts[i] : cuts[i + 1]], steps)
+                send = (~shared | leads) & some
+                out.append((name[cuts[i] : cuts[i + 1]][at[send]], np.full(int(send.sum()), keys[i]), first[send], leads[send]))
+            names, docs, places, asks = (np.concatenate([x[k] for x in out]) for k in range(4))
+            yield _deal(names, None, docs, places, asks, parts)
+
+    return run
+
+
+def _start_ranks(length: int, parts: int):
+    """(doc, bytes, alive, found, lead, wanted) to dealt single starts at the threshold.
+
+    Leads send theirs where an anchor after them is wanted, or is too far off to tell.
+    """
+
+    def run(batches):
+        steps = Steps(length)
+        for batch in bites(batches, 1, 1 << 20):
+            keys = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            texts = [x.as_py() for x in batch.column(1)]
+            runs = _runs(texts, [_words(x) for x in batch.column(2)], steps)
+            owner, anchors, _ = _anchors(texts, steps, steps.long)
+            cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
             places, asks = [], []
             for i, (first, sizes) in enumerate(runs):
                 shared, leads = np.isin(first, _words(batch.column(3)[i])), np.isin(first, _words(batch.column(4)[i]))
-                send = ~shared | leads
+                _, _, every = _next_anchors(first, sizes, anchors[cuts[i] : cuts[i + 1]], steps)
+                send = ~shared | (leads & (~every | np.isin(first, _words(batch.column(5)[i]))))
                 begin, size = first[send], sizes[send]
                 places.append(np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum()))
                 asks.append(np.repeat(~shared[send], size))
@@ -454,7 +495,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     run = RunFolder(docs.sparkSession)
     short_batches(docs.sparkSession)
     plain = docs.select(row_key(id_column, text).alias("doc"), F.col(text).cast("binary").alias("bytes"))
-    parts = part_count(plain, "bytes", 16)
+    parts = part_count(plain, "bytes", PART_MB)
     body = "doc bigint, bytes binary, alive binary"
 
     found = run.table("short", _settled(plain.mapInArrow(_short_ranks(length, parts), DEALT)))
@@ -467,11 +508,13 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text: str = "text
         drop_table(run, step)
     runs = run.table("runs", _settled(work.mapInArrow(_run_ranks(length, parts), DEALT)))
     texts = work.join(runs, "doc", "left").select("doc", "bytes", "alive", "found", "lead")
+    wanted = run.table("wanted", _settled(texts.mapInArrow(_next_ranks(length, parts), DEALT)).select("doc", F.col("found").alias("wanted")))
+    texts = work.join(runs.join(wanted, "doc", "left"), "doc", "left").select("doc", "bytes", "alive", "found", "lead", "wanted")
     starts = run.table("starts", _settled(texts.mapInArrow(_start_ranks(length, parts), DEALT)).select("doc", F.col("found").alias("lone")))
     answers = runs.select("doc", "found").join(starts, "doc", "full")
     cut = work.join(answers, "doc").select("doc", "bytes", "alive", "found", "lone").mapInArrow(_cutter(length), "doc bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
     result = run.table("spans", cut.withColumnRenamed("doc", "key").dropDuplicates(["key"]))
-    for step in ("rest", "runs", "starts"):
+    for step in ("rest", "runs", "wanted", "starts"):
         drop_table(run, step)
     return result
 
