@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +47,18 @@ def _encoder(path: str):
     tokenizer.no_padding()
 
     def count(words: list[bytes]) -> list[int]:
-        """Tokens of every pre-token; a few at a time, since encodings are large."""
+        """Tokens of every pre-token: some are joined by line feeds and told apart by where tokens start."""
         out: list[int] = []
-        for at in range(0, len(words), 512):
-            out += [len(e.ids) for e in tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words[at : at + 512]], add_special_tokens=False)]
+        at = 0
+        while at < len(words):
+            some, size = [], 0
+            while at < len(words) and size < 1 << 15:
+                some.append(words[at].decode("utf-8", "replace"))
+                size += len(some[-1]) + 1
+                at += 1
+            ends = np.cumsum([len(w) + 1 for w in some])
+            starts = [a for a, _ in tokenizer.encode("\n".join(some), add_special_tokens=False).offsets]
+            out += np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(some)).tolist()
         return out
 
     return count
