@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from coeval.llm.common import small_side
 from coeval.session import RunFolder
 
 #: Weights of the sources in order, share of all sizes, most copies.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
+#: Columns that carry a row's source and its cut; dropped again.
+NAME, CUT = "__coeval_source", "__coeval_cut"
 #: Rows of one source that may meet in one sorted window.
 SLICE_ROWS = 5_000
 
@@ -58,18 +61,17 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return fixed.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(id, draw bigint, size, source, source_size, target, copies int) of every row.
+def _rank(p: Column, draw: Column) -> Column:
+    """Random odds over inclusion odds."""
+    u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return (u / (1 - u)) / (p / (1 - p))
+
 
-    ``copies`` says how often the mix repeats the row, at most ``most`` times,
-    rounded up. ``draw`` is the row's random number. A source's taken words miss
-    its target by at most half of its largest document.
+def mix_cuts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """(source, source_size, target, certain, p, last): what decides the copies of a source's rows.
 
-    A null source is a source of its own. Null and empty texts have size 0 and
-    are taken as certain copies say. Very long texts are counted whole. Rows
-    that repeat id and text draw alike and are ranked one after the other, in
-    any order: they cannot be told apart. An empty table gives no rows; other
-    columns are not read.
+    ``certain`` copies go to every row, one more to those whose struct of rank,
+    draw and id is at most ``last``; null where no row gets one more.
     """
     run = RunFolder(docs.sparkSession)
     plain = docs.select(F.col(id_column).alias("id"), word_count(F.col(text)).alias("size"), F.col(source).alias("source"), F.xxhash64(F.col(id_column), F.col(text)).alias("draw"))
@@ -80,37 +82,52 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source
     targets = targets.withColumn("rate", rate).withColumn("certain", F.floor("rate"))
     targets = run.table("targets", targets.withColumn("p", F.col("rate") - F.col("certain")).withColumn("need", F.col("target") - F.col("certain") * F.col("source_size")))
 
-    # Ranks are cut to slices of about SLICE_ROWS rows; whole slices need only sums.
+    # Ranks are cut to slices of about SLICE_ROWS rows; of all but one a source needs only the sums.
     most_rows = sizes.agg(F.max("rows")).first()[0] or 0
     slices = max(1, -(-most_rows // SLICE_ROWS))
-    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    joined = joined.withColumn("rank", F.when(F.col("p") > 0, odds))
+    named = targets.select(F.col("source").alias("s"), "p", "need").filter("p > 0")
+    drawn = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", _rank(F.col("p"), F.col("draw")))
     # A monotone map of the rank spreads it evenly over the slices.
     even = F.col("rank") * (F.col("p") / (1 - F.col("p")))
     cell = F.least(F.floor(even / (1 + even) * F.lit(slices)), F.lit(slices - 1))
-    joined = joined.withColumn("slice", F.when(F.col("p") > 0, cell))
-    sums = joined.filter("p > 0").groupBy("source", "slice").agg(F.sum("size").alias("held"))
-    before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("slice").alias("c"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), "held")
-    placed = joined.join(starts, joined["source"].eqNullSafe(starts["s"]) & (joined["slice"] == starts["c"]), "left").drop("s", "c")
-    taken_whole = F.col("start") + F.col("held") <= F.col("need")
-    on_edge = (F.col("p") > 0) & ~taken_whole & (F.col("start") < F.col("need"))
-    inside = W.partitionBy("source", "slice").orderBy("rank", "draw", "id")
-    edge = placed.filter(on_edge).withColumn("until", F.col("start") + F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    # The document that crosses the target is in if more of it lies below than above.
-    edge = edge.withColumn("extra", (F.col("until") - F.col("size") / 2 < F.col("need")).cast("int")).drop("until")
-    rest = placed.filter(~F.coalesce(on_edge, F.lit(False))).withColumn("extra", F.coalesce((F.col("p") > 0) & taken_whole, F.lit(False)).cast("int"))
-    return (
-        rest.unionByName(edge)
-        .select(
-            F.col("id").alias(id_column),
-            "draw",
-            "size",
-            F.col("source").alias(source),
-            "source_size",
-            "target",
-            (F.col("certain") + F.col("extra")).cast("int").alias("copies"),
-        )
-    )
+    drawn = drawn.select("s", "need", "size", cell.alias("slice"), F.struct("rank", "draw", "id").alias("place"))
+    sums = drawn.groupBy("s", "slice").agg(F.sum("size").alias("held"), F.max("place").alias("end"), F.first("need").alias("need"))
+    start = F.coalesce(F.sum("held").over(W.partitionBy("s").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = run.table("sums", sums.withColumn("start", start))
+    # Slices below the target are taken whole; the one that crosses it is taken up to a row.
+    whole = sums.filter(F.col("start") + F.col("held") <= F.col("need")).select("s", F.col("end").alias("place"))
+    edge = sums.filter((F.col("start") < F.col("need")) & (F.col("start") + F.col("held") > F.col("need"))).select(F.col("s").alias("t"), F.col("slice").alias("c"), "start")
+    inside = drawn.join(F.broadcast(edge), F.col("s").eqNullSafe(F.col("t")) & (F.col("slice") == F.col("c")))
+    until = F.col("start") + F.sum("size").over(W.partitionBy("s", "slice").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    # The row that crosses the target is in if more of it lies below than above.
+    crossed = inside.withColumn("until", until).filter(F.col("until") - F.col("size") / 2 < F.col("need")).select("s", "place")
+    last = run.table("last", whole.unionAll(crossed).groupBy("s").agg(F.max("place").alias("last")))
+    return targets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "need", "rate")
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The table with size, source_size and target, and how many copies the mix takes.
+
+    ``copies`` int says how often the mix repeats the row, at most ``most``
+    times, rounded up. A source's taken words miss its target by at most half of
+    its largest document. Once the sources' cuts are known, every row's copies
+    follow from itself, so texts are not shuffled.
+
+    A null source is a source of its own. Null and empty texts have size 0.
+    Very long texts are counted whole. Rows that repeat id and text draw alike
+    and are taken together. An empty table gives no rows. Other columns are
+    passed on; those named like the new ones are replaced.
+    """
+    cuts = mix_cuts(docs, id_column, text, source, weights, share, most)
+    cuts = cuts.select(F.struct("source_size", "target", "certain", "p", "last").alias(CUT), F.col("source").alias(NAME))
+    place = F.struct(_rank(F.col(f"{CUT}.p"), F.xxhash64(F.col(id_column), F.col(text))).alias("rank"), F.xxhash64(F.col(id_column), F.col(text)).alias("draw"), F.col(id_column).alias("id"))
+    extra = F.coalesce((F.col(f"{CUT}.p") > 0) & (place <= F.col(f"{CUT}.last")), F.lit(False)).cast("int")
+    joined = docs.join(small_side(RunFolder(docs.sparkSession).table("cuts", cuts)), docs[source].eqNullSafe(F.col(NAME)))
+    return joined.withColumns(
+        {
+            "size": word_count(F.col(text)),
+            "source_size": F.col(f"{CUT}.source_size"),
+            "target": F.col(f"{CUT}.target"),
+            "copies": (F.col(f"{CUT}.certain") + extra).cast("int"),
+        }
+    ).drop(CUT, NAME)
