@@ -1,16 +1,15 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
 An item's windows are its runs of ten consecutive words; a shorter item is one
-window. A window is the set of its word shingles (three words each, fewer if it
-is that short), every one of which a text must have to contain it, so any one is
-a sufficient prefix: the join takes the rarest. One scan of the texts counts the
+window. A window's shingles are its runs of three words (fewer if it is that
+short), all of which a text must have to contain it, so any one of them is a
+sufficient prefix: the join takes the rarest. One scan of the texts counts the
 benchmark's shingles in them, which orders these by rarity and drops windows
-with a shingle that no text has. A second scan joins the prefix shingles by
-place; length and positional bounds place the window in the text, and its words
-are compared with the text's there.
+with one that no text has. A second scan joins the prefix shingles by place; length and positional bounds place the window
+in the text, and its words are compared with the text's there.
 
 Windows are joined in blocks of a fixed number, each block small enough to be
-sent to every task, so texts are never shuffled whatever the benchmark's size.
+sent to every task, so words are never shuffled whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -21,29 +20,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.llm.common import drop_table, lower_ascii
+from coeval.llm.common import drop_table, lower_ascii, small_side
 from coeval.session import RunFolder
 
-#: Words of a window and of a shingle; windows sent to every task at a time.
+#: Words of a window and of a shingle; windows or shingles sent to every task at a time.
 WINDOW, SHINGLE, BLOCK = 10, 3, 200_000
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words: ASCII characters that are neither letters nor digits.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters."""
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), 0), F.array().cast("array<string>"))
+    """Words as they are written; comparing them lowers A-Z."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
-def _shingles(words: Column, width: int) -> Column:
-    """Hash of the ``width`` words from every place; what runs over the end matches nothing."""
-    after = lambda i, k: F.coalesce(F.get(words, i + k), F.lit("\n"))
-    return F.transform(words, lambda w, i: F.xxhash64(F.lit(width), w, *(after(i, k) for k in range(1, width))))
+def _plain(words: Column) -> Column:
+    return F.transform(words, lower_ascii)
+
+
+def _shingles(texts: DataFrame, words: str, width: int, place: str) -> DataFrame:
+    """The rows with ``place`` and ``shingle``, a hash of the ``width`` words from there.
+
+    Words past the end are null and hash to what no shingle within a text has.
+    The outer form is used because Spark infers filters for the other, which
+    would cut the texts into words once more.
+    """
+    spread = texts.select("*", F.posexplode_outer(words).alias(place, "word"))
+    after = [F.get(words, F.col(place) + k) for k in range(1, width)]
+    return spread.withColumn("shingle", F.when(F.col(place) + width <= F.size(words), F.xxhash64(F.lit(width), "word", *after))).drop("word")
 
 
 def _windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
     """(wid, item, words, k) of every window; equal windows share a wid."""
-    items = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("all")).filter(F.size("all") > 0)
+    items = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), _plain(words_of(F.col(text))).alias("all")).filter(F.size("all") > 0)
     k = F.least(F.lit(window), F.size("all"))
     starts = F.sequence(F.lit(1), F.size("all") - k + 1)
     cut = items.select("item", k.alias("k"), "all", F.explode(starts).alias("s")).select("item", "k", F.slice("all", F.col("s"), F.col("k")).alias("words"))
@@ -73,37 +83,45 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     """
     run = RunFolder(docs.sparkSession)
     windows = run.table("windows", _windows(benchmark, item, item_text, window))
-    distinct = windows.select("wid", "words", "k", F.least(F.lit(SHINGLE), "k").alias("width")).dropDuplicates(["wid"])
+    distinct = windows.select("wid", "words", "k", F.transform("words", F.lower).alias("low")).dropDuplicates(["wid"])
+    distinct = run.table("distinct", distinct.withColumn("width", F.least(F.lit(SHINGLE), "k")))
     widths = sorted(r[0] for r in distinct.select("width").distinct().collect())
-    texts = docs.select(row_key(id_column, text).alias("key"), words_of(F.col(text)).alias("all"))
+    # Lowering all letters is quick and leaves the number of words as it is. It finds too
+    # much at most: the words with A-Z lowered decide in the end.
+    texts = docs.select(row_key(id_column, text).alias("key"), words_of(F.lower(F.col(text))).alias("all"))
 
-    inner = lambda w: F.slice(_shingles(F.col("words"), w), F.lit(1), F.col("k") - w + 1)
-    parts = [distinct.filter(F.col("width") == w).select("wid", "words", "k", "width", F.posexplode(inner(w)).alias("offset", "h")) for w in widths]
-    nothing = distinct.filter("false").select("wid", "words", "k", "width", F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("h"))
-    parts = run.table("parts", reduce(DataFrame.unionAll, parts, nothing))
+    nothing = distinct.filter("false").select("wid", "width", F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("shingle"))
+    parts = [_shingles(distinct.filter(F.col("width") == w), "low", w, "offset").select("wid", "width", "offset", "shingle") for w in widths]
+    parts = run.table("parts", reduce(DataFrame.unionAll, parts, nothing).filter("shingle is not null"))
 
     # Rarity of the benchmark's shingles: how often the texts have them.
-    names = run.table("names", parts.select("h", "width").distinct())
-    counts = []
-    for block in _blocks(run, names, "name-blocks", "h"):
+    names = run.table("names", parts.select("shingle", "width").distinct())
+    counts = [names.filter("false").select("shingle", F.lit(0).cast("bigint").alias("df"))]
+    for block in _blocks(run, names, "name-blocks", "shingle"):
         for w in widths:
-            found = texts.select(F.explode(_shingles(F.col("all"), w)).alias("h")).join(F.broadcast(block.filter(F.col("width") == w).select("h")), "h")
-            counts.append(found.groupBy("h").agg(F.count("*").alias("df")))
-    rarity = run.table("rarity", reduce(DataFrame.unionAll, counts)) if counts else names.select("h", F.lit(0).cast("bigint").alias("df"))
-    rated = parts.join(rarity, "h", "left").groupBy("wid").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "offset")).alias("rarest"), F.first("words").alias("words"), F.first("k").alias("k"), F.first("width").alias("width")
-    )
-    prefixes = run.table("prefixes", rated.filter("rarest.df > 0").select("wid", "words", "k", "width", "rarest.h", "rarest.offset"))
-
-    hits = []
-    for block in _blocks(run, prefixes, "prefix-blocks", "wid"):
+            found = _shingles(texts.select("all"), "all", w, "place").select("shingle").join(F.broadcast(block.filter(F.col("width") == w).select("shingle")), "shingle")
+            counts.append(found.groupBy("shingle").agg(F.count("*").alias("df")))
+    rarity = run.table("rarity", reduce(DataFrame.unionAll, counts))
+    rated = parts.join(rarity, "shingle", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "offset")).alias("rarest"))
+    prefixes = rated.filter("rarest.df > 0").select("wid", "rarest.shingle", "rarest.offset").join(distinct, "wid")
+    prefixes = run.table("prefixes", prefixes.select("wid", "shingle", "offset", "words", "k", "low", "width"))
+
+    # Places of prefix shingles carry no text; texts meet theirs again to be compared.
+    places = []
+    for block in _blocks(run, prefixes.select("wid", "shingle", "offset", "width"), "prefix-blocks", "wid"):
         for w in widths:
-            spread = texts.select("key", "all", F.posexplode(_shingles(F.col("all"), w)).alias("place", "h"))
-            placed = spread.join(F.broadcast(block.filter(F.col("width") == w)), "h").withColumn("start", F.col("place") - F.col("offset"))
-            inside = (F.col("start") >= 0) & (F.col("start") + F.col("k") <= F.size("all"))
-            hits.append(placed.filter(inside & (F.slice("all", F.greatest(F.col("start"), F.lit(0)) + 1, F.col("k")) == F.col("words"))).select("key", "start", "k", "wid"))
-    empty = docs.sparkSession.createDataFrame([], "key bigint, start int, k int, wid string")
-    hits = run.table("hits", reduce(DataFrame.unionAll, hits, empty).distinct())
+            spread = _shingles(texts.select("key", "all"), "all", w, "place").select("key", "place", "shingle")
+            placed = spread.join(F.broadcast(block.filter(F.col("width") == w).drop("width")), "shingle")
+            places.append(placed.select("key", (F.col("place") - F.col("offset")).alias("start"), "wid").filter("start >= 0"))
+    nowhere = docs.sparkSession.createDataFrame([], "key bigint, start int, wid string")
+    placed = run.table("places", reduce(DataFrame.unionAll, places, nowhere).distinct().join(prefixes.select("wid", "k", "low", "words"), "wid"))
+    asked = run.table("asked", placed.groupBy("key").agg(F.collect_list(F.struct("start", "k", "wid", "low", "words")).alias("asked")))
+    met = docs.select(row_key(id_column, text).alias("key"), F.col(text).alias("text")).join(small_side(asked.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    met = met.join(asked, "key").select("key", "asked", words_of(F.lower("text")).alias("all"), words_of(F.col("text")).alias("own"))
+    # Slices that end short of a window differ from it.
+    here = lambda words, x: F.slice(words, x["start"] + 1, x["k"])
+    true = F.filter("asked", lambda x: (here(F.col("all"), x) == x["low"]) & (F.transform(here(F.col("own"), x), lower_ascii) == x["words"]))
+    hits = run.table("hits", met.select("key", F.explode_outer(true).alias("x")).filter("x is not null").select("key", "x.start", "x.k", "x.wid"))
 
     before = W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1)
     runs = hits.select("key", "start", (F.col("start") + F.col("k")).alias("stop")).distinct()
@@ -113,7 +131,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     spans = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     items = hits.select("key", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     result = run.table("result", spans.join(items, "key"))
-    for step in ("parts", "names", "rarity", "prefixes", "hits", "windows"):
+    for step in ("distinct", "parts", "names", "rarity", "prefixes", "places", "asked", "hits", "windows"):
         drop_table(run, step)
     return result
 

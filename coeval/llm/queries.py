@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coeval.llm.common import lower_ascii, read
-from coeval.llm.decontam import WORD, benchmark_hits
+from coeval.llm.common import read
+from coeval.llm.decontam import benchmark_hits, words_of
 from coeval.llm.decontam import row_key as leak_key
 from coeval.llm.jaccard import jaccard_classes
 from coeval.llm.licences import TEMPLATES, THRESHOLD, inverse_frequency, scan_licences, template_weights, unseen_frequency
@@ -144,7 +144,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = benchmark_hits(docs, read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
     found = found.select("key", hit.alias("hit"), F.size("items").cast("bigint").alias("found"), F.array_join("items", ",").alias("names"))
-    words = F.coalesce(F.regexp_count(lower_ascii(F.col("text")), F.lit(WORD)), F.lit(0)).cast("bigint")
+    words = F.size(words_of(F.col("text"))).cast("bigint")
     plain = docs.select("doc_id", leak_key("doc_id", "text").alias("key"), words.alias("n_words"))
     return plain.join(found, "key", "left").select(
         "doc_id",
