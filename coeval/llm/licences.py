@@ -3,8 +3,8 @@
 Every line of a file, and a licence file as a whole, is a segment. Equal
 segments are scored once. A segment that reaches the threshold with a template
 must have one of the template's necessary tokens: those whose absence leaves the
-rest of the template's length below the threshold. Only such segments are cut
-into tokens. A file without a licence of its own takes that of the nearest
+rest of the template's length below the threshold. Only segments that contain
+one, as a word or in a word, are cut into tokens. A file without a licence of its own takes that of the nearest
 ancestor directory in which a file speaks for the directory.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -125,13 +126,15 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     run = RunFolder(files.sparkSession)
     named = F.col(path).rlike(r"(^|/)(?i:LICEN[SC]E|COPYING|NOTICE)([.-][^/]*)?$")
     known = speaks is not None
-    needed = r"(?<![a-z0-9])(" + "|".join(necessary_tokens(templates, threshold)) + r")(?![a-z0-9])"
+    tokens = necessary_tokens(templates, threshold)
+    tokens = [t for t in tokens if not any(o != t and o in t for o in tokens)]
+    could_match = lambda s: reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(t)) for t in tokens])
     lines = F.split(F.col(text), "\n")
     pieces = lines if known else F.when(named, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
     carried = [c for c in files.columns if c != text]
     # A text without a needed token is settled before it is cut into lines.
-    could = F.filter(F.when(lower_ascii(F.col(text)).rlike(needed), pieces), lambda s: lower_ascii(s).rlike(needed))
-    rows = files.select(F.xxhash64(F.col(path), F.col(text)).alias(MARK), F.col(path).alias("p"), F.coalesce(speaks if known else named, F.lit(False)).alias("speaks"), F.explode(could).alias("segment"))
+    could = F.filter(F.when(could_match(F.col(text)), pieces), could_match)
+    rows = files.select(F.xxhash64(F.col(path), F.col(text)).alias(MARK), F.col(path).alias("p"), F.coalesce(speaks if known else named, F.lit(False)).alias("speaks"), F.explode_outer(could).alias("segment")).filter("segment is not null")
     rows = run.table("rows", rows)
     best = run.table("best", _scored(rows.select("segment").distinct(), templates, threshold))
     first = F.min(F.struct((-F.col("score")).alias("below"), "licence", "p", "speaks", "score"))
