@@ -3,8 +3,7 @@
 Every line of a file, and a licence file as a whole, is a segment. Equal
 segments are scored once. A segment that reaches the threshold with a template
 must have one of the template's necessary tokens: those whose absence leaves the
-rest of the template's length below the threshold. Only segments that contain
-one, as a word or in a word, are cut into tokens. A file without a licence of its own takes that of the nearest
+rest of the template's length below the threshold. Only such segments are scored. A file without a licence of its own takes that of the nearest
 ancestor directory in which a file speaks for the directory.
 """
 
@@ -12,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import reduce
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -72,12 +70,12 @@ def template_weights(templates: dict[str, str]) -> list[tuple[str, str, float]]:
 def necessary_tokens(templates: dict[str, str], threshold: float) -> list[str]:
     """Tokens of which a segment that reaches the threshold has at least one.
 
-    Of each template the longest words first, until what is left is too short.
+    Of each template the heaviest of its longer words first, until what is left is too short.
     """
     need = set()
     for name in templates:
         rest = {t: w for n, t, w in template_weights(templates) if n == name}
-        for token in sorted(rest, key=lambda t: (-len(t), t)):
+        for token in sorted(rest, key=lambda t: (len(t) < 3, -rest[t], t)):
             # A little below the threshold, for rounding.
             if sqrt(sum(w * w for w in rest.values())) < threshold - 1e-5:
                 break
@@ -126,9 +124,8 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     run = RunFolder(files.sparkSession)
     named = F.col(path).rlike(r"(^|/)(?i:LICEN[SC]E|COPYING|NOTICE)([.-][^/]*)?$")
     known = speaks is not None
-    tokens = necessary_tokens(templates, threshold)
-    tokens = [t for t in tokens if not any(o != t and o in t for o in tokens)]
-    could_match = lambda s: reduce(lambda a, b: a | b, [F.contains(F.lower(s), F.lit(t)) for t in tokens])
+    tokens = F.array(*[F.lit(t) for t in necessary_tokens(templates, threshold)])
+    could_match = lambda s: F.arrays_overlap(F.split(F.lower(s), "[^a-z0-9]+"), tokens)
     lines = F.split(F.col(text), "\n")
     pieces = lines if known else F.when(named, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
     carried = [c for c in files.columns if c != text]
