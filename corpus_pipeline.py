@@ -39,9 +39,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that had lines with words and has none left goes: all it said is
     said earlier. Texts without words stay. `n_chars` follows the text.
     """
-    had = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(0)) > 0
     lines = repeated_lines(docs)
-    left = lines.filter((F.col("n_removed") == 0) | had)
+    left = lines.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars"))
 
 
