@@ -28,6 +28,26 @@ def uniform(*parts: object) -> Column:
     return counter(*parts).cast("double") / F.lit(_SCALE)
 
 
+def permutation_domain(count: int) -> int:
+    """Smallest power of four that holds ``count`` numbers: what ``permuted`` runs over."""
+    return 1 << (2 * max(1, -(-max(1, count - 1).bit_length() // 2)))
+
+
+def permuted(index: Column, domain: int, *parts: object) -> Column:
+    """Number at ``index`` of a pseudorandom permutation of 0 .. domain - 1.
+
+    Six Feistel rounds over the two halves of the number's bits, keyed by the
+    parts. One to one for any round function, so no draw comes twice.
+    """
+    bits = (domain.bit_length() - 1) // 2
+    mask = F.lit((1 << bits) - 1).cast("bigint")
+    key = F.xxhash64(*[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    high, low = F.shiftright(index, bits), index.bitwiseAND(mask)
+    for turn in range(6):
+        high, low = low, high.bitwiseXOR(F.xxhash64(low, F.lit(turn), key).bitwiseAND(mask))
+    return F.shiftleft(high, bits).bitwiseOR(low)
+
+
 def derive_seed(*identity: object) -> int:
     """Stable unsigned 64-bit seed from a NUL-joined identity."""
     payload = "\0".join(str(part) for part in identity)

@@ -1,21 +1,25 @@
-"""Swap rounds over many jobs at once, cut into bounded blocks.
+"""Swap rounds over many jobs at once.
 
 A job is one chain, or one restart of one bootstrap replicate. Its state is a
-table of (job, slot, row_id). A round splits the job's slots at random into
-blocks of about ``block_slots``; every candidate offered in the round goes to
-exactly one block, so no two blocks can pick the same row.
+table of (job, slot, row_id) with slots 0, 1, ... of the set.
 
-Each block measures its swaps against the job's whole residual r (current mean
-CDF minus target), scaled to the block's own size: after the swaps of block b,
-its residual is r + d_b with d_b the change of the block's own mean CDF. Blocks
-hold fractions w_b of the slots, so the job's new residual is the w-weighted
-mean of the r + d_b, and since W1 is a norm of the residual,
+Improving (``improve_round``). Every slot is offered one candidate, no candidate
+twice. Slots are cut into random blocks of about ``block_slots``. Each block
+measures its swaps against the job's whole residual r (current mean CDF minus
+target), scaled to the block's own size: after the swaps of block b, its residual
+is r + d_b with d_b the change of the block's own mean CDF. Blocks hold fractions
+w_b of the slots, so the job's new residual is the w-weighted mean of the r + d_b,
+and since W1 is a norm of the residual,
 
     W1(new) <= sum_b w_b * |r + d_b|.
 
-Hence when every block only improves, the job improves, and when every block
-stays within the limit, so does the job, whatever order the blocks ran in.
-With one block this is the plain sequential rule.
+Hence when every block only improves, the job improves, whatever order the blocks
+ran in.
+
+Walking (``walk_round``). A chain's proposals are independent draws of a slot and
+a candidate, made in advance; one task replays them in order against the chain's
+exact residual. A round is a stretch of the sequential walk, so neither its
+length nor the number of tasks is part of the law. Chains run side by side.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
-from coeval.functions.rng import uniform
+from coeval.functions.rng import permutation_domain, permuted, uniform
 from coeval.operators import cdf
-from coeval.operators.ranks import smallest_by_key
+from coeval.operators.ranks import dense_row_ids, ordinal_in_group, smallest_by_key
 from coeval.plans import replay
 
 # Workers get the block runner itself, so executors need no installed package.
@@ -40,21 +44,31 @@ cloudpickle.register_pickle_by_value(replay)
 @dataclass(frozen=True)
 class BlockConfig:
     block_slots: int = 1024
-    offers_per_slot: float = 4.0
+    walk_proposals: int = 4096
 
     def validate(self) -> None:
-        if self.block_slots <= 0 or self.offers_per_slot < 1:
-            raise ValueError("block slots must be positive and offers per slot at least one")
+        if self.block_slots <= 0 or self.walk_proposals <= 0:
+            raise ValueError("block slots and proposals of a walk round must be positive")
 
 
 def first_state(candidates: DataFrame, jobs: list[int], size: int, seed: int) -> DataFrame:
-    """``size`` distinct random candidates per job; a slot is named by its first row."""
+    """``size`` distinct random candidates per job, in slots 0, 1, ... by row."""
     job = F.explode(F.array(*[F.lit(j) for j in jobs])).alias("job")
     keyed = candidates.select("row_id", job).withColumn(
         "key", uniform(seed, "first", F.col("job"), F.col("row_id"))
     )
     chosen = smallest_by_key(keyed, ["job"], "key", "row_id", F.lit(size))
-    return chosen.select("job", F.col("row_id").alias("slot"), "row_id")
+    return numbered(chosen)
+
+
+def numbered(members: DataFrame) -> DataFrame:
+    """(job, slot, row_id): the rows of every job in slots 0, 1, ... by row."""
+    return ordinal_in_group(members.select("job", "row_id"), ["job"], ["row_id"], "row_id").select("job", F.col("ord").alias("slot"), "row_id")
+
+
+def indexed(candidates: DataFrame) -> DataFrame:
+    """(idx, row_id) with idx 0, 1, ... over all candidates."""
+    return dense_row_ids(candidates.select(F.col("row_id").alias("position"))).select(F.col("row_id").alias("idx"), F.col("position").alias("row_id"))
 
 
 def job_cdfs(state: DataFrame, changes: DataFrame, grid: Grid) -> DataFrame:
@@ -70,72 +84,97 @@ def residual_arrays(cdfs: DataFrame, targets: DataFrame) -> DataFrame:
     return cells.select("job", F.transform("c", lambda x: x["r"]).alias("residual"))
 
 
-def swap_round(
+def _offers(state: DataFrame, pool: DataFrame, pool_size: int, jobs: list[int], size: int, seed: int, tag: str) -> DataFrame:
+    """(job, slot, row_id): another candidate for every slot, none twice in a job.
+
+    Turn after turn a permutation of the candidates' numbers is read; numbers
+    beyond the pool and rows that the job holds are passed over, and the next
+    one goes to the next slot. Work follows the set's size, not the pool's. A few
+    turns more than expected are read; past that, last slots go without.
+    """
+    outside = max(0, pool_size - size)
+    domain = permutation_domain(pool_size)
+    turns = min(domain, math.ceil(1.1 * size * domain / max(1, outside)) + 256)
+    job = F.explode(F.array(*[F.lit(j) for j in jobs])).alias("job")
+    drawn = state.sparkSession.range(turns).select(F.col("id").alias("turn"), job).withColumn("idx", permuted(F.col("turn"), domain, seed, tag, F.col("job")))
+    rows = drawn.where(F.col("idx") < pool_size).join(pool, "idx").join(state.select("job", "row_id"), ["job", "row_id"], "left_anti")
+    ranked = ordinal_in_group(rows, ["job"], ["turn"], "turn")
+    return ranked.where(F.col("ord") < size).select("job", F.col("ord").alias("slot"), "row_id")
+
+
+def improve_round(
     state: DataFrame,
-    candidates: DataFrame,
+    pool: DataFrame,
     pool_size: int,
     profiles: DataFrame,
-    goals: DataFrame,
+    residuals: DataFrame,
     grid: Grid,
     jobs: list[int],
     size: int,
-    mode: str,
     seed: int,
     tag: str,
     config: BlockConfig,
     absolute: float = 0.0,
     relative: float = 0.0,
 ) -> DataFrame:
-    """Swaps and tallies of one round; ``goals`` has (job, residual, limit, required).
-
-    Offers are thinned to the number a round can use. A candidate's place in a
-    round is a counter draw, so it is offered to one block in one random
-    position and the offers are a uniform sample without replacement.
-    """
+    """Swaps and tallies of one improving round. ``pool`` is ``indexed`` candidates."""
     blocks = max(1, math.ceil(size / config.block_slots))
-    per_slot = config.offers_per_slot if mode == "walk" else 1.25
-    rate = min(1.0, per_slot * size / max(1, pool_size - size))
-    job = F.explode(F.array(*[F.lit(j) for j in jobs])).alias("job")
-    share = uniform(seed, tag, "offer", F.col("job"), F.col("row_id"))
-    draw = lambda *names: uniform(seed, tag, *names)
-    offers = (
-        candidates.select("row_id", job)
-        .withColumn("_u", share)
-        .where(F.col("_u") < rate)
-        .join(state.select("job", "row_id"), ["job", "row_id"], "left_anti")
-        .select(
-            "job",
-            F.floor(F.col("_u") / rate * blocks).cast("int").alias("block"),
-            F.lit(replay.OFFER).alias("kind"),
-            draw("order", F.col("job"), F.col("row_id")).alias("ord"),
-            draw("pick", F.col("job"), F.col("row_id")).alias("pick"),
-            F.lit(-1).cast("bigint").alias("slot"),
-            "row_id",
-        )
+    draw = lambda name: uniform(seed, tag, name, F.col("job"), F.col("slot"))
+    mine = state.where(F.col("job").isin(jobs))
+    both = mine.withColumn("kind", F.lit(replay.SLOT)).unionByName(
+        _offers(mine, pool, pool_size, jobs, size, seed, tag).withColumn("kind", F.lit(replay.OFFER))
     )
-    slots = state.where(F.col("job").isin(jobs)).select(
-        "job",
-        F.floor(draw("block", F.col("job"), F.col("slot")) * blocks).cast("int").alias("block"),
-        F.lit(replay.SLOT).alias("kind"),
-        draw("turn", F.col("job"), F.col("slot")).alias("ord"),
-        F.lit(0.0).alias("pick"),
-        "slot",
-        "row_id",
+    # A slot and its offer are in one block and have one turn.
+    placed = both.withColumns({"block": F.floor(draw("block") * blocks).cast("int"), "ord": draw("turn")})
+    paired = placed.join(
+        placed.where(F.col("kind") == replay.OFFER).select("job", "slot"), ["job", "slot"], "left_semi"
     )
-    items = slots.unionByName(offers).join(profiles, "row_id")
-    spread = goals.select(
-        F.col("job").alias("goal_job"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("goal_block"),
-        "residual",
-        "limit",
-        "required",
-        F.lit(size).alias("size"),
+    spread = residuals.select(
+        F.col("job").alias("goal_job"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("goal_block"), "residual"
     )
-    runner = replay.block_runner(mode, grid.width, absolute, relative)
     return (
-        items.groupBy("job", "block")
+        paired.join(profiles, "row_id")
+        .groupBy("job", "block")
         .cogroup(spread.groupBy("goal_job", "goal_block"))
-        .applyInPandas(runner, schema=replay.OUTPUT)
+        .applyInPandas(replay.block_runner(grid.width, absolute, relative), schema=replay.OUTPUT)
+    )
+
+
+def walk_round(
+    state: DataFrame,
+    pool: DataFrame,
+    pool_size: int,
+    profiles: DataFrame,
+    goals: DataFrame,
+    grid: Grid,
+    jobs: list[int],
+    size: int,
+    seed: int,
+    tag: str,
+    proposals: int,
+) -> DataFrame:
+    """Swaps and tallies of one stretch of every job's walk.
+
+    ``goals`` has (job, residual, limit, required). A proposal is drawn by its
+    number alone; its slot and its candidate are looked up by equal keys.
+    """
+    job = F.explode(F.array(*[F.lit(j) for j in jobs])).alias("job")
+    draw = lambda name, n: F.least(F.floor(uniform(seed, tag, name, F.col("job"), F.col("ord")) * n), F.lit(n - 1)).cast("bigint")
+    drawn = state.sparkSession.range(proposals).select(F.col("id").alias("ord"), job)
+    drawn = drawn.withColumns({"slot": draw("slot", size), "idx": draw("candidate", pool_size)})
+    held = state.where(F.col("job").isin(jobs)).select("job", "row_id", F.lit(True).alias("held"))
+    offers = drawn.join(pool, "idx").join(held, ["job", "row_id"], "left").select(
+        "job", F.lit(replay.OFFER).alias("kind"), F.col("ord").cast("double").alias("ord"), "slot", "row_id", F.coalesce("held", F.lit(False)).alias("inside")
+    )
+    slots = state.join(drawn.select("job", "slot").distinct(), ["job", "slot"]).select(
+        "job", F.lit(replay.SLOT).alias("kind"), F.lit(0.0).alias("ord"), "slot", "row_id", F.lit(True).alias("inside")
+    )
+    spread = goals.select(F.col("job").alias("goal_job"), "residual", "limit", "required", F.lit(size).alias("size"))
+    return (
+        slots.unionByName(offers).join(profiles, "row_id")
+        .groupBy("job")
+        .cogroup(spread.groupBy("goal_job"))
+        .applyInPandas(replay.walk_runner(grid.width), schema=replay.OUTPUT)
     )
 
 

@@ -22,64 +22,86 @@ def curve(bins, slopes, intercepts, completes, size: int) -> np.ndarray:
     return np.clip(np.arange(size) * line[0] + line[1] + line[2], 0.0, 1.0)
 
 
-def block_runner(mode: str, width: float, absolute: float, relative: float):
+def block_runner(width: float, absolute: float, relative: float):
     """Function for a cogrouped block: (items, goal) to the block's swaps.
 
-    ``improve`` pairs each slot with one offer and keeps a swap that lowers
-    the distance by more than the tolerance. ``walk`` sends every offer to a
-    random slot and keeps any swap that stays within the limit, until the
-    block's share of accepted swaps is reached.
+    Each slot is paired with one offer; a swap stays that lowers the distance by
+    more than the tolerance.
     """
 
     def run(items: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
-        columns = ["job", "block", "slot", "row_id", "accepted", "tried"]
         if items.empty or goal.empty:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
+            return _result(0, 0, {}, 0, 0).iloc[:0]
         job, block = int(items["job"].iloc[0]), int(items["block"].iloc[0])
         gap = np.asarray(goal["residual"].iloc[0], dtype=np.float64).copy()
         size = gap.size
         slots = items[items["kind"] == SLOT].sort_values(["ord", "row_id"])
         offers = items[items["kind"] == OFFER].sort_values(["ord", "row_id"])
-        shape = ["bins", "slopes", "intercepts", "completes"]
-        held = [tuple(r) for r in slots[shape].itertuples(index=False)]
-        rows = slots["row_id"].to_numpy().copy()
-        names = slots["slot"].to_numpy()
-        n = len(rows)
+        n = len(slots)
         distance = np.abs(gap[:-1]).sum() * width
+        tried, swapped = 0, {}
+        for old, new in zip(slots.itertuples(index=False), offers.itertuples(index=False)):
+            tried += 1
+            trial = gap + (_curve_of(new, size) - _curve_of(old, size)) / n
+            moved = np.abs(trial[:-1]).sum() * width
+            if moved < distance - max(absolute, relative * max(distance, 1.0)):
+                gap, distance = trial, moved
+                swapped[old.slot] = new.row_id
+        return _result(job, block, swapped, len(swapped), tried)
+
+    return run
+
+
+def walk_runner(width: float):
+    """Function for one chain's round: (items, goal) to the swaps of its proposals.
+
+    Proposals are tried one after the other against the whole set's residual: a
+    random slot, a random candidate, and the swap stays if the set keeps within
+    the limit. A candidate that the set holds at its turn is not a proposal but
+    a redraw. The round ends early at the required number of accepted swaps.
+    How many proposals a round has changes nothing else, since the next round
+    goes on from where this one ended.
+    """
+
+    def run(items: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
+        if items.empty or goal.empty:
+            return _result(0, 0, {}, 0, 0).iloc[:0]
+        gap = np.asarray(goal["residual"].iloc[0], dtype=np.float64).copy()
+        size, n = gap.size, int(goal["size"].iloc[0])
+        limit, wanted = float(goal["limit"].iloc[0]), int(goal["required"].iloc[0])
+        slots = {r.slot: r for r in items[items["kind"] == SLOT].itertuples(index=False)}
+        rows = {s: r.row_id for s, r in slots.items()}
+        curves = {}
+        entered, gone, swapped = set(), set(), {}
         accepted = tried = 0
-        if n:
-            wanted = int(np.ceil(goal["required"].iloc[0] * n / goal["size"].iloc[0])) if mode == "walk" else n
-            limit = float(goal["limit"].iloc[0])
-            picks = offers["pick"].to_numpy()
-            fresh = offers[["row_id", *shape]].itertuples(index=False)
-            for index, (new, *profile) in enumerate(fresh):
-                if mode == "walk":
-                    if accepted >= wanted:
-                        break
-                    at = min(int(picks[index] * n), n - 1)
-                else:
-                    if index >= n:
-                        break
-                    at = index
-                tried += 1
-                trial = gap + (curve(*profile, size) - curve(*held[at], size)) / n
-                moved = np.abs(trial[:-1]).sum() * width
-                if mode == "walk":
-                    take = moved <= limit
-                else:
-                    take = moved < distance - max(absolute, relative * max(distance, 1.0))
-                if take:
-                    gap, distance = trial, moved
-                    held[at] = tuple(profile)
-                    rows[at] = new
-                    accepted += 1
-        changed = rows != slots["row_id"].to_numpy()
-        swaps = pd.DataFrame(
-            {"job": job, "block": block, "slot": names[changed], "row_id": rows[changed], "accepted": 0, "tried": 0}
-        )
-        tally = pd.DataFrame(
-            {"job": [job], "block": [block], "slot": [-1], "row_id": [-1], "accepted": [accepted], "tried": [tried]}
-        )
-        return pd.concat([swaps, tally], ignore_index=True)[columns]
+        for offer in items[items["kind"] == OFFER].sort_values("ord").itertuples(index=False):
+            if accepted >= wanted:
+                break
+            if offer.row_id in entered or (offer.inside and offer.row_id not in gone):
+                continue
+            at = offer.slot
+            if at not in curves:
+                curves[at] = _curve_of(slots[at], size)
+            tried += 1
+            new = _curve_of(offer, size)
+            trial = gap + (new - curves[at]) / n
+            if np.abs(trial[:-1]).sum() * width <= limit:
+                entered.discard(rows[at])
+                gone.add(rows[at])
+                gone.discard(offer.row_id)
+                entered.add(offer.row_id)
+                gap, rows[at], curves[at], swapped[at] = trial, offer.row_id, new, offer.row_id
+                accepted += 1
+        return _result(int(items["job"].iloc[0]), 0, swapped, accepted, tried)
 
     return run
+
+
+def _curve_of(row, size: int) -> np.ndarray:
+    return curve(row.bins, row.slopes, row.intercepts, row.completes, size)
+
+
+def _result(job: int, block: int, swapped: dict, accepted: int, tried: int) -> pd.DataFrame:
+    """One row a changed slot, then one with the counts."""
+    rows = [(job, block, slot, row, 0, 0) for slot, row in swapped.items()]
+    return pd.DataFrame([*rows, (job, block, -1, -1, accepted, tried)], columns=["job", "block", "slot", "row_id", "accepted", "tried"])

@@ -1,5 +1,6 @@
 """Samplers against brute force and their own guarantees."""
 
+import itertools
 import math
 import random
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
+from coeval.functions.rng import permutation_domain, permuted
 from coeval.operators import cdf
 from coeval.plans import blocks, matcher, rejection, replay, swap, validation
 from coeval.plans.target import TargetConfig, build_target
@@ -52,47 +54,127 @@ def _profile(rnd, bins):
 def _items(rnd, slots, offers, bins):
     records = []
     for i in range(slots):
-        records.append([0, 0, replay.SLOT, rnd.random(), 0.0, i, i, *_profile(rnd, bins)])
+        records.append([0, 0, replay.SLOT, rnd.random(), i, i, True, *_profile(rnd, bins)])
     for i in range(offers):
-        records.append([0, 0, replay.OFFER, rnd.random(), rnd.random(), -1, 1000 + i, *_profile(rnd, bins)])
-    names = ["job", "block", "kind", "ord", "pick", "slot", "row_id", "bins", "slopes", "intercepts", "completes"]
+        records.append([0, 0, replay.OFFER, rnd.random(), rnd.randrange(slots), 1000 + i, False, *_profile(rnd, bins)])
+    names = ["job", "block", "kind", "ord", "slot", "row_id", "inside", "bins", "slopes", "intercepts", "completes"]
     return pd.DataFrame(records, columns=names)
 
 
-def _curve(profile, bins):
-    return replay.curve(*profile, bins)
+SHAPE = ["bins", "slopes", "intercepts", "completes"]
 
 
-@pytest.mark.parametrize("mode", ["improve", "walk"])
-def test_one_block_is_the_sequential_rule(mode):
+def _curve(row, bins):
+    return replay.curve(*[getattr(row, c) for c in SHAPE], bins)
+
+
+def _start(items, goal, bins):
+    held = {r.slot: (r.row_id, _curve(r, bins)) for r in items.itertuples() if r.kind == replay.SLOT}
+    return held, lambda: np.abs((np.mean([c for _, c in held.values()], axis=0) - goal)[:-1]).sum()
+
+
+def test_one_block_improves_in_order():
     rnd, bins, slots = random.Random(5), 12, 15
-    items = _items(rnd, slots, 60, bins)
-    goal = np.linspace(0.1, 1, bins)
-    shape = ["bins", "slopes", "intercepts", "completes"]
-    held = {r.slot: (r.row_id, _curve([getattr(r, c) for c in shape], bins)) for r in items.itertuples() if r.kind == replay.SLOT}
+    items, goal = _items(rnd, slots, 60, bins), np.linspace(0.1, 1, bins)
+    held, distance = _start(items, goal, bins)
     mean = np.mean([c for _, c in held.values()], axis=0)
-    limit = np.abs((mean - goal)[:-1]).sum() * 1.2
-    frame = pd.DataFrame({"residual": [mean - goal], "limit": [limit], "required": [9], "size": [slots]})
-    out = replay.block_runner(mode, 1.0, 0.0, 0.0)(items, frame)
-
+    out = replay.block_runner(1.0, 0.0, 0.0)(items, pd.DataFrame({"residual": [mean - goal]}))
     order = [r.slot for r in items[items.kind == replay.SLOT].sort_values("ord").itertuples()]
-    offers = list(items[items.kind == replay.OFFER].sort_values("ord").itertuples())
     accepted = 0
-    distance = lambda: np.abs((np.mean([c for _, c in held.values()], axis=0) - goal)[:-1]).sum()
-    for i, offer in enumerate(offers if mode == "walk" else offers[:slots]):
-        if mode == "walk" and accepted == 9:
-            break
-        slot = order[int(offer.pick * slots)] if mode == "walk" else order[i]
+    for slot, offer in zip(order, items[items.kind == replay.OFFER].sort_values("ord").itertuples()):
         before, old = distance(), held[slot]
-        held[slot] = (offer.row_id, _curve([getattr(offer, c) for c in shape], bins))
-        if (distance() <= limit) if mode == "walk" else (distance() < before):
+        held[slot] = (offer.row_id, _curve(offer, bins))
+        if distance() < before:
             accepted += 1
         else:
             held[slot] = old
     tally = out[out.slot == -1].iloc[0]
-    assert tally.accepted == accepted
-    changed = {r.slot: r.row_id for r in out.itertuples() if r.slot >= 0}
-    assert changed == {s: r for s, (r, _) in held.items() if r != s}
+    assert (tally.accepted, tally.tried) == (accepted, slots)
+    assert {r.slot: r.row_id for r in out.itertuples() if r.slot >= 0} == {s: r for s, (r, _) in held.items() if r != s}
+
+
+def test_walk_is_the_sequential_rule():
+    rnd, bins, slots = random.Random(5), 12, 15
+    items, goal = _items(rnd, slots, 60, bins), np.linspace(0.1, 1, bins)
+    # rows drawn twice, and rows that the set holds, are redrawn while it does
+    again = items[items.kind == replay.OFFER].iloc[:20].copy()
+    again["ord"] += 1
+    inside = items[items.kind == replay.SLOT].copy()
+    inside["kind"], inside["ord"], inside["slot"] = replay.OFFER, [rnd.random() * 2 for _ in range(slots)], [rnd.randrange(slots) for _ in range(slots)]
+    items = pd.concat([items, again, inside], ignore_index=True)
+    held, distance = _start(items, goal, bins)
+    mean = np.mean([c for _, c in held.values()], axis=0)
+    limit = np.abs((mean - goal)[:-1]).sum() * 1.2
+    for required in (9, 1000):
+        held, distance = _start(items, goal, bins)
+        frame = pd.DataFrame({"residual": [mean - goal], "limit": [limit], "required": [required], "size": [slots]})
+        out = replay.walk_runner(1.0)(items, frame)
+        accepted = tried = 0
+        for offer in items[items.kind == replay.OFFER].sort_values("ord").itertuples():
+            if accepted == required:
+                break
+            if offer.row_id in {r for r, _ in held.values()}:
+                continue
+            tried += 1
+            old = held[offer.slot]
+            held[offer.slot] = (offer.row_id, _curve(offer, bins))
+            if distance() <= limit:
+                accepted += 1
+            else:
+                held[offer.slot] = old
+        tally = out[out.slot == -1].iloc[0]
+        assert (tally.accepted, tally.tried) == (accepted, tried)
+        changed = {r.slot: r.row_id for r in out.itertuples() if r.slot >= 0}
+        assert {s: changed.get(s, s) for s in range(slots)} == {s: r for s, (r, _) in held.items()}
+
+
+@pytest.mark.parametrize("proposals", [1, 4, 64])
+def test_walk_visits_feasible_sets_alike(proposals):
+    """Occupancy of a small pool by chi-square, whatever the length of a round."""
+    rnd, bins, pool, size = random.Random(proposals), 8, 7, 3
+    shapes = [_profile(rnd, bins) for _ in range(pool)]
+    curves = [replay.curve(*p, bins) for p in shapes]
+    goal = np.mean(curves, axis=0)
+    gap = lambda rows: np.mean([curves[r] for r in rows], axis=0) - goal
+    far = lambda rows: np.abs(gap(rows)[:-1]).sum()
+    every = list(itertools.combinations(range(pool), size))
+    limit = sorted(map(far, every))[2 * len(every) // 3]
+    feasible = {frozenset(c) for c in every if far(c) <= limit}
+    state = list(min(every, key=far))
+    names = ["job", "kind", "ord", "slot", "row_id", "inside", *SHAPE]
+    runner, seen, steps = replay.walk_runner(1.0), {}, 0
+    # every 64th proposal is counted, so that counts are close to independent
+    while steps < 64 * 600:
+        offers = [[0, replay.OFFER, float(i), rnd.randrange(size), r, r in state] for i, r in enumerate(rnd.randrange(pool) for _ in range(proposals))]
+        slots = [[0, replay.SLOT, 0.0, s, r, True] for s, r in enumerate(state)]
+        items = pd.DataFrame([[*x, *shapes[x[4]]] for x in slots + offers], columns=names)
+        goals = pd.DataFrame({"residual": [gap(state)], "limit": [limit], "required": [10**6], "size": [size]})
+        for r in runner(items, goals).itertuples():
+            if r.slot >= 0:
+                state[r.slot] = r.row_id
+        steps += proposals
+        if steps % 64 == 0:
+            key = frozenset(state)
+            seen[key] = seen.get(key, 0) + 1
+    assert set(seen) <= feasible
+    expected = sum(seen.values()) / len(feasible)
+    chi = sum((seen.get(f, 0) - expected) ** 2 / expected for f in feasible)
+    # five standard deviations above its mean
+    assert chi < (len(feasible) - 1) + 5 * math.sqrt(2 * (len(feasible) - 1))
+
+
+def test_offers_give_every_slot_another_candidate(spark, store):
+    _, _, _, pool, _, _ = store
+    run = RunFolder(spark)
+    state = run.table("state", blocks.first_state(pool, [0, 1], X, 3))
+    offers = blocks._offers(state, blocks.indexed(pool), N - X, [0, 1], X, 3, "t").collect()
+    held = {(r["job"], r["row_id"]) for r in state.collect()}
+    assert sorted((r["job"], r["slot"]) for r in offers) == [(j, s) for j in (0, 1) for s in range(X)]
+    rows = [(r["job"], r["row_id"]) for r in offers]
+    assert len(set(rows)) == 2 * X and not set(rows) & held
+    domain = permutation_domain(N - X)
+    numbers = spark.range(domain).select(permuted(F.col("id"), domain, "seed").alias("p")).collect()
+    assert sorted(r["p"] for r in numbers) == list(range(domain))
 
 
 def _distances(state, changes, target, jobs):
@@ -101,8 +183,8 @@ def _distances(state, changes, target, jobs):
     return {r["job"]: r["wasserstein"] for r in blocks.job_distances(means, aims, target.grid).collect()}
 
 
-@pytest.mark.parametrize("mode,slots", [("improve", 7), ("improve", 1000), ("walk", 7)])
-def test_blocks_together_keep_the_guarantee(spark, store, mode, slots):
+@pytest.mark.parametrize("slots", [7, 1000])
+def test_blocks_together_keep_the_guarantee(spark, store, slots):
     facts, _, _, pool, _, target = store
     run = RunFolder(spark)
     changes = run.table("changes", cdf.row_changes(facts, target.grid))
@@ -110,28 +192,48 @@ def test_blocks_together_keep_the_guarantee(spark, store, mode, slots):
     jobs = [0, 1]
     state = run.table("state", blocks.first_state(pool, jobs, X, 3))
     before = _distances(state, changes, target, jobs)
-    limit = max(before.values()) + 50.0
-    goals = blocks.residual_arrays(
+    residuals = blocks.residual_arrays(
         blocks.job_cdfs(state, changes, target.grid), blocks.for_every_job(target.cdf, jobs)
-    ).withColumns({"limit": F.lit(limit), "required": F.lit(X)})
+    )
     swaps = run.table(
         "swaps",
-        blocks.swap_round(
-            state, pool, N - X, profiles, goals, target.grid, jobs, X, mode, 3, "t", blocks.BlockConfig(slots)
+        blocks.improve_round(
+            state, blocks.indexed(pool), N - X, profiles, residuals, target.grid, jobs, X, 3, "t", blocks.BlockConfig(slots)
         ),
     )
     after_state = run.table("after", blocks.apply_swaps(state, swaps))
     after = _distances(after_state, changes, target, jobs)
     counts = blocks.tallies(swaps)
     for job in jobs:
-        assert counts[job][0] > 0
-        assert after[job] <= (before[job] if mode == "improve" else limit) + 1e-9
+        assert counts[job][0] > 0 and counts[job][1] == X
+        assert after[job] <= before[job] + 1e-9
     held = after_state.groupBy("job").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("d")).collect()
     assert all(r["n"] == r["d"] == X for r in held)
     if slots == 7:
         assert swaps.where("slot < 0").groupBy("job").count().where("count >= 4").count() == 2
 
 
+@pytest.mark.parametrize("proposals", [5, 200])
+def test_walk_round_stays_within_the_limit(spark, store, proposals):
+    facts, _, _, pool, _, target = store
+    run = RunFolder(spark)
+    changes = run.table("changes", cdf.row_changes(facts, target.grid))
+    profiles = run.table("profiles", cdf.profiles(changes))
+    state = run.table("state", blocks.first_state(pool, [0, 1], X, 3))
+    limit = max(_distances(state, changes, target, [0, 1]).values()) + 50.0
+    goals = blocks.residual_arrays(
+        blocks.job_cdfs(state, changes, target.grid), blocks.for_every_job(target.cdf, [0, 1])
+    ).withColumns({"limit": F.lit(limit), "required": F.lit(X)})
+    listed = run.table("indexed", blocks.indexed(pool))
+    swaps = run.table("swaps", blocks.walk_round(state, listed, N - X, profiles, goals, target.grid, [0, 1], X, 3, "t", proposals))
+    after_state = run.table("after", blocks.apply_swaps(state, swaps))
+    assert max(_distances(after_state, changes, target, [0, 1]).values()) <= limit + 1e-9
+    counts = blocks.tallies(swaps)
+    assert all(0 < counts[j][0] <= min(X, counts[j][1]) and counts[j][1] <= proposals for j in (0, 1))
+    held = after_state.groupBy("job").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("d")).collect()
+    assert all(r["n"] == r["d"] == X for r in held)
+
+
 def test_chains_are_certified_and_repeatable(spark, store):
     facts, sites, targets, pool, oldest, target = store
     config = swap.SwapConfig(chains=2, sets_per_chain=2, search_bin_width=4000, blocks=blocks.BlockConfig(16))
