@@ -236,7 +236,7 @@ def phi_sfs(spark, args) -> None:
         spark, args.output, bundles.SPECTRA,
         {"replicates": result.replicates, "bins": result.bins, "site_counts": result.counts},
         {
-            "vcf_sha256": None if "://" in args.vcf else vcf.file_sha256(args.vcf),
+            "vcf_digest": vcf.file_digest(spark, args.vcf),
             "target": matches.metadata["target"], "source": matches.metadata["source"],
         },
     )

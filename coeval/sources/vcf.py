@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,90 +22,139 @@ from coeval.functions.genotype import (
     sample_genotype,
 )
 
-BLOCK_SUFFIXES = (".bgz", ".bgzf")
-BLOCK_MAGIC = b"\x1f\x8b\x08\x04"
+GZIP_MAGIC = b"\x1f\x8b"
+#: Fixed value: the empty block that ends a block-gzipped file.
+LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 SPLIT_BYTES = 64 << 20
 CHUNK_BYTES = 1 << 20
 # Fields before the samples once CHROM and POS are cut off.
 FIXED_FIELDS = 7
+# Requests up to so many rows are sent to every task.
+SMALL_REQUEST = 1_000_000
 
 
-def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """VCF lines as (value). Plain text and ``.gz`` use the built-in reader.
+MALFORMED = "malformed record"
 
-    Block-gzipped files are cut into byte ranges read in parallel: blocks are
-    independent, so every task starts at the first block of its range.
-    """
-    if not path.lower().endswith(BLOCK_SUFFIXES):
-        return spark.read.text(path)
+
+class DamagedFile(ValueError):
+    """A compressed file that cannot be read to its end."""
+
+
+def _opened(path: str):
     from pyarrow import fs
 
-    filesystem, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    size = filesystem.get_file_info(inner).size
-    ranges = spark.range(0, max(1, -(-size // split_bytes)), 1, max(1, -(-size // split_bytes)))
-    cut = ranges.select(
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_file(inner)
+
+
+def _ranges(spark: SparkSession, path: str, size: int, split_bytes: int) -> DataFrame:
+    count = max(1, -(-size // split_bytes))
+    return spark.range(0, count, 1, count).select(
+        F.col("id"),
         F.lit(path).alias("path"),
         (F.col("id") * split_bytes).alias("first"),
         F.least(F.lit(size), (F.col("id") + 1) * split_bytes).alias("last"),
     )
-    return cut.mapInPandas(_block_lines, schema="value STRING")
+
+
+def read_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """VCF lines as (value); the file's first bytes tell how they are stored.
+
+    Plain text and plain gzip use the built-in reader, which wants ``.gz`` for
+    the latter and reads it in one task. Block-gzipped files, whatever their
+    name, are cut into byte ranges read in parallel: blocks are independent, so
+    every task starts at the first block of its range. A block that is damaged,
+    cut short or missing at the end raises ``DamagedFile``.
+    """
+    with _opened(path) as handle:
+        size = handle.size()
+        head = handle.read(min(size, 1 << 16))
+        handle.seek(max(0, size - len(LAST_BLOCK)))
+        tail = handle.read(len(LAST_BLOCK))
+    if head[:2] != GZIP_MAGIC:
+        if path.lower().endswith((".gz", ".bgz", ".bgzf")) and size:
+            raise DamagedFile(f"{path} is named as compressed but is not")
+        return spark.read.text(path)
+    if _block_size(head) is None:
+        if not path.lower().endswith(".gz"):
+            raise DamagedFile(f"{path} is plain gzip and must be named .gz")
+        return spark.read.text(path)
+    if tail != LAST_BLOCK:
+        raise DamagedFile(f"{path} lacks its last block")
+    return _ranges(spark, path, size, split_bytes).select("path", "first", "last").mapInPandas(_block_lines, schema="value STRING")
 
 
 def _block_size(header: bytes) -> int | None:
     """Size of the block this header opens, or None when it opens none."""
-    if len(header) < 18 or header[:4] != BLOCK_MAGIC or header[12:14] != b"BC":
+    if len(header) < 12 or header[:3] != b"\x1f\x8b\x08" or not header[3] & 4:
         return None
-    return struct.unpack_from("<H", header, 16)[0] + 1
-
-
-def _first_block(handle, offset: int) -> int | None:
-    """Start of the first block at or after ``offset``."""
-    while True:
+    end = 12 + struct.unpack_from("<H", header, 10)[0]
+    at = 12
+    while at + 4 <= min(end, len(header)):
+        length = struct.unpack_from("<H", header, at + 2)[0]
+        if header[at : at + 2] == b"BC" and length == 2 and at + 6 <= len(header):
+            return struct.unpack_from("<H", header, at + 4)[0] + 1
+        at += 4 + length
+    return None
+
+
+def _block_at(handle, start: int, size: int) -> tuple[int, bytes]:
+    """(next start, text) of the block at ``start``, checked against its own sums."""
+    handle.seek(start)
+    stored = handle.read(1 << 16)
+    length = _block_size(stored)
+    if length is None or start + length > size:
+        raise DamagedFile(f"no whole block at byte {start}")
+    try:
+        return start + length, zlib.decompress(stored[:length], 31)
+    except zlib.error as error:
+        raise DamagedFile(f"damaged block at byte {start}: {error}") from error
+
+
+def _first_block(handle, offset: int, size: int) -> int | None:
+    """Start of the first readable block at or after ``offset``.
+
+    A damaged block is passed over here and raised by the range before, which
+    reads one block past its own end.
+    """
+    while offset < size:
         handle.seek(offset)
         window = handle.read(CHUNK_BYTES)
-        found = window.find(BLOCK_MAGIC)
+        found = window.find(GZIP_MAGIC)
         while found >= 0:
-            if _block_size(window[found : found + 18]):
+            try:
+                _block_at(handle, offset + found, size)
                 return offset + found
-            found = window.find(BLOCK_MAGIC, found + 1)
-        if len(window) < CHUNK_BYTES:
+            except DamagedFile:
+                found = window.find(GZIP_MAGIC, found + 1)
+        if offset + len(window) >= size:
             return None
-        offset += len(window) - 17
-
-
-def _blocks(handle, first: int) -> Iterator[tuple[int, bytes]]:
-    """(start, text) of consecutive blocks."""
-    start = _first_block(handle, first)
-    while start is not None:
-        handle.seek(start)
-        size = _block_size(handle.read(18))
-        if size is None:
-            return
-        handle.seek(start)
-        yield start, zlib.decompress(handle.read(size), 31)
-        start += size
+        offset += len(window) - 1
+    return None
 
 
 def _block_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Whole lines of each byte range.
 
     A range leaves the text up to the first line break of its first block to
-    the range before, and reads past its own end up to one line break.
+    the range before, and reads past its own end up to one line break. It reads
+    the block there in any case, so every block is checked by the range that
+    holds it or by the one before.
     """
-    from pyarrow import fs
-
     for batch in batches:
         for path, first, last in batch[["path", "first", "last"]].itertuples(index=False):
-            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-            with system.open_input_file(inner) as handle:
+            with _opened(path) as handle:
+                size = handle.size()
+                start = _first_block(handle, int(first), size) if first else 0
                 held, skipping = b"", first > 0
-                for start, data in _blocks(handle, int(first)):
-                    if start >= last:
-                        if skipping:
-                            break
+                while start is not None and start < size:
+                    beyond = start >= last
+                    start, data = _block_at(handle, start, size)
+                    if beyond:
                         cut = data.find(b"\n") + 1
-                        held += data[:cut] if cut else data
-                        if cut:
+                        if not skipping:
+                            held += data[:cut] if cut else data
+                        if skipping or cut:
                             break
                         continue
                     if skipping:
@@ -144,9 +195,19 @@ def site_counts(
         ((F.size(head) < 3) | pos.isNull()).alias("malformed"),
     )
     asked = requested.select("chrom", "pos").distinct().withColumn("_asked", F.lit(True))
-    wanted = keyed.join(asked, ["chrom", "pos"], "left").where(
-        F.coalesce("_asked", F.lit(False)) | F.col("malformed")
-    )
+    wanted_only = F.coalesce("_asked", F.lit(False)) | F.col("malformed")
+    if asked.limit(SMALL_REQUEST + 1).count() <= SMALL_REQUEST:
+        # Records are dropped where they are read.
+        kept = keyed.join(F.broadcast(asked), ["chrom", "pos"], "left").where(wanted_only)
+        return _parsed_counts(kept, ancestral, ancestral_key, heterozygous)
+    # Too many to send along: every record is counted first, so that only numbers are shuffled.
+    counts = _parsed_counts(keyed, ancestral, ancestral_key, heterozygous)
+    counts = counts.withColumn("malformed", F.coalesce(F.col("problem") == MALFORMED, F.lit(False)))
+    return counts.join(asked, ["chrom", "pos"], "left").where(wanted_only).drop("malformed", "_asked")
+
+
+def _parsed_counts(wanted: DataFrame, ancestral: str, ancestral_key: str, heterozygous: str) -> DataFrame:
+    """(chrom, pos, k, n, problem) of records cut into (chrom, pos, rest, malformed)."""
     fields = wanted.withColumn("f", F.split("rest", "\t", FIXED_FIELDS + 1))
     field = lambda i: F.try_element_at("f", F.lit(i))
     parsed = fields.select(
@@ -203,7 +264,7 @@ def _count_plain_calls(parsed: DataFrame) -> DataFrame:
 
 def _record_problem(ancestral: str) -> Column:
     has = lambda code: F.coalesce(F.exists("alleles", lambda a: a == code), F.lit(False))
-    problem = F.when(F.col("malformed"), F.lit("malformed record"))
+    problem = F.when(F.col("malformed"), F.lit(MALFORMED))
     problem = problem.when(F.col("short"), F.lit("no samples or FORMAT")).when(
         F.contains(F.col("alt"), F.lit(",")), F.lit("multiallelic record")
     )
@@ -242,10 +303,30 @@ def completeness_problems(requested: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.select("chrom", "pos", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def file_sha256(path: str) -> str:
-    """Digest of the file's stored bytes, compressed or not, in bounded reads."""
-    digest = hashlib.sha256()
-    with open(path, "rb") as handle:
-        for chunk in iter(lambda: handle.read(CHUNK_BYTES), b""):
-            digest.update(chunk)
-    return digest.hexdigest()
+def file_digest(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> str:
+    """Digest of the file's stored bytes: SHA-256 of its ranges' SHA-256 digests, in order.
+
+    Ranges are read by the tasks that digest them, from any store they can open.
+    """
+    with _opened(path) as handle:
+        size = handle.size()
+    parts = _ranges(spark, path, size, split_bytes).mapInPandas(_range_digests, schema="id BIGINT, digest BINARY").collect()
+    whole = hashlib.sha256(b"".join(bytes(r["digest"]) for r in sorted(parts, key=lambda r: r["id"])))
+    return f"sha256-of-{split_bytes}:{whole.hexdigest()}"
+
+
+def _range_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for index, path, first, last in batch[["id", "path", "first", "last"]].itertuples(index=False):
+            digest = hashlib.sha256()
+            with _opened(path) as handle:
+                handle.seek(int(first))
+                left = int(last) - int(first)
+                while left > 0 and (chunk := handle.read(min(left, CHUNK_BYTES))):
+                    digest.update(chunk)
+                    left -= len(chunk)
+            yield pd.DataFrame({"id": [index], "digest": [digest.digest()]})
+
+
+# Workers get the readers themselves, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,6 +1,7 @@
 """Text inputs, VCF text in its three wrappings, and bundles."""
 
 import gzip
+import hashlib
 import struct
 import zlib
 
@@ -82,7 +83,56 @@ def test_vcf_wrappings_agree(spark, tmp_path):
         lines = vcf.read_lines(spark, str(tmp_path / name), 60)
         got = sorted(tuple(r) for r in vcf.site_counts(lines, asked, "info").collect())
         assert got == [("chr1", 5, 1, 2, None), ("chr1", 9, 1, 2, None)], name
-    assert vcf.file_sha256(str(tmp_path / "a.vcf")) != vcf.file_sha256(str(tmp_path / "a.vcf.gz"))
+    digests = {vcf.file_digest(spark, str(tmp_path / name)) for name in ("a.vcf", "a.vcf.gz", "a.vcf.bgzf")}
+    assert len(digests) == 3
+    parts = [hashlib.sha256(text.encode()[i : i + 50]).digest() for i in range(0, len(text), 50)]
+    assert vcf.file_digest(spark, str(tmp_path / "a.vcf"), 50) == "sha256-of-50:" + hashlib.sha256(b"".join(parts)).hexdigest()
+
+
+def test_damaged_block_gzip_is_never_read_in_part(spark, tmp_path):
+    text = "".join(f"chr1\t{i}\t{'y' * (i % 40)}\n" for i in range(400)).encode()
+    whole = bytes(block_gzip(text, 600))
+    starts = [0]
+    while starts[-1] < len(whole):
+        starts.append(starts[-1] + vcf._block_size(whole[starts[-1] :]))
+    assert starts[-1] == len(whole) and len(starts) > 10
+    middle = starts[5]
+    spoiled = bytearray(whole)
+    spoiled[middle : middle + 2] = b"\0\0"
+    crc = bytearray(whole)
+    crc[starts[6] - 8] ^= 1
+    cases = {
+        "header.bgz": bytes(spoiled),
+        "crc.bgz": bytes(crc),
+        "cut.bgz": whole[: middle + 9],
+        "between.bgz": whole[:middle],
+        "last.vcf.gz": whole[: starts[-2]],
+        "plain.bgz": gzip.compress(text),
+        "text.bgz": text,
+        "first.bgz": b"\x1f\x8b\x08\x04" + whole[40:],
+    }
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+        for split in (100, 1500, 1 << 20):
+            with pytest.raises(Exception, match="block|gzip|compressed"):
+                vcf.read_lines(spark, str(tmp_path / name), split).collect()
+    (tmp_path / "good.vcf.gz").write_bytes(whole)
+    lines = vcf.read_lines(spark, str(tmp_path / "good.vcf.gz"), 1500)
+    assert lines.rdd.getNumPartitions() > 1
+    assert sorted(r["value"] for r in lines.collect()) == sorted(text.decode().splitlines())
+
+
+def test_scan_of_many_requests_shuffles_numbers_only(spark, monkeypatch):
+    rows = [f"c\t{i}\t.\tA\tG\t.\t.\tAA=A\tGT\t{i % 2}\t1" for i in range(40)] + ["c", "c\t9\t.\tA\tG\t.\t.\t.\tGT\t0/1\t1"]
+    frame = spark.createDataFrame([(x,) for x in rows], "value STRING")
+    asked = spark.createDataFrame([("c", i) for i in range(3, 30)], "chrom STRING, pos BIGINT")
+    few = sorted((tuple(r) for r in vcf.site_counts(frame, asked).collect()), key=str)
+    monkeypatch.setattr(vcf, "SMALL_REQUEST", 0)
+    many = vcf.site_counts(frame, asked)
+    assert sorted((tuple(r) for r in many.collect()), key=str) == few and len(few) == 29
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.index("Join")
+    assert "samples" not in plan[:joined]
 
 
 def test_vcf_problems(spark):
