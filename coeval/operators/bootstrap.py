@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from coeval.functions.age import Grid
 from coeval.functions.rng import uniform
 from coeval.operators.cdf import accumulate, wasserstein
-from coeval.operators.ranks import MAX_ORDER_STATISTIC_ROWS, dense_row_ids
+from coeval.operators.ranks import dense_row_ids
 
 TRACE_TILE = 1 << 16
 
@@ -18,11 +18,11 @@ def bootstrap_counts(target: DataFrame, size: int, replicates: int, seed: int) -
     """(replicate, target_idx, times): ``size`` draws with replacement per replicate.
 
     ``target`` has ``target_idx`` 0..size-1. Row i of the target makes draw i of
-    every replicate, so the draws are spread as the target is; counts are
-    combined before the shuffle. Equal in law to a multinomial.
+    every replicate, so the draws are spread as the target is. Equal in law to a
+    multinomial.
     """
-    if size <= 0 or not 0 < replicates <= MAX_ORDER_STATISTIC_ROWS:
-        raise ValueError("target size must be positive and replicates in [1, 1000000]")
+    if size <= 0 or replicates <= 0:
+        raise ValueError("target size and replicates must be positive")
     replicate = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     pick = F.floor(uniform(seed, "bootstrap", F.col("replicate"), F.col("target_idx")) * size)
     return (
@@ -71,6 +71,7 @@ def index_targets(rows: DataFrame) -> DataFrame:
 
 
 def replicate_sizes(counts: DataFrame) -> DataFrame:
+    """Draws per replicate: what the counts of every replicate must add up to."""
     return counts.groupBy("replicate").agg(F.sum("times").alias("draws"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.functions.age import Grid, interval_cdf, interval_cdf_text, midpoint
+from coeval.functions.age import Grid, interval_cdf_text, midpoint
 
+# Points evaluated by one aggregate.
 WIDE_POINTS = 64
 
 
@@ -27,33 +30,33 @@ def cdf_at(
     if weighting not in ("interval", "draw"):
         raise ValueError("weighting must be 'interval' or 'draw'")
     keys = keys or ["row_id"]
-    if len(points) <= WIDE_POINTS:
-        names = [f"_p{i}" for i in range(len(points))]
-        values = [F.expr(interval_cdf_text(p, side)) for p in points]
-        if weighting == "interval":
-            wide = intervals.groupBy(*keys).agg(*[F.avg(v).alias(n) for v, n in zip(values, names)])
-        else:
-            wide = (
-                intervals.groupBy(*keys, "draw_id")
-                .agg(*[F.avg(v).alias(n) for v, n in zip(values, names)])
-                .groupBy(*keys)
-                .agg(*[F.avg(n).alias(n) for n in names])
-            )
-        cells = ", ".join(
-            f"named_struct('point_idx', {i}, 'point', {float(p)!r}D, 'cdf', {n})"
-            for i, (p, n) in enumerate(zip(points, names))
+    parts = [
+        _cdf_at(intervals, points[i : i + WIDE_POINTS], i, keys, side, weighting)
+        for i in range(0, max(1, len(points)), WIDE_POINTS)
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _cdf_at(
+    intervals: DataFrame, points: list[float], start: int, keys: list[str], side: str, weighting: str
+) -> DataFrame:
+    """Rows of one bounded run of points, numbered from ``start``."""
+    names = [f"_p{i}" for i in range(len(points))]
+    values = [F.expr(interval_cdf_text(p, side)) for p in points]
+    if weighting == "interval":
+        wide = intervals.groupBy(*keys).agg(*[F.avg(v).alias(n) for v, n in zip(values, names)])
+    else:
+        wide = (
+            intervals.groupBy(*keys, "draw_id")
+            .agg(*[F.avg(v).alias(n) for v, n in zip(values, names)])
+            .groupBy(*keys)
+            .agg(*[F.avg(n).alias(n) for n in names])
         )
-        return wide.select(*keys, F.expr(f"inline(array({cells}))"))
-    below, above = F.col("below").cast("double"), F.col("above").cast("double")
-    literal = F.array(*[F.lit(float(p)) for p in points])
-    long = intervals.select(*keys, "draw_id", "below", "above", F.posexplode(literal)).withColumnsRenamed(
-        {"pos": "point_idx", "col": "point"}
+    cells = ", ".join(
+        f"named_struct('point_idx', {start + i}, 'point', {float(p)!r}D, 'cdf', {n})"
+        for i, (p, n) in enumerate(zip(points, names))
     )
-    value = F.avg(interval_cdf(below, above, F.col("point"), side)).alias("cdf")
-    if weighting == "draw":
-        inner = long.groupBy(*keys, "draw_id", "point_idx", "point").agg(value)
-        return inner.groupBy(*keys, "point_idx", "point").agg(F.avg("cdf").alias("cdf"))
-    return long.groupBy(*keys, "point_idx", "point").agg(value)
+    return wide.select(*keys, F.expr(f"inline(array({cells}))"))
 
 
 def boundary_cdfs(

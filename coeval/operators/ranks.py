@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 POSITION_TILE = 1 << 20
 KEY_SLOTS = 1 << 12
-MAX_ORDER_STATISTIC_ROWS = 1_000_000
 
 
 def dense_row_ids(positions: DataFrame, tile: int = POSITION_TILE) -> DataFrame:
@@ -110,24 +109,26 @@ def smallest_by_key(
 def empirical_quantile(values: DataFrame, column: str, quantile: float) -> DataFrame:
     """The ``ceil((n - 1) * quantile)``-th smallest value: an observed one, rounded up.
 
-    The input is one row per bootstrap replicate, whose number is a parameter
-    and is checked where the replicates are made.
+    Values are counted in equal steps between the least and the largest; only
+    the step that holds the rank is sorted, so any number of rows will do.
     """
     if not 0 < quantile < 1:
         raise ValueError("quantile must be strictly between zero and one")
-    ranked = values.select(
-        F.col(column).alias("value"),
-        (F.row_number().over(W.orderBy(column)) - 1).alias("rank"),
-        F.count("*").over(W.partitionBy()).alias("n"),
-    )
-    wanted = F.ceil((F.col("n") - 1) * F.lit(quantile))
+    rows = values.select(F.col(column).cast("double").alias("value")).where("value IS NOT NULL")
+    ends = rows.agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).first()
+    if not ends["n"]:
+        return rows.select(F.col("value").alias("threshold"))
+    wanted = math.ceil((ends["n"] - 1) * quantile)
+    width = (ends["high"] - ends["low"]) or 1.0
+    step = F.least(F.floor((F.col("value") - ends["low"]) / width * KEY_SLOTS), F.lit(KEY_SLOTS - 1)).alias("step")
+    stepped = rows.select("value", step)
+    before = W.orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    counts = stepped.groupBy("step").agg(F.count("*").alias("held")).withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    at = counts.where((F.col("start") <= wanted) & (F.col("start") + F.col("held") > wanted))
+    ranked = stepped.join(at, "step").withColumn("rank", F.col("start") + F.row_number().over(W.partitionBy("step").orderBy("value")) - 1)
     return ranked.where(F.col("rank") == wanted).select(F.col("value").alias("threshold"))
 
 
-def quantile_rank(n: int, quantile: float) -> int:
-    return math.ceil((n - 1) * quantile)
-
-
 def stratified_sample(
     df: DataFrame, flag: str, key: str, tie: str, size: int
 ) -> DataFrame:

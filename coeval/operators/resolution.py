@@ -129,7 +129,10 @@ def candidates_at(sites: DataFrame, positions: DataFrame, policy: str = "error")
 
 
 def candidates_marked(sites: DataFrame, mask: DataFrame) -> DataFrame:
-    """Candidate rows from a mask table (row_id, selected) covering the catalog."""
-    if mask.count() != sites.count():
-        raise ValueError("the mask must cover every catalog row")
+    """Candidate rows from a mask table (row_id, selected) with every catalog row once."""
+    times = sites.select("row_id", F.lit(1).alias("_site")).join(
+        mask.groupBy("row_id").agg(F.count("*").alias("_marks")), "row_id", "full"
+    )
+    if not times.where("_site IS NULL OR _marks IS NULL OR _marks <> 1").isEmpty():
+        raise ValueError("the mask must hold every catalog row once and nothing else")
     return mask.where("selected").select("row_id")

@@ -147,7 +147,7 @@ _WEIGHTS = {
     "m04_candidate_weights",
     with_views(
         ["target_cdf", "te", "iv", "cand"],
-        f"SELECT row_id, stratum, {settle_sql('weight', 8)} AS weight FROM weights WHERE weight > 1e-9",
+        f"SELECT row_id, stratum, {settle_sql('weight', 8)} AS weight FROM weights WHERE weight > 0",
         _WEIGHTS,
     ),
 )
@@ -155,7 +155,7 @@ def candidate_weights(spark, folder):
     weights = rejection.candidate_weights(
         v.intervals(spark, folder), v.candidates(spark, folder), _strata(spark, folder)
     )
-    return weights.where("weight > 1e-9").withColumn("weight", settle(F.col("weight"), 8))
+    return weights.where("weight > 0").withColumn("weight", settle(F.col("weight"), 8))
 
 
 @register(
