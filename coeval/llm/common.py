@@ -61,7 +61,7 @@ def part_count(docs: DataFrame, text: str, megabytes: int) -> int:
     return max(least, -(-total // (megabytes << 20)))
 
 
-def bites(batches, column: int, size: int = 4 << 20):
+def bites(batches, column: int, size: int = 2 << 20):
     """Arrow batches cut to pieces with about ``size`` bytes in a binary column, so arrays stay small."""
     import pyarrow.compute as pc
 
@@ -91,7 +91,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Cache of 64-bit word hashes, emptied when it reaches its bound."""
 
-    def __init__(self, bound: int = 400_000) -> None:
+    def __init__(self, bound: int = 150_000) -> None:
         super().__init__()
         self.bound = bound
 

@@ -33,6 +33,8 @@ from coeval.llm.common import M1, M2, WordHashes, bites, drop_table, part_count,
 from coeval.llm.components import components
 from coeval.session import RunFolder
 
+#: Text that a part of the shuffled names stands for, in MB; a part is sorted in one task's memory.
+PART_MB = 8
 #: Rounds with pivots before the rest is compared; ratio of the sizes in a band.
 STAR_ROUNDS, BAND = 2, 1.1
 
@@ -250,7 +252,7 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     run = RunFolder(docs.sparkSession)
     short_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("bigint").alias("doc"), F.col(text).cast("binary").alias("text")).filter("doc is not null")
-    parts = part_count(plain, "text", 16)
+    parts = part_count(plain, "text", PART_MB)
     packed = plain.mapInArrow(_sampler(width, percent, parts), f"part int, {FACTS}, names binary, docs binary")
     credited = packed.groupBy("part").applyInArrow(_crediting(parts), CREDITS).groupBy("bucket").applyInArrow(_totals(), FACTS)
     facts = run.table(
