@@ -3,7 +3,8 @@
 Every line of a file, and a licence file as a whole, is a segment. Equal
 segments are scored once. A segment that reaches the threshold with a template
 must have one of the template's necessary tokens: those whose absence leaves the
-rest of the template's length below the threshold. Only such segments are scored. A file without a licence of its own takes that of the nearest
+rest of the template's length below the threshold. Of such segments, those with
+too many foreign tokens are left out by a bound, and the others are scored. A file without a licence of its own takes that of the nearest
 ancestor directory in which a file speaks for the directory.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.llm.common import drop_table, lower_ascii
+from coeval.llm.common import drop_table
 from coeval.session import RunFolder
 
 THRESHOLD = 0.7
@@ -84,12 +85,34 @@ def necessary_tokens(templates: dict[str, str], threshold: float) -> list[str]:
     return sorted(need)
 
 
+def _tokens_of(text: Column) -> Column:
+    """Runs of ASCII letters and digits as they are written, and empty strings."""
+    return F.split(text, "[^A-Za-z0-9]+")
+
+
+def _likely(segments: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The segments that may reach the threshold, by a bound on their foreign tokens.
+
+    With s the sum of the known tokens' inverse frequencies and m foreign tokens
+    of inverse frequency u, the cosine squared is at most s^2 / (s^2 + m u^2).
+    """
+    idf = F.broadcast(segments.sparkSession.createDataFrame(sorted(inverse_frequency(templates).items()), "token string, idf double"))
+    # Only the number of a segment goes through the aggregate, not its text.
+    numbered = segments.select(F.md5(F.col("segment").cast("binary")).alias("id"), "segment", F.size(F.array_remove(_tokens_of(F.col("segment")), "")).alias("all"))
+    known = numbered.select("id", "all", F.explode_outer(_tokens_of(F.col("segment"))).alias("t")).select("id", "all", F.lower("t").alias("token")).join(idf, "token")
+    sums = known.groupBy("id").agg(F.sum("idf").alias("s"), (F.first("all") - F.count("*")).alias("m"))
+    most = (1 - threshold**2) / threshold**2 + 1e-6
+    kept = sums.filter(F.col("m") * unseen_frequency(templates) ** 2 <= most * F.col("s") * F.col("s")).select("id")
+    return numbered.join(kept, "id", "left_semi").select("segment")
+
+
 def _scored(segments: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """(segment, licence, score): the best template of every distinct segment that reaches the threshold."""
     spark = segments.sparkSession
     weights = F.broadcast(spark.createDataFrame(template_weights(templates), "licence string, token string, weight double"))
     idf = F.broadcast(spark.createDataFrame(sorted(inverse_frequency(templates).items()), "token string, idf double"))
-    counted = segments.select("segment", F.explode(F.regexp_extract_all(lower_ascii(F.col("segment")), F.lit("[a-z0-9]+"), 0)).alias("token")).groupBy("segment", "token").agg(F.count("*").alias("tf"))
+    words = segments.select("segment", F.explode_outer(_tokens_of(F.col("segment"))).alias("t")).filter("t <> ''")
+    counted = words.groupBy("segment", F.lower("t").alias("token")).agg(F.count("*").alias("tf"))
     valued = counted.join(idf, "token", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(unseen_frequency(templates))))
     norm = valued.groupBy("segment").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     dots = valued.join(weights, "token").groupBy("segment", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
@@ -125,7 +148,9 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     named = F.col(path).rlike(r"(^|/)(?i:LICEN[SC]E|COPYING|NOTICE)([.-][^/]*)?$")
     known = speaks is not None
     tokens = F.array(*[F.lit(t) for t in necessary_tokens(templates, threshold)])
-    could_match = lambda s: F.arrays_overlap(F.split(F.lower(s), "[^a-z0-9]+"), tokens)
+    # The two foreign characters that lower to ASCII letters must not join words.
+    plain = lambda s: F.replace(F.replace(s, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" "))
+    could_match = lambda s: F.arrays_overlap(F.split(F.lower(plain(s)), "[^a-z0-9]+"), tokens)
     lines = F.split(F.col(text), "\n")
     pieces = lines if known else F.when(named, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
     carried = [c for c in files.columns if c != text]
@@ -133,7 +158,8 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     could = F.filter(F.when(could_match(F.col(text)), pieces), could_match)
     rows = files.select(F.xxhash64(F.col(path), F.col(text)).alias(MARK), F.col(path).alias("p"), F.coalesce(speaks if known else named, F.lit(False)).alias("speaks"), F.explode_outer(could).alias("segment")).filter("segment is not null")
     rows = run.table("rows", rows)
-    best = run.table("best", _scored(rows.select("segment").distinct(), templates, threshold))
+    likely = run.table("likely", _likely(rows.select("segment").distinct(), templates, threshold))
+    best = run.table("best", _scored(likely, templates, threshold))
     first = F.min(F.struct((-F.col("score")).alias("below"), "licence", "p", "speaks", "score"))
     own = rows.join(best, "segment").groupBy(MARK).agg(first.alias("own")).select(MARK, "own.licence", "own.score", "own.p", "own.speaks")
     own = run.table("own", own)
@@ -159,7 +185,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
         F.when(F.col("own_licence").isNotNull(), "own").when(inherits, "inherited").alias("origin"),
         F.when(inherits, F.col("given_by")).alias("given_by"),
     )
-    for step in ("rows", "best", "givers"):
+    for step in ("rows", "likely", "best", "givers"):
         drop_table(run, step)
     return result
 

@@ -63,7 +63,7 @@ def found(spark, rows, named):
 @pytest.mark.parametrize("named", [True, False])
 def test_matches_brute_force(spark, named):
     rng = random.Random(3)
-    statements = list(TEMPLATES.values()) + ["Licensed under the Apache License", "// released under the mit license!", "some other license", "free text", "license", ""]
+    statements = list(TEMPLATES.values()) + ["Licensed under the Apache License", "// released under the mit license!", "some other license", "Licensed under the \u212aApache License, Version 2.0\u0130", "mit mit mit mit license license", "free text", "license", ""]
     folders = ["", "a", "a/b", "a/b/c", "a/x", "d", "d/e/f/g"]
     rows = []
     for i in range(90):
