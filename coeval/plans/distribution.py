@@ -46,4 +46,6 @@ def touched_bins(intervals: DataFrame, grid: Grid) -> DataFrame:
         {"open": F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0)), "next": F.lead("bin").over(order)}
     )
     runs = runs.where("open > 0")
-    return runs.select("position", F.explode(F.sequence(F.col("bin"), F.least(F.col("next") - 1, F.lit(grid.bins - 1).cast("bigint")))).cast("int").alias("bin"))
+    last_bin = F.least(F.col("next") - 1, F.lit(grid.bins - 1).cast("bigint"))
+    listed = runs.select("position", F.explode(F.sequence(F.col("bin"), last_bin)).alias("bin"))
+    return listed.select("position", F.col("bin").cast("int").alias("bin"))

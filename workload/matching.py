@@ -167,7 +167,7 @@ def candidate_weights(spark, folder):
               SELECT CAST(p AS INTEGER) AS proposal_id, stratum, row_id, quota,
               -ln((('0x' || substr(md5('{v.SEED}' || '|race|' || p || '|' || stratum || '|' || row_id), 1, 12))::BIGINT
                 + 0.5::DOUBLE) / {float(16**12)!r}::DOUBLE) / weight AS race
-              FROM weights JOIN quotas USING (stratum), range(1, 4) r(p) WHERE weight > 1e-9))
+              FROM weights JOIN quotas USING (stratum), range(1, 4) r(p) WHERE weight > 0))
             WHERE rk <= quota""",
         _WEIGHTS,
     ),
@@ -177,7 +177,7 @@ def weighted_race(spark, folder):
     spans = _strata(spark, folder)
     weights = rejection.candidate_weights(
         v.intervals(spark, folder), v.candidates(spark, folder), spans
-    ).where("weight > 1e-9")
+    ).where("weight > 0")
     raced = rejection._race(weights, 1, 3, v.SEED).join(spans.select("stratum", "quota"), "stratum")
     chosen = smallest_by_key(
         raced, ["proposal_id", "stratum"], "race", "row_id", F.col("quota"),
