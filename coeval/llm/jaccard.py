@@ -357,17 +357,21 @@ def _rest(open_units: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """Every pair of members in different components that the filters let through."""
     lengths = F.expr(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
     bound = F.expr(f"(100 + {percent}) * least(na - pa, nb - pb) >= {percent} * (na + nb)")
-    labels = open_units.select("token", "band", "other", "label").distinct()
+    # Of two components under a token, b is the one with fewer units there: it is expanded first.
+    labels = open_units.groupBy("token", "band", "other", "label").agg(F.count("*").alias("c"))
+    swapped = labels.select("token", F.col("other").alias("band"), F.col("band").alias("other"), F.col("label").alias("lb"), F.col("c").alias("cb"))
     apart = (
-        labels.withColumnRenamed("label", "la")
-        .join(labels.select("token", F.col("other").alias("band"), F.col("band").alias("other"), F.col("label").alias("lb")), ["token", "band", "other"])
-        .filter("la < lb")
+        labels.withColumnsRenamed({"label": "la", "c": "ca"})
+        .join(swapped, ["token", "band", "other"])
+        .filter("ca > cb or (ca = cb and la < lb)")
+        .filter("la <> lb")
+        .drop("ca", "cb")
     )
 
     def side(s: str, band: str, other: str) -> DataFrame:
         return open_units.select("token", F.col("band").alias(band), F.col("other").alias(other), *(F.col(c).alias(f"{c[0]}{s}") for c in ("label", "gid", "n", "pos")))
 
-    pairs = apart.join(side("a", "band", "other"), ["token", "band", "other", "la"]).join(side("b", "other", "band"), ["token", "band", "other", "lb"])
+    pairs = apart.join(side("b", "other", "band"), ["token", "band", "other", "lb"]).join(side("a", "band", "other"), ["token", "band", "other", "la"])
     groups = pairs.filter(lengths & bound).select("ga", "la", "gb", "lb").distinct()
     member = lambda s, r: units.select(F.col("gid").alias(f"g{s}"), F.col("label").alias(f"l{s}"), F.col("rep").alias(r))
     return groups.join(member("a", "a"), ["ga", "la"]).join(member("b", "b"), ["gb", "lb"]).select("a", "b").distinct()
