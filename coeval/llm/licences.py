@@ -93,16 +93,18 @@ def _tokens_of(text: Column) -> Column:
 def _likely(segments: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
     """The segments that may reach the threshold, by a bound on their foreign tokens.
 
-    With s the sum of the known tokens' inverse frequencies and m foreign tokens
-    of inverse frequency u, the cosine squared is at most s^2 / (s^2 + m u^2).
+    With s the squared length of a segment's known tokens and m foreign tokens of
+    inverse frequency u, the cosine squared is at most s / (s + m u^2).
     """
     idf = F.broadcast(segments.sparkSession.createDataFrame(sorted(inverse_frequency(templates).items()), "token string, idf double"))
     # Only the number of a segment goes through the aggregate, not its text.
     numbered = segments.select(F.md5(F.col("segment").cast("binary")).alias("id"), "segment", F.size(F.array_remove(_tokens_of(F.col("segment")), "")).alias("all"))
     known = numbered.select("id", "all", F.explode_outer(_tokens_of(F.col("segment"))).alias("t")).select("id", "all", F.lower("t").alias("token")).join(idf, "token")
-    sums = known.groupBy("id").agg(F.sum("idf").alias("s"), (F.first("all") - F.count("*")).alias("m"))
+    counts = known.groupBy("id", "all", "token", "idf").agg(F.count("*").alias("tf"))
+    value = F.col("tf") * F.col("idf")
+    sums = counts.groupBy("id", "all").agg(F.sum(value * value).alias("s"), F.sum("tf").alias("held"))
     most = (1 - threshold**2) / threshold**2 + 1e-6
-    kept = sums.filter(F.col("m") * unseen_frequency(templates) ** 2 <= most * F.col("s") * F.col("s")).select("id")
+    kept = sums.filter((F.col("all") - F.col("held")) * unseen_frequency(templates) ** 2 <= most * F.col("s")).select("id")
     return numbered.join(kept, "id", "left_semi").select("segment")
 
 
