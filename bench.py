@@ -30,8 +30,10 @@ HEADLINE = [
     "s10_vcf_site_counts",
     "q3_phi_sfs",
     "q2_m08_m10_swap_chains",
+    "m07_rejection_sampler",
+    "m13_m15_bootstrap_matcher",
 ]
-LONG = {"q2_m08_m10_swap_chains"}
+LONG = {"q2_m08_m10_swap_chains", "m07_rejection_sampler", "m13_m15_bootstrap_matcher"}
 
 
 def main() -> None:
