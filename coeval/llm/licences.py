@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coeval.llm.common import drop_table
+from coeval.llm.common import drop_table, small_side
 from coeval.session import RunFolder
 
 THRESHOLD = 0.7
@@ -90,22 +90,25 @@ def _tokens_of(text: Column) -> Column:
     return F.split(text, "[^A-Za-z0-9]+")
 
 
-def _likely(segments: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """The segments that may reach the threshold, by a bound on their foreign tokens.
+def _likely(run: RunFolder, rows: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """The distinct segments that may reach the threshold, by a bound on their foreign tokens.
 
     With s the squared length of a segment's known tokens and m foreign tokens of
     inverse frequency u, the cosine squared is at most s / (s + m u^2).
     """
-    idf = F.broadcast(segments.sparkSession.createDataFrame(sorted(inverse_frequency(templates).items()), "token string, idf double"))
-    # Only the number of a segment goes through the aggregate, not its text.
-    numbered = segments.select(F.md5(F.col("segment").cast("binary")).alias("id"), "segment", F.size(F.array_remove(_tokens_of(F.col("segment")), "")).alias("all"))
-    known = numbered.select("id", "all", F.explode_outer(_tokens_of(F.col("segment"))).alias("t")).select("id", "all", F.lower("t").alias("token")).join(idf, "token")
-    counts = known.groupBy("id", "all", "token", "idf").agg(F.count("*").alias("tf"))
+    listed = [(t, i, v) for i, (t, v) in enumerate(sorted(inverse_frequency(templates).items()))]
+    idf = F.broadcast(run.spark.createDataFrame(listed, "token string, t int, idf double"))
+    # Only a segment's number goes through the aggregate, not its text.
+    number = F.struct(F.xxhash64("segment").alias("a"), F.xxhash64(F.lit(1), "segment").alias("b"))
+    segments = rows.select("segment").distinct()
+    spread = segments.select(number.alias("id"), F.size(F.array_remove(_tokens_of(F.col("segment")), "")).alias("all"), F.explode_outer(_tokens_of(F.col("segment"))).alias("word"))
+    known = spread.select("id", "all", F.lower("word").alias("token")).join(idf, "token")
+    counts = known.groupBy("id", "t", "idf").agg(F.count("*").alias("tf"), F.max("all").alias("all"))
     value = F.col("tf") * F.col("idf")
-    sums = counts.groupBy("id", "all").agg(F.sum(value * value).alias("s"), F.sum("tf").alias("held"))
+    sums = counts.groupBy("id").agg(F.sum(value * value).alias("s"), (F.max("all") - F.sum("tf")).alias("m"))
     most = (1 - threshold**2) / threshold**2 + 1e-6
-    kept = sums.filter((F.col("all") - F.col("held")) * unseen_frequency(templates) ** 2 <= most * F.col("s")).select("id")
-    return numbered.join(kept, "id", "left_semi").select("segment")
+    kept = run.table("kept", sums.filter(F.col("m") * unseen_frequency(templates) ** 2 <= most * F.col("s")).select("id"))
+    return rows.select("segment", number.alias("id")).join(small_side(kept), "id", "left_semi").select("segment").distinct()
 
 
 def _scored(segments: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
@@ -160,7 +163,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     could = F.filter(F.when(could_match(F.col(text)), pieces), could_match)
     rows = files.select(F.xxhash64(F.col(path), F.col(text)).alias(MARK), F.col(path).alias("p"), F.coalesce(speaks if known else named, F.lit(False)).alias("speaks"), F.explode_outer(could).alias("segment")).filter("segment is not null")
     rows = run.table("rows", rows)
-    likely = run.table("likely", _likely(rows.select("segment").distinct(), templates, threshold))
+    likely = run.table("likely", _likely(run, rows, templates, threshold))
     best = run.table("best", _scored(likely, templates, threshold))
     first = F.min(F.struct((-F.col("score")).alias("below"), "licence", "p", "speaks", "score"))
     own = rows.join(best, "segment").groupBy(MARK).agg(first.alias("own")).select(MARK, "own.licence", "own.score", "own.p", "own.speaks")
@@ -187,7 +190,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
         F.when(F.col("own_licence").isNotNull(), "own").when(inherits, "inherited").alias("origin"),
         F.when(inherits, F.col("given_by")).alias("given_by"),
     )
-    for step in ("rows", "likely", "best", "givers"):
+    for step in ("rows", "kept", "likely", "best", "givers"):
         drop_table(run, step)
     return result
 
