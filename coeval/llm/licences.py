@@ -100,8 +100,9 @@ def _likely(run: RunFolder, rows: DataFrame, templates: dict[str, str], threshol
     idf = F.broadcast(run.spark.createDataFrame(listed, "token string, t int, idf double"))
     # Only a segment's number goes through the aggregate, not its text.
     number = F.struct(F.xxhash64("segment").alias("a"), F.xxhash64(F.lit(1), "segment").alias("b"))
-    segments = rows.select("segment").distinct()
-    spread = segments.select(number.alias("id"), F.size(F.array_remove(_tokens_of(F.col("segment")), "")).alias("all"), F.explode_outer(_tokens_of(F.col("segment"))).alias("word"))
+    # Numbers are made before segments are cut, or they would be made for every word.
+    segments = rows.select("segment").distinct().select(number.alias("id"), "segment", F.size(F.array_remove(_tokens_of(F.col("segment")), "")).alias("all"))
+    spread = segments.select("id", "all", F.explode_outer(_tokens_of(F.col("segment"))).alias("word"))
     known = spread.select("id", "all", F.lower("word").alias("token")).join(idf, "token")
     counts = known.groupBy("id", "t", "idf").agg(F.count("*").alias("tf"), F.max("all").alias("all"))
     value = F.col("tf") * F.col("idf")
