@@ -193,11 +193,17 @@ def _totals():
 
 
 def _setter(width: int):
+    """Arrow batches of (id, text, digest) to the sets of the texts with that digest."""
+
     def run(batches):
+        import hashlib
+
         words = WordHashes()
         for batch in bites(batches, 1):
-            sets = [shingle_set(t.as_py(), width, words).view(np.int64) for t in batch.column(1)]
-            yield pa.record_batch({"rep": batch.column(0), "tokens": pa.array(sets, pa.list_(pa.int64()))})
+            sets = [shingle_set(t.as_py(), width, words) for t in batch.column(1)]
+            mine = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(sets, batch.column(2))]
+            kept = [s.view(np.int64) for s, m in zip(sets, mine) if m]
+            yield pa.record_batch({"rep": batch.column(0).filter(pa.array(mine, pa.bool_())), "tokens": pa.array(kept, pa.list_(pa.int64()))})
 
     return run
 
@@ -260,17 +266,27 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         credited.groupBy("doc").agg(
             F.min(F.when(F.col("digest").isNotNull(), F.struct("digest", "n", "need"))).alias("f"),
             F.max("credit").alias("credit"),
+            F.count("digest").alias("rows"),
         )
-        .select("doc", "f.digest", "f.n", "f.need", "credit"),
+        .select("doc", "f.digest", "f.n", "f.need", "credit", "rows"),
     )
     classes = run.table(
         "classes",
-        facts.filter("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max(F.expr("credit >= need")).alias("open")),
+        facts.filter("n > 0")
+        .groupBy("digest")
+        .agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max(F.expr("credit >= need")).alias("open"), F.min_by("rows", "doc").alias("rows")),
     )
-    reps = run.table("reps", classes.filter("open").select(F.col("rep").alias("doc"), "n"))
-    texts = plain.join(small_side(reps.select("doc")), "doc", "left_semi").select("doc", "text")
-    made = texts.mapInArrow(_setter(width), "rep bigint, tokens array<bigint>")
-    sets = run.table("sets", made.withColumn("n", F.size("tokens").cast("bigint")).filter("n > 0"))
+    reps = run.table("reps", classes.filter("open").select(F.col("rep").alias("doc"), "digest", "rows"))
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        texts = plain.join(small_side(some.select("doc", "digest")), "doc").select("doc", "text", "digest")
+        return texts.mapInArrow(_setter(width), "rep bigint, tokens array<bigint>").withColumn("n", F.size("tokens").cast("bigint"))
+
+    # A representative has one set; only of those with several rows are sets shuffled for that.
+    made, several = sets_of(reps.filter("rows = 1")), reps.filter("rows > 1")
+    if not several.isEmpty():
+        made = made.unionAll(sets_of(several).dropDuplicates(["rep"]))
+    sets = run.table("sets", made)
     label = _link(run, sets, percent)
     joined = (
         facts.join(classes.select("digest", "rep"), "digest", "left")

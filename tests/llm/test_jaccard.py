@@ -85,3 +85,28 @@ def test_empty_table_and_repeated_rows(spark):
     assert jaccard_classes(empty).collect() == []
     twice = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(0, "a b c d e f")], "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard_classes(twice).collect())) == [(0, 2, 0), (1, 2, 0)]
+
+
+def test_repeated_representative_links_to_near_copies_of_other_sizes(spark):
+    words = [f"r{i}" for i in range(21)]
+    rows = [(1, " ".join(words))] * 2 + [(2, " ".join([*words, "more"]))]
+    assert brute(rows) == {1: (17, 1), 2: (18, 1)}
+    rng = random.Random(8)
+    for base in range(10, 200, 10):
+        words = [f"b{base}x{i}" for i in range(rng.randint(20, 90))]
+        rows += [(base, " ".join(words))] * rng.randint(2, 4)
+        for k in range(1, rng.randint(2, 5)):
+            longer = words + [f"t{base}x{rng.randrange(10**6)}" for _ in range(rng.randint(1, 9))]
+            rows += [(base + k, " ".join(longer))] * rng.randint(1, 3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = jaccard_classes(df).collect()
+    assert len(got) == len({k for k, _ in rows})
+    assert {r[0]: (r[1], r[2]) for r in got} == brute(rows)
+
+
+def test_repeated_id_with_two_texts_has_the_set_of_one(spark):
+    one, two = ([f"{c}{i}" for i in range(40)] for c in "pq")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one, "x"])), (3, " ".join([*two, "x"]))]
+    got = {r[0]: r[2] for r in jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # The text whose digest stands for the id decides which one links; never both.
+    assert sorted(got.values()) in ([1, 1, 2], [1, 1, 3])
