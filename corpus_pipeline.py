@@ -62,11 +62,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How often the mix repeats every document, with its size and its source's size and target.
 
     Returns every document of the stage's input with its columns, 0 copies and
-    more; leaving out rows with 0 copies and repeating the others is the mix.
+    more; ``repeated`` makes the mix of it, at the end of ``run``.
     """
     return mixed(docs)
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """The mix itself: rows without copies left out, the others once for each ``copy`` 1, 2, ... ``copies``."""
+    return docs.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+
 STAGES = [
     ("quality classifier", quality),
     ("line dedup", line_dedup),
@@ -80,9 +85,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over `documents`, each written and read again."""
+    """The mixed corpus: every stage in turn over `documents`, each written and read again, and the copies taken."""
     folder = RunFolder(spark)
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = folder.table(f"stage-{i}", stage(spark, docs, sf_dir))
-    return docs
+    return repeated(docs)

@@ -76,3 +76,20 @@ def test_null_ids_and_repeated_rows(spark, tables):
         out = stage(spark, docs, folder)
         assert out.count() == 3
     assert {r["doc_id"] for r in pipeline.line_dedup(spark, docs.withColumn("z", F.lit(1)).drop("z"), folder).collect()} == {None}
+
+
+def test_run_takes_the_copies(spark, tables):
+    rows = pipeline.run(spark, tables[0]).collect()
+    taken, largest, target, copies = {}, {}, {}, {}
+    for r in rows:
+        assert r["size"] == len((r["text"] or "").split()) and r["copies"] > 0
+        taken[r["source"]] = taken.get(r["source"], 0) + r["size"]
+        largest[r["source"]] = max(largest.get(r["source"], 0), r["size"])
+        target[r["source"]] = r["target"]
+        copies.setdefault((r["doc_id"], r["text"]), []).append((r["copy"], r["copies"]))
+    assert set(target) == {"a", "b", None}
+    for source, words in taken.items():
+        assert abs(words - target[source]) <= largest[source]
+    for found in copies.values():
+        assert sorted(c for c, _ in found) == list(range(1, found[0][1] + 1))
+    assert {n for found in copies.values() for _, n in found} == {1, 2}
