@@ -86,3 +86,31 @@ def test_necessary_tokens_are_necessary():
 
 def test_empty_table(spark):
     assert scan_licences(spark.createDataFrame([], "path string, text string")).collect() == []
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_notices_texts_and_spdx_lines(spark, named):
+    from coeval.llm.notices import NOTICES
+
+    code = "\n\nimport os\n" + "\n".join(f"value{i} = compute{i}(argument{i}, other{i})" for i in range(300))
+    comment = lambda text: "".join(f"# {' '.join(text.split()[i : i + 9])}\n" for i in range(0, len(text.split()), 9))
+    rows, want = [], {}
+    for name, text in NOTICES.items():
+        licence, kind = name.split("/")
+        path = f"{name.replace('/', '-')}/"
+        want[path + "LICENSE"] = licence
+        rows.append((path + "LICENSE", f"Copyright (c) 2020 Some Body\n\n{text}"))
+        if len(text) < 3000:
+            want[f"h/{path}head.py"] = licence
+            rows.append((f"h/{path}head.py", comment("Copyright (c) 2020 Some Body " + text) + code))
+    for licence in TEMPLATES:
+        for end in ("", "-or-later"):
+            want[f"s{end}/{licence}/x.c"] = licence
+            rows.append((f"s{end}/{licence}/x.c", f"// SPDX-License-Identifier: {licence}{end}" + code))
+    for i, ids in enumerate(["Zlib", "GPL-1.0-only", "LGPL-2.1+", "Zlib WITH MIT"]):
+        want[f"no/{i}/x.c"] = None
+        rows.append((f"no/{i}/x.c", f"// SPDX-License-Identifier: {ids}" + code))
+    rows += [("w/x.c", "spdx-license-identifier: (Zlib OR ISC)" + code), ("plain/x.c", code), ("stop/x.c", "the the of the to or and " * 90)]
+    want |= {"w/x.c": "ISC", "plain/x.c": None, "stop/x.c": None}
+    got = {path: (licence, origin) for path, _, licence, _, origin, _ in found(spark, rows, named)}
+    assert got == {p: (x, x and "own") for p, x in want.items()}
