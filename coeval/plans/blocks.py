@@ -89,8 +89,9 @@ def _offers(state: DataFrame, pool: DataFrame, pool_size: int, jobs: list[int],
 
     Turn after turn a permutation of the candidates' numbers is read; numbers
     beyond the pool and rows that the job holds are passed over, and the next
-    one goes to the next slot. Work follows the set's size, not the pool's. A few
-    turns more than expected are read; past that, last slots go without.
+    one goes to the next slot of a permutation of the job's slots. Work follows
+    the set's size, not the pool's. A few turns more than expected are read; past
+    that, or with fewer candidates than slots, slots go without, others each round.
     """
     outside = max(0, pool_size - size)
     domain = permutation_domain(pool_size)
@@ -99,7 +100,9 @@ def _offers(state: DataFrame, pool: DataFrame, pool_size: int, jobs: list[int],
     drawn = state.sparkSession.range(turns).select(F.col("id").alias("turn"), job).withColumn("idx", permuted(F.col("turn"), domain, seed, tag, F.col("job")))
     rows = drawn.where(F.col("idx") < pool_size).join(pool, "idx").join(state.select("job", "row_id"), ["job", "row_id"], "left_anti")
     ranked = ordinal_in_group(rows, ["job"], ["turn"], "turn")
-    return ranked.where(F.col("ord") < size).select("job", F.col("ord").alias("slot"), "row_id")
+    mixed = state.select("job", "slot", permuted(F.col("slot"), permutation_domain(size), seed, tag, "slots", F.col("job")).alias("place"))
+    slots = ordinal_in_group(mixed, ["job"], ["place"], "place").select("job", "ord", "slot")
+    return ranked.where(F.col("ord") < size).join(slots, ["job", "ord"]).select("job", "slot", "row_id")
 
 
 def improve_round(

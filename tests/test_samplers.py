@@ -345,3 +345,20 @@ def test_configurations_are_checked():
             matcher.OptimizerConfig(**bad).validate()
     with pytest.raises(ValueError):
         TargetConfig(acceptance_distance=-1.0).validate()
+
+
+def test_offers_of_a_short_pool_reach_all_slots_in_turn(spark):
+    size, total = 12, 15
+    run = RunFolder(spark)
+    pool = run.table("short-pool", spark.range(total).select(F.col("id").alias("row_id")))
+    state = run.table("short-state", blocks.first_state(pool, [0, 1], size, 3))
+    index, held = run.table("short-index", blocks.indexed(pool)), {(r["job"], r["row_id"]) for r in state.collect()}
+    reached = {0: set(), 1: set()}
+    for k in range(14):
+        offers = blocks._offers(state, index, total, [0, 1], size, 3, f"t{k}").collect()
+        rows, slots = {(r["job"], r["row_id"]) for r in offers}, {(r["job"], r["slot"]) for r in offers}
+        assert len(offers) == len(rows) == len(slots) == 2 * (total - size) and not rows & held
+        for job, slot in slots:
+            reached[job].add(slot)
+    # One in fourteen rounds takes three of twelve slots: each is missed by all with odds of one in fifty.
+    assert all(len(s) >= size - 2 for s in reached.values()) and len(reached[0] | reached[1]) == size
