@@ -51,9 +51,10 @@ def _shingles(texts: DataFrame, words: str, width: int, place: str) -> DataFrame
     return spread.withColumn("shingle", F.when(F.col(place) + width <= F.size(words), F.xxhash64(F.lit(width), "word", *after))).drop("word")
 
 
-def _windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+def _windows(benchmark: DataFrame, item: str, text: str, window: int, nameless: bool) -> DataFrame:
     """(wid, item, words, k) of every window; equal windows share a wid."""
-    items = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), _plain(words_of(F.col(text))).alias("all")).filter(F.size("all") > 0)
+    listed = benchmark if nameless else benchmark.filter(F.col(item).isNotNull())
+    items = listed.select(F.col(item).cast("string").alias("item"), _plain(words_of(F.col(text))).alias("all")).filter(F.size("all") > 0)
     k = F.least(F.lit(window), F.size("all"))
     starts = F.sequence(F.lit(1), F.size("all") - k + 1)
     cut = items.select("item", k.alias("k"), "all", F.explode(starts).alias("s")).select("item", "k", F.slice("all", F.col("s"), F.col("k")).alias("words"))
@@ -69,20 +70,22 @@ def _blocks(run: RunFolder, rows: DataFrame, step: str, key: str) -> list[DataFr
     return [dealt.filter(F.col("block") == b).drop("block") for b in range(count)]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, nameless: bool = False) -> DataFrame:
     """Where texts contain windows of benchmark items.
 
     Returns one row for every distinct (id, text) with a hit: key bigint
     (``row_key``), spans array<struct<start, stop>> of hit words in order, items
-    array<string>, the items with occurring windows, sorted.
+    array<string>, the items with occurring windows, sorted, unnamed boolean,
+    whether windows of items without an id occur.
 
     Null and empty texts and items have no words and no windows; an item without
-    an id is left out, repeated items count once. Very long texts are read
+    an id is left out, or if ``nameless`` is set only its name is; repeated items
+    count once. Very long texts are read
     whole, tokens and all. Rows that repeat an id and text give one row. Empty
     tables give no rows; other columns are not read.
     """
     run = RunFolder(docs.sparkSession)
-    windows = run.table("windows", _windows(benchmark, item, item_text, window))
+    windows = run.table("windows", _windows(benchmark, item, item_text, window, nameless))
     distinct = windows.select("wid", "words", "k", F.transform("words", F.lower).alias("low")).dropDuplicates(["wid"])
     distinct = run.table("distinct", distinct.withColumn("width", F.least(F.lit(SHINGLE), "k")))
     widths = sorted(r[0] for r in distinct.select("width").distinct().collect())
@@ -129,7 +132,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     runs = runs.withColumn("run", F.sum("new").over(W.partitionBy("key").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)))
     runs = runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
     spans = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    items = hits.select("key", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items = hits.select("key", "wid").distinct().join(windows.select("wid", "item"), "wid").groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
     result = run.table("result", spans.join(items, "key"))
     for step in ("distinct", "parts", "names", "rarity", "prefixes", "places", "asked", "hits", "windows"):
         drop_table(run, step)

@@ -141,9 +141,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 @_register("op9_benchmark_decontamination", LEAKS_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = benchmark_hits(docs, read(spark, sf_dir, "benchmark"))
+    found = benchmark_hits(docs, read(spark, sf_dir, "benchmark"), nameless=True)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["stop"] - x["start"])
-    found = found.select("key", hit.alias("hit"), F.size("items").cast("bigint").alias("found"), F.array_join("items", ",").alias("names"))
+    found = found.select("key", hit.alias("hit"), (F.size("items") + F.col("unnamed").cast("int")).cast("bigint").alias("found"), F.array_join("items", ",").alias("names"))
     words = F.size(words_of(F.col("text"))).cast("bigint")
     plain = docs.select("doc_id", leak_key("doc_id", "text").alias("key"), words.alias("n_words"))
     return plain.join(found, "key", "left").select(

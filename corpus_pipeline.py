@@ -53,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a window of a benchmark item."""
-    hits = benchmark_hits(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    hits = benchmark_hits(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"), nameless=True)
     leaks = RunFolder(spark).table("leaks", hits.select(F.col("key").alias("leak_key")))
     return docs.join(small_side(leaks), leak_key("doc_id", "text") == leaks["leak_key"], "left_anti")
 

@@ -72,3 +72,17 @@ def test_empty_tables(spark):
     assert benchmark_hits(none, items).collect() == []
     docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert benchmark_hits(docs, items.limit(0)).collect() == []
+
+
+def test_items_without_an_id_count_but_have_no_name(spark, tmp_path):
+    from coeval.llm.queries import QUERIES
+
+    lone, both = (" ".join(f"{c}{i}" for i in range(12)) for c in "nm")
+    spark.createDataFrame([(None, lone), (None, both), (7, both)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"a {lone} b"), (2, both), (3, "clean words"), (4, f"{lone} {both}")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in QUERIES["op9_benchmark_decontamination"](spark, str(tmp_path)).collect()}
+    # As the query's SQL counts them: items without an id are one more item.
+    assert got == {1: (12, 1, True), 2: (12, 2, True), 3: (0, 0, False), 4: (24, 2, True)}
+    hits = benchmark_hits(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"), nameless=True)
+    assert sorted(tuple(r["items"]) for r in hits.collect()) == [(), ("7",), ("7",)]
