@@ -22,15 +22,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier rejects.
 
     It learns from labelled documents outside the held-out fold. Rows that
-    repeat an id go together, by the best of their scores; null ids are judged
-    as one, so they stay if any of them should.
+    repeat an id go together, by the best of their scores; texts with a null id
+    are judged each by itself.
     """
     labels = read(spark, sf_dir, "labels").filter(~is_held_out("doc_id"))
     weights = fit_quality(docs.select("doc_id", "text"), labels)
-    scores = quality_scores(docs.select("doc_id", "text"), weights)
-    poor = scores.groupBy("doc_id").agg(F.max("score").alias("score")).filter(F.col("score") < LEAST_QUALITY)
-    poor = RunFolder(spark).table("poor", poor.select(F.col("doc_id").alias("poor_id")))
-    return docs.join(small_side(poor), docs["doc_id"].eqNullSafe(poor["poor_id"]), "left_anti")
+    # An id's key has no space in it, so the two kinds are apart.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("doc_id", "text").cast("string")))
+    scores = quality_scores(docs.select(key.alias("key"), "text"), weights, "key")
+    poor = scores.groupBy("key").agg(F.max("score").alias("score")).filter(F.col("score") < LEAST_QUALITY)
+    poor = RunFolder(spark).table("poor", poor.select(F.col("key").alias("poor_key")))
+    return docs.join(small_side(poor), key == poor["poor_key"], "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

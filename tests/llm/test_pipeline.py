@@ -14,7 +14,7 @@ def tables(spark, tmp_path_factory):
     """Documents with junk, copies, repeated lines and leaks, and odd rows; returns (folder, rows)."""
     folder = str(tmp_path_factory.mktemp("corpus"))
     rows, labels = test_quality.corpus(250)
-    clean = [t for (_, t), (_, y) in zip(rows, labels) if y]
+    clean = [t for (_, t, *_), (_, y) in zip(rows, labels) if y]
     items = [(i, " ".join(f"leak{i}x{j}" for j in range(14))) for i in range(3)]
     more = [clean[0], clean[1] + " tail", clean[2] + "\n" + clean[3], clean[4] + " " + items[1][1], "", None, "x " + clean[5]]
     rows += [(1000 + i, t) for i, t in enumerate(more)]
@@ -93,3 +93,16 @@ def test_run_takes_the_copies(spark, tables):
     for found in copies.values():
         assert sorted(c for c, _ in found) == list(range(1, found[0][1] + 1))
     assert {n for found in copies.values() for _, n in found} == {1, 2}
+
+
+def test_null_ids_are_judged_each_by_itself(spark, tables):
+    folder, rows, labels, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stays = {r["text"] for r in pipeline.quality(spark, docs, folder).filter("doc_id < 1000").collect()}
+    junk = [t for (_, t, *_), (_, y) in zip(rows, labels) if not y and t not in stays][:5]
+    good = [t for (_, t, *_), (_, y) in zip(rows, labels) if y and t in stays][:5]
+    assert len(junk) == len(good) == 5
+    # The labelled rows teach as before; their texts come once more without ids.
+    more = spark.createDataFrame([(None, t, "en", "a", len(t)) for t in junk + good], docs.schema)
+    left = pipeline.quality(spark, docs.unionByName(more), folder).filter("doc_id is null").collect()
+    assert sorted(r["text"] for r in left) == sorted(good)
