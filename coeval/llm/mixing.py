@@ -110,7 +110,8 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source
 
     ``copies`` int says how often the mix repeats the row, at most ``most``
     times, rounded up. A source's taken words miss its target by at most half of
-    its largest document. Once the sources' cuts are known, every row's copies
+    its largest document, or of the joint size of rows that repeat id and text.
+    Once the sources' cuts are known, every row's copies
     follow from itself, so texts are not shuffled.
 
     A null source is a source of its own. Null and empty texts have size 0.
