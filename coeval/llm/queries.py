@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from coeval.llm.common import read
 from coeval.llm.decontam import benchmark_hits, words_of
 from coeval.llm.decontam import row_key as leak_key
+from coeval.llm.divergence import source_divergence
+from coeval.llm.infill import fill_in_middle, restored
 from coeval.llm.jaccard import jaccard_classes
 from coeval.llm.licences import TEMPLATES, THRESHOLD, inverse_frequency, scan_licences, template_weights, unseen_frequency
 from coeval.llm.lines import repeated_lines
@@ -201,3 +203,78 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licences(files, speaks=F.lit(True))
     last = F.element_at(F.split("given_by", "/"), -1).cast("bigint")
     return found.select("doc_id", "licence", "score", "origin", last.alias("giver"))
+
+
+INFILL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), k AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), c AS (
+  SELECT *, least(a, b) AS i, greatest(a, b) AS j FROM k
+), p AS (
+  SELECT *, substring(t, 1, i) AS prefix, substring(t, i + 1, j - i) AS middle, substring(t, j + 1, n - j) AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@_register("op11_fill_in_middle", INFILL_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(read(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix").alias("prefix_chars"),
+        F.col("middle").alias("middle_chars"),
+        digest(F.col("output")).alias("output_sha256"),
+        digest(back).alias("restored_sha256"),
+    )
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), g AS (SELECT DISTINCT lang, source FROM d),
+t AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM (SELECT row, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL
+), kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM t GROUP BY ALL HAVING sum(docs) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY 1),
+h AS MATERIALIZED (SELECT lang, source, term, t.n::HUGEINT AS n FROM t JOIN kept USING (lang, term)),
+sizes AS (SELECT lang, source, sum(n)::HUGEINT AS n FROM h GROUP BY ALL),
+grid AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS count,
+    1 + 1000000000::HUGEINT * (coalesce(h.n, 0) + 2) // (coalesce(s.n, 0) + 2 * v.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (v.n + 2 * v.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM grid WHERE count > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@_register("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
