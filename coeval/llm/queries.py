@@ -13,6 +13,8 @@ from coeval.llm.decontam import row_key as leak_key
 from coeval.llm.divergence import source_divergence
 from coeval.llm.infill import fill_in_middle, restored
 from coeval.llm.jaccard import jaccard_classes
+from coeval.llm.languages import fit_languages, languages
+from coeval.llm.languages import is_held_out as is_unlearned
 from coeval.llm.licences import TEMPLATES, THRESHOLD, inverse_frequency, scan_licences, template_weights, unseen_frequency
 from coeval.llm.lines import repeated_lines
 from coeval.llm.mixing import mixed
@@ -242,6 +244,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_register("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.filter(~is_unlearned("doc_id")))
+    return languages(docs, model).select("doc_id", is_unlearned("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 DIVERGENCE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
