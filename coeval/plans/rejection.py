@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ from coeval.operators.ranks import smallest_by_key
 from coeval.schema import CDF_SCALE
 from coeval.session import RunFolder
 
+#: What a stratum's weights add up to, in units; rows of a tile of cumulative weights.
+WEIGHT_UNITS, INDEX_TILE = 1 << 44, 1 << 16
+#: A stream's first length over its quota, and draws beyond; how often streams may be lengthened.
+FIRST_DRAWS, SPARE_DRAWS, MOST_STEPS = 1.25, 16, 40
+
 
 class SamplingError(RuntimeError):
     """The requested matched sets cannot be drawn."""
@@ -62,76 +69,159 @@ def dense_weights(codes: DataFrame, candidates: DataFrame, strata: DataFrame) ->
     )
 
 
+def weight_index(weights: DataFrame, run: RunFolder) -> tuple[DataFrame, DataFrame]:
+    """Cumulative weights of every stratum, cut into cells that a number finds by equality.
+
+    Weights become whole multiples of 2^-44 of their stratum's total, at least
+    one, so sums are exact in any order. A row owns the numbers in [lo, hi); a
+    cell lists the rows that own some of its numbers. A stratum has as many
+    cells as rows, so cells hold two rows on average and rows and cells together
+    bound what is listed, however uneven the weights are.
+
+    Returns (stratum, cell, lo, hi, row_id) and (stratum, total, stock, width).
+    """
+    sums = weights.groupBy("stratum").agg(F.sum("weight").alias("_sum"))
+    whole = F.greatest(F.lit(1), F.round(F.col("weight") / F.col("_sum") * float(WEIGHT_UNITS))).cast("bigint")
+    tile = F.floor(F.col("row_id") / F.lit(INDEX_TILE)).cast("bigint")
+    # One row a stratum, of which there are at most twenty.
+    units = weights.join(F.broadcast(sums), "stratum").select("stratum", "row_id", tile.alias("tile"), whole.alias("units"))
+    units = run.table("weight-units", units)
+    by_tile = units.groupBy("stratum", "tile").agg(F.sum("units").alias("_units"), F.count("*").alias("_rows"))
+    before = W.partitionBy("stratum").orderBy("tile").rowsBetween(W.unboundedPreceding, -1)
+    tiles = run.table("weight-tiles", by_tile.withColumn("start", F.coalesce(F.sum("_units").over(before), F.lit(0))))
+    total = F.sum("_units").alias("total")
+    totals = tiles.groupBy("stratum").agg(total, F.sum("_rows").alias("stock"))
+    totals = run.table("weight-totals", totals.withColumn("width", F.greatest(F.lit(1), F.expr("total div stock"))))
+    inside = W.partitionBy("stratum", "tile").orderBy("row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = units.join(tiles.select("stratum", "tile", "start"), ["stratum", "tile"]).join(F.broadcast(totals), "stratum")
+    placed = placed.withColumn("hi", F.col("start") + F.sum("units").over(inside)).withColumn("lo", F.col("hi") - F.col("units"))
+    cells = F.explode(F.sequence(F.expr("lo div width"), F.expr("(hi - 1) div width"))).alias("cell")
+    return run.table("weight-index", placed.select("stratum", cells, "lo", "hi", "row_id")), totals
+
+
+def drawn_rows(asked: DataFrame, index: DataFrame, totals: DataFrame, seed: int) -> DataFrame:
+    """Rows that the draws ``first`` .. ``last - 1`` of every (proposal_id, stratum) fall on.
+
+    A draw is a number from its counter below the stratum's total, so each row
+    comes with odds of its weight, draw by draw and with replacement. It is
+    looked up by its cell. Adds ``at``, the draw's number, and ``row_id``.
+    """
+    at = F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("at")
+    u = uniform(seed, "draw", F.col("proposal_id"), F.col("stratum"), F.col("at"))
+    x = F.least(F.floor(u * F.col("total")), F.col("total") - 1).cast("bigint")
+    draws = asked.where("last > first").join(F.broadcast(totals.select("stratum", "total", "width")), "stratum").select("*", at).withColumn("x", x)
+    found = draws.withColumn("cell", F.expr("x div width")).join(index, ["stratum", "cell"]).where("lo <= x AND x < hi")
+    return found.select(*asked.columns, "at", "row_id")
+
+
 def _race(weights: DataFrame, first: int, last: int, seed: int) -> DataFrame:
     """Exponential race times per (proposal, stratum, row).
 
     Rows in order of ``-ln(u) / weight`` are a weighted draw without
     replacement, and so is that order restricted to any subset.
     """
-    u = (counter(seed, "race", F.col("proposal_id"), F.col("stratum"), F.col("row_id")) + 0.5) / float(16**12)
     proposal = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("proposal_id")
-    return weights.select("row_id", "stratum", "weight", proposal).select(
-        "proposal_id", "stratum", "row_id", (-F.log(u) / F.col("weight")).alias("race")
-    )
+    return _raced(weights.select("row_id", "stratum", "weight", proposal), seed).select("proposal_id", "stratum", "row_id", "race")
+
+
+def _raced(rows: DataFrame, seed: int) -> DataFrame:
+    u = (counter(seed, "race", F.col("proposal_id"), F.col("stratum"), F.col("row_id")) + 0.5) / float(16**12)
+    return rows.withColumn("race", -F.log(u) / F.col("weight"))
+
+
+def _resolver():
+    """Fill a proposal's strata in their turns, each with the first rows of its stream that are still free."""
+
+    def run(table: pa.Table) -> pa.Table:
+        stratum, at, turn, rows, quota = (table.column(c).to_numpy() for c in ("stratum", "at", "turn", "row_id", "quota"))
+        order = np.lexsort((at, stratum, turn))
+        stratum, rows, quota = stratum[order], rows[order], quota[order]
+        starts = np.flatnonzero(np.append(True, stratum[1:] != stratum[:-1]))
+        taken = np.zeros(0, np.int64)
+        made: list[tuple] = []
+        for start, stop in zip(starts, np.append(starts[1:], len(rows))):
+            mine = rows[start:stop]
+            _, first = np.unique(mine, return_index=True)
+            free = mine[np.sort(first)]
+            picked = free[~np.isin(free, taken)][: quota[start]]
+            taken = np.concatenate([taken, picked])
+            made.append((int(stratum[start]), picked, int(quota[start]) - len(picked)))
+        sizes = [len(p) for _, p, _ in made]
+        short = [(s, n, len(p)) for s, p, n in made if n]
+        proposal = table.column("proposal_id")[0].as_py()
+        return pa.table({
+            "proposal_id": pa.array([proposal] * (sum(sizes) + len(short)), pa.int32()),
+            "stratum": pa.array(np.concatenate([np.repeat([s for s, _, _ in made], sizes), [s for s, _, _ in short]]).astype(np.int32)),
+            "row_id": pa.array([*taken.tolist(), *[None] * len(short)], pa.int64()),
+            "need": pa.array([0] * len(taken) + [n for _, n, _ in short], pa.int64()),
+            "got": pa.array([0] * len(taken) + [n for _, _, n in short], pa.int64()),
+        })
+
+    return run
 
 
 def draw_sets(
-    weights: DataFrame, strata: DataFrame, first: int, last: int, seed: int, run: RunFolder
+    weights: DataFrame, index: tuple[DataFrame, DataFrame], strata: DataFrame, first: int, last: int, seed: int, run: RunFolder
 ) -> tuple[DataFrame, DataFrame]:
     """Draw one set for each proposal id in [first, last].
 
     Strata are filled in a random order per proposal and a row taken by one
-    stratum is gone for the next ones. Since at most ``size`` rows can be taken
-    elsewhere, the ``size`` fastest rows of each stratum decide the draw, and
-    only those are kept.
+    stratum is gone for the next ones. A stratum's rows are those its stream of
+    independent weighted draws falls on, repeats and taken rows left out: that
+    is successive drawing without replacement. Streams start a little longer
+    than their quotas, so a batch makes about as many rows as its sets have, and
+    those that run out are drawn on. A stream that would become longer than its
+    stratum has rows ends in a race over the stratum: from a given set of taken
+    rows on, race order is successive drawing too.
 
-    All strata then pick at once. A row belongs to the picker whose turn comes
-    first and is closed to every later one, for good: it can only pass to a
-    still earlier turn. Each pass settles at least the next turn, so the passes
-    end with the rows that filling the strata one by one would give, usually
-    after a few. No step gathers a proposal's rows in one task.
+    A task holds one proposal's streams, somewhat more rows than a set has.
 
     Returns (proposal_id, row_id, stratum) and (proposal_id, stratum, short).
     """
     quotas = strata.where("quota > 0").select("stratum", "quota")
-    steps = [r["stratum"] for r in quotas.orderBy("stratum").collect()]
     size = strata.agg(F.sum("quota")).first()[0]
-    pace = F.floor(F.log("race") * 16)
-    finalists = smallest_by_key(
-        _race(weights.join(F.broadcast(quotas), "stratum", "left_semi"), first, last, seed),
-        ["proposal_id", "stratum"], "race", "row_id", F.lit(size), slot=pace,
-    )
-    turn = F.array_sort(
-        F.array(*[F.struct(uniform(seed, "turn", F.col("proposal_id"), s).alias("u"), F.lit(s).alias("s")) for s in steps])
-    )
-    ordered = finalists.withColumn(
-        "turn", F.array_position(F.transform(turn, lambda x: x["s"]), F.col("stratum")).cast("int")
-    ).join(F.broadcast(quotas), "stratum")
-    pool = run.table(f"draw-{first}/finalists", ordered)
-    owners: DataFrame | None = None
-    for step in range(len(steps)):
-        free = pool
-        if owners is not None:
-            free = pool.join(owners, ["proposal_id", "row_id"], "left").where(
-                F.col("_first").isNull() | (F.col("turn") <= F.col("_first"))
-            ).drop("_first", "_picks")
-        picks = smallest_by_key(
-            free, ["proposal_id", "stratum"], "race", "row_id", F.col("quota"), slot=pace
-        ).select("proposal_id", "stratum", "row_id", "turn")
-        taken = run.table(f"draw-{first}/picks-{step}", picks)
-        owners = taken.groupBy("proposal_id", "row_id").agg(
-            F.min("turn").alias("_first"), F.count("*").alias("_picks")
-        )
-        if owners.where("_picks > 1").isEmpty():
+    cells, totals = index
+    # There are at most twenty strata.
+    each = F.explode(F.array(*[F.struct(F.lit(r["stratum"]).alias("stratum"), F.lit(r["quota"]).cast("bigint").alias("quota")) for r in quotas.collect()]))
+    proposals = run.spark.range(first, last + 1).select(F.col("id").cast("int").alias("proposal_id"), each.alias("s"))
+    wanted = proposals.select("proposal_id", "s.*").withColumn("turn", uniform(seed, "turn", F.col("proposal_id"), F.col("stratum")))
+    stocked = run.table(f"draw-{first}/wanted", wanted.join(F.broadcast(totals.select("stratum", "stock")), "stratum"))
+    asked = stocked.withColumns({"first": F.lit(0).cast("bigint"), "last": F.ceil(F.col("quota") * FIRST_DRAWS).cast("bigint") + SPARE_DRAWS})
+    columns = ["proposal_id", "stratum", "quota", "turn", "at", "row_id"]
+    streams = run.table(f"draw-{first}/stream-0", drawn_rows(asked, cells, totals, seed).select(*columns))
+    raced = None
+    for step in range(1, MOST_STEPS):
+        resolved = run.table(f"draw-{first}/resolved-{step}", streams.groupBy("proposal_id").applyInArrow(_resolver(), "proposal_id int, stratum int, row_id bigint, need bigint, got bigint"))
+        short = resolved.where("row_id IS NULL").select("proposal_id", "stratum", "need", "got")
+        if raced is not None:
+            short = short.join(raced, ["proposal_id", "stratum"], "left_anti")
+        short = run.table(f"draw-{first}/short-{step}", short)
+        if short.isEmpty():
             break
-    taken = taken.select("proposal_id", "row_id", "stratum")
-    wanted = run.spark.range(first, last + 1).select(
-        F.col("id").cast("int").alias("proposal_id"),
-        F.explode(F.array(*[F.lit(s) for s in steps])).alias("stratum"),
-    ).join(F.broadcast(quotas), "stratum")
+        longer = F.col("last") + F.ceil(F.col("last") * F.col("need") / F.greatest("got", F.lit(1)) * FIRST_DRAWS).cast("bigint") + SPARE_DRAWS
+        asked = run.table(
+            f"draw-{first}/asked-{step}",
+            asked.drop("first").join(short, ["proposal_id", "stratum"])
+            .withColumn("_longer", longer)
+            .select(*[c for c in asked.columns if c not in ("first", "last")], F.col("last").alias("first"), F.least("_longer", "stock").alias("last"), (F.col("_longer") >= F.col("stock")).alias("_race")),
+        )
+        racers = asked.where("_race").select("proposal_id", "stratum")
+        raced = racers if raced is None else raced.unionAll(racers)
+        own = _raced(weights.join(asked.where("_race"), "stratum"), seed)
+        # At most ``size`` rows are taken before the race reaches its quota.
+        fastest = smallest_by_key(own, ["proposal_id", "stratum"], "race", "row_id", F.lit(size), slot=F.floor(F.log("race") * 16))
+        place = F.row_number().over(W.partitionBy("proposal_id", "stratum").orderBy("race", "row_id")) + F.lit(1 << 40)
+        more = drawn_rows(asked.drop("_race"), cells, totals, seed).select(*columns)
+        more = more.unionByName(fastest.withColumn("at", place.cast("bigint")).select(*columns))
+        asked = asked.where(~F.col("_race")).drop("_race")
+        streams = streams.unionByName(run.table(f"draw-{first}/stream-{step}", more))
+    else:
+        raise SamplingError("streams of draws did not end")
+    taken = resolved.where("row_id IS NOT NULL").select("proposal_id", "row_id", "stratum")
     got = taken.groupBy("proposal_id", "stratum").agg(F.count("*").alias("got"))
     short = (
-        wanted.join(got, ["proposal_id", "stratum"], "left")
+        wanted.drop("turn")
+        .join(got, ["proposal_id", "stratum"], "left")
         .withColumn("short", F.col("quota") - F.coalesce("got", F.lit(0)))
         .where("short > 0")
         .select("proposal_id", "stratum", "short")
@@ -161,6 +251,7 @@ def generate_matches(
     if not 0 <= threshold < float("inf"):
         raise ValueError("threshold must be finite and nonnegative")
     weights = run.table("weights", weights)
+    index = weight_index(weights, run)
     kept: DataFrame | None = None
     log: DataFrame | None = None
     first, accepted = 1, 0
@@ -168,7 +259,7 @@ def generate_matches(
         if first > max_proposals:
             raise SamplingError(f"{accepted} of {accepted_sets} sets accepted after {max_proposals} proposals")
         last = min(first + batch - 1, max_proposals)
-        drawn, short = draw_sets(weights, strata, first, last, seed, run)
+        drawn, short = draw_sets(weights, index, strata, first, last, seed, run)
         means = cdf.set_cdf(drawn, changes, grid, ["proposal_id"])
         scores = cdf.wasserstein(means, target_cdf, grid, ["proposal_id"])
         failed = short.groupBy("proposal_id").agg(F.min("stratum").alias("failed_stratum"))

@@ -1,5 +1,8 @@
 """Samplers against brute force and their own guarantees."""
 
+import bisect
+import collections
+import hashlib
 import itertools
 import math
 import random
@@ -271,39 +274,118 @@ def test_search_grid_is_refined_on_a_plateau(spark, store):
         swap.run_chains(facts, small, target, oldest, 2, swap.SwapConfig(search_bin_width=4000), RunFolder(spark))
 
 
-def test_rejection_draw_matches_brute_force(spark):
-    """Strata in turn, each by fastest remaining race times, against plain Python."""
+def _number(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+
+
+def _brute_draw(weights, quotas, proposal, seed):
+    """Strata in turn; each takes the first free rows of its draws, then of its race, where draws may run out."""
+    own = {s: sorted((r, w) for r, q, w in weights if q == s) for s in quotas}
+
+    def draws(s, count):
+        total = math.fsum(w for _, w in own[s])
+        ends = list(itertools.accumulate(max(1, round(w / total * rejection.WEIGHT_UNITS)) for _, w in own[s]))
+        xs = [min(int(_number(seed, "draw", proposal, s, at) / 16**12 * ends[-1]), ends[-1] - 1) for at in range(count)]
+        return [own[s][bisect.bisect_right(ends, x)][0] for x in xs]
+
+    def race(s):
+        return [r for _, r in sorted((-math.log((_number(seed, "race", proposal, s, r) + 0.5) / 16**12) / w, r) for r, w in own[s])]
+
+    more = lambda x: math.ceil(x * rejection.FIRST_DRAWS) + rejection.SPARE_DRAWS
+    length, raced = {s: more(q) for s, q in quotas.items()}, set()
+    while True:
+        gone, taken, short = set(), set(), {}
+        for s in sorted(quotas, key=lambda s: _number(seed, "turn", proposal, s)):
+            stream = draws(s, length[s]) + (race(s) if s in raced else [])
+            picked = [r for r in dict.fromkeys(stream) if r not in gone][: quotas[s]]
+            gone.update(picked)
+            taken |= {(proposal, r, s) for r in picked}
+            if len(picked) < quotas[s] and s not in raced:
+                short[s] = len(picked)
+        if not short:
+            return taken
+        for s, got in short.items():
+            longer = length[s] + more(length[s] * (quotas[s] - got) / max(got, 1))
+            if longer >= len(own[s]):
+                raced.add(s)
+            length[s] = max(length[s], min(longer, len(own[s])))
+
+
+@pytest.mark.parametrize("rows,spare", [(40, 16), (400, 16), (400, 0)])
+def test_rejection_draw_matches_brute_force(spark, monkeypatch, rows, spare):
+    """Streams that suffice, streams that are drawn on, and ones that end in a race."""
+    monkeypatch.setattr(rejection, "SPARE_DRAWS", spare)
+    monkeypatch.setattr(rejection, "INDEX_TILE", 16)
     rnd = random.Random(6)
-    weights = [(r, s, rnd.uniform(0.05, 1)) for r in range(40) for s in range(3) if rnd.random() < 0.8]
-    frame = spark.createDataFrame(weights, "row_id BIGINT, stratum INT, weight DOUBLE")
-    quotas = {0: 9, 1: 4, 2: 7}
+    weights = [(r, s, rnd.uniform(0.05, 1) ** 3) for r in range(rows) for s in range(3) if rnd.random() < 0.8]
+    frame = spark.createDataFrame(weights, "row_id BIGINT, stratum INT, weight DOUBLE").repartition(3)
+    quotas = {0: 9, 1: 4, 2: 17}
     strata = spark.createDataFrame(list(quotas.items()), "stratum INT, quota BIGINT")
-    drawn, short = rejection.draw_sets(frame, strata, 1, 3, 21, RunFolder(spark))
+    run = RunFolder(spark)
+    drawn, short = rejection.draw_sets(frame, rejection.weight_index(frame, run), strata, 1, 4, 21, run)
+    assert short.count() == 0
+    expected = set().union(*[_brute_draw(weights, quotas, p, 21) for p in (1, 2, 3, 4)])
+    got = [tuple(r) for r in drawn.select("proposal_id", "row_id", "stratum").collect()]
+    assert len(got) == 4 * 30 and set(got) == expected
+
+
+def test_rejection_draw_follows_the_law(spark):
+    """Frequencies of whole sets against all orders of successive draws without replacement."""
+    weights = {0: {1: 5.0, 2: 1.0, 3: 1.0, 4: 0.2}, 1: {2: 2.0, 4: 3.0, 5: 0.5}}
+    quotas, proposals = {0: 2, 1: 1}, 3000
+    rows = [(r, s, w) for s, x in weights.items() for r, w in x.items()]
+    frame = spark.createDataFrame(rows, "row_id BIGINT, stratum INT, weight DOUBLE")
+    strata = spark.createDataFrame(list(quotas.items()), "stratum INT, quota BIGINT")
+    law = collections.Counter()
+
+    def follow(turns, left, sets, odds):
+        if not turns:
+            law[tuple(sorted(sets))] += odds
+            return
+        s, gone = turns[0], {r for r, _ in sets}
+        free = {r: w for r, w in weights[s].items() if r not in gone}
+        for r, w in free.items():
+            rest = left - 1
+            more = turns if rest else turns[1:]
+            follow(more, rest or (quotas[more[0]] if more else 0), [*sets, (r, s)], odds * w / sum(free.values()))
+
+    for turns in ((0, 1), (1, 0)):
+        follow(list(turns), quotas[turns[0]], [], 0.5)
+    run = RunFolder(spark)
+    drawn, short = rejection.draw_sets(frame, rejection.weight_index(frame, run), strata, 1, proposals, 5, run)
     assert short.count() == 0
-    races = {}
-    for r in rejection._race(frame, 1, 3, 21).collect():
-        races.setdefault((r["proposal_id"], r["stratum"]), []).append((r["race"], r["row_id"]))
-    from coeval.functions.rng import uniform
-
-    turns = {
-        (p, s): spark.range(1).select(uniform(21, "turn", F.lit(p), s).alias("u")).first()["u"]
-        for p in (1, 2, 3) for s in quotas
-    }
-    expected = set()
-    for p in (1, 2, 3):
-        gone = set()
-        for s in sorted(quotas, key=lambda s: turns[(p, s)]):
-            free = [row for _, row in sorted(races[(p, s)]) if row not in gone][: quotas[s]]
-            gone |= set(free)
-            expected |= {(p, row, s) for row in free}
-    assert {tuple(r) for r in drawn.select("proposal_id", "row_id", "stratum").collect()} == expected
+    found = collections.defaultdict(list)
+    for r in drawn.collect():
+        found[r["proposal_id"]].append((r["row_id"], r["stratum"]))
+    seen = collections.Counter(tuple(sorted(x)) for x in found.values())
+    assert set(seen) <= set(law) and abs(sum(law.values()) - 1) < 1e-9
+    chi = sum((seen[k] - proposals * p) ** 2 / (proposals * p) for k, p in law.items() if proposals * p >= 5)
+    assert chi < 2 * len(law) + 20
+
+
+def test_rejection_draw_makes_rows_for_the_set_not_the_pool(spark):
+    pool, quota = 20_000, 50
+    frame = spark.range(pool).select(F.col("id").alias("row_id"), F.lit(0).alias("stratum"), (F.col("id") % 7 + 1).cast("double").alias("weight"))
+    # One row holds a third of all weight.
+    frame = frame.withColumn("weight", F.when(F.col("row_id") == 11, 40_000.0).otherwise(F.col("weight")))
+    strata = spark.createDataFrame([(0, quota)], "stratum INT, quota BIGINT")
+    run = RunFolder(spark)
+    index = rejection.weight_index(frame, run)
+    assert index[0].count() <= 2 * pool
+    spans = index[0].select("lo", "hi", "row_id").distinct().orderBy("lo").collect()
+    assert spans[0]["lo"] == 0 and all(a["hi"] == b["lo"] for a, b in zip(spans, spans[1:])) and len(spans) == pool
+    drawn, short = rejection.draw_sets(frame, index, strata, 1, 8, 3, run)
+    assert short.count() == 0 and drawn.count() == 8 * quota
+    made = sum(spark.read.parquet(f"{run.path}/draw-1/stream-{k}").count() for k in range(6) if run._exists(f"{run.path}/draw-1/stream-{k}"))
+    assert made <= 3 * 8 * quota
 
 
 def test_rejection_reports_short_strata(spark):
     frame = spark.createDataFrame([(r, 0, 1.0) for r in range(3)], "row_id BIGINT, stratum INT, weight DOUBLE")
-    strata = spark.createDataFrame([(0, 5)], "stratum INT, quota BIGINT")
-    _, short = rejection.draw_sets(frame, strata, 1, 2, 1, RunFolder(spark))
-    assert sorted(tuple(r) for r in short.collect()) == [(1, 0, 2), (2, 0, 2)]
+    strata = spark.createDataFrame([(0, 5), (1, 2)], "stratum INT, quota BIGINT")
+    run = RunFolder(spark)
+    _, short = rejection.draw_sets(frame, rejection.weight_index(frame, run), strata, 1, 2, 1, run)
+    assert sorted(tuple(r) for r in short.collect()) == [(1, 0, 2), (1, 1, 2), (2, 0, 2), (2, 1, 2)]
     target = spark.createDataFrame([(0, 0.5), (1, 1.0)], "bin INT, target_cdf DOUBLE")
     changes = spark.createDataFrame([(r, 0, 0.0, 1.0, 0.0) for r in range(3)], "row_id BIGINT, bin INT, slope DOUBLE, intercept DOUBLE, complete DOUBLE")
     with pytest.raises(rejection.SamplingError, match="0 of 1"):

@@ -20,17 +20,21 @@ SETS = ["chain_index", "sample_index"]
 
 # --- Bootstrap ------------------------------------------------------------------
 
-_BOOT = {
-    "tidx": "SELECT row_number() OVER (ORDER BY row_id) - 1 AS target_idx, row_id FROM te",
-    "boot": f"""SELECT CAST(r AS INTEGER) AS replicate,
-        CAST(floor({_uniform_sql(f"'{v.SEED}'", "'bootstrap'", "r::VARCHAR", "target_idx::VARCHAR")}
-        * (SELECT count(*) FROM te)) AS BIGINT) AS target_idx, count(*) AS times
-        FROM tidx, range(0, {REPLICATES}) x(r) GROUP BY ALL""",
-    "rep_cdf": """SELECT replicate, bin, sum(cdf * times) / sum(times) AS cdf
-        FROM boot JOIN tidx USING (target_idx) JOIN row_cdf USING (row_id) GROUP BY ALL""",
-    "rep_w1": f"""SELECT replicate, sum(abs(cdf - target_cdf) * {v.WIDTH!r}::DOUBLE) AS wasserstein
-        FROM rep_cdf JOIN target_cdf USING (bin) JOIN grid USING (bin) WHERE bin < last GROUP BY ALL""",
-}
+def _boot_views(replicates: int) -> dict[str, str]:
+    return {
+        "tidx": "SELECT row_number() OVER (ORDER BY row_id) - 1 AS target_idx, row_id FROM te",
+        "boot": f"""SELECT CAST(r AS INTEGER) AS replicate,
+            CAST(floor({_uniform_sql(f"'{v.SEED}'", "'bootstrap'", "r::VARCHAR", "target_idx::VARCHAR")}
+            * (SELECT count(*) FROM te)) AS BIGINT) AS target_idx, count(*) AS times
+            FROM tidx, range(0, {replicates}) x(r) GROUP BY ALL""",
+        "rep_cdf": """SELECT replicate, bin, sum(cdf * times) / sum(times) AS cdf
+            FROM boot JOIN tidx USING (target_idx) JOIN row_cdf USING (row_id) GROUP BY ALL""",
+        "rep_w1": f"""SELECT replicate, sum(abs(cdf - target_cdf) * {v.WIDTH!r}::DOUBLE) AS wasserstein
+            FROM rep_cdf JOIN target_cdf USING (bin) JOIN grid USING (bin) WHERE bin < last GROUP BY ALL""",
+    }
+
+
+_BOOT = _boot_views(REPLICATES)
 
 
 def _with_boot(body, extra=None, views=()):
@@ -186,6 +190,55 @@ def weighted_race(spark, folder):
     return chosen.select("proposal_id", "stratum", "row_id")
 
 
+#: Longest possible list of strata, which fill in turn.
+MOST_STRATA = 20
+
+
+def _draw_views(proposals: int) -> dict[str, str]:
+    """Views down to ``drawn`` (proposal_id, stratum, row_id): streams of weighted draws, strata filled in their turns.
+
+    Streams here are four quotas long and more, which must not run out; where a
+    stratum has too few rows for that, the rows of ``drawn`` show it.
+    """
+    number = lambda *parts: _uniform_sql(f"'{v.SEED}'", *parts)
+    views = {
+        **_WEIGHTS,
+        "units": f"""SELECT stratum, row_id, greatest(1, CAST(round(weight / sum(weight) OVER (PARTITION BY stratum)
+            * {float(rejection.WEIGHT_UNITS)!r}::DOUBLE) AS BIGINT)) AS units FROM weights WHERE weight > 0""",
+        "ends": "SELECT stratum, row_id, CAST(sum(units) OVER (PARTITION BY stratum ORDER BY row_id) AS BIGINT) AS hi FROM units",
+        "turns": f"""SELECT CAST(p AS INTEGER) AS proposal_id, stratum, quota,
+            row_number() OVER (PARTITION BY p ORDER BY {number("'turn'", "p::VARCHAR", "stratum::VARCHAR")}) AS turn
+            FROM quotas, range(1, {proposals + 1}) r(p) WHERE quota > 0""",
+        "draws": f"""SELECT t.*, least(CAST(floor({number("'draw'", "proposal_id::VARCHAR", "stratum::VARCHAR", "n::VARCHAR")} * total) AS BIGINT), total - 1) AS x
+            FROM (SELECT *, unnest(range(0, 4 * quota + 64)) AS n FROM turns) t
+            JOIN (SELECT stratum, max(hi) AS total FROM ends GROUP BY 1) USING (stratum)""",
+        "firsts": """SELECT d.proposal_id, d.stratum, d.quota, d.turn, e.row_id, min(n) AS n
+            FROM draws d ASOF JOIN ends e ON d.stratum = e.stratum AND d.x < e.hi GROUP BY ALL""",
+        "drawn_0": "SELECT proposal_id, stratum, row_id FROM firsts WHERE false",
+    }
+    for k in range(1, MOST_STRATA + 1):
+        views[f"drawn_{k}"] = f"""SELECT * FROM drawn_{k - 1} UNION ALL SELECT proposal_id, stratum, row_id FROM (
+            SELECT *, row_number() OVER (PARTITION BY proposal_id ORDER BY n) AS rk FROM firsts f WHERE turn = {k}
+            AND NOT EXISTS (SELECT 1 FROM drawn_{k - 1} g WHERE g.proposal_id = f.proposal_id AND g.row_id = f.row_id)) WHERE rk <= quota"""
+    return views
+
+
+@register(
+    "m05_stratified_draws",
+    with_views(
+        ["target_cdf", "te", "iv", "cand"],
+        f"SELECT proposal_id, stratum, row_id FROM drawn_{MOST_STRATA}",
+        _draw_views(3),
+    ),
+)
+def stratified_draws(spark, folder):
+    """Three proposals: every stratum in its turn filled by weighted draws without replacement."""
+    run, spans = RunFolder(spark), _strata(spark, folder)
+    weights = run.table("weights", rejection.candidate_weights(v.intervals(spark, folder), v.candidates(spark, folder), spans))
+    drawn, _ = rejection.draw_sets(weights, rejection.weight_index(weights, run), spans, 1, 3, v.SEED, run)
+    return drawn.select("proposal_id", "stratum", "row_id")
+
+
 # --- Sets: reuse, diversity, scores -----------------------------------------------
 
 
@@ -374,28 +427,47 @@ def _certified(members, keys, sites, mine, pool, facts, target):
     )
 
 
+#: Of a prepared target: bootstrap replicates and the quantile of their distances that is allowed.
+ALLOWED_REPLICATES, ALLOWED_QUANTILE = 60, 0.9
+#: Proposals that may be drawn.
+MOST_PROPOSALS = 64
+
+_REJECTION = {
+    **_boot_views(ALLOWED_REPLICATES),
+    "allowed": f"""SELECT wasserstein AS threshold FROM rep_w1 ORDER BY wasserstein
+        LIMIT 1 OFFSET CAST(ceil({(ALLOWED_REPLICATES - 1) * ALLOWED_QUANTILE!r}) AS BIGINT)""",
+    **_draw_views(MOST_PROPOSALS),
+    "own_cdf": f"SELECT proposal_id, bin, avg(cdf) AS cdf, count(*) AS size FROM drawn_{MOST_STRATA} JOIN row_cdf USING (row_id) GROUP BY ALL",
+    "own_w1": f"""SELECT proposal_id, size, sum(abs(cdf - target_cdf) * {v.WIDTH!r}::DOUBLE) AS wasserstein
+        FROM own_cdf JOIN target_cdf USING (bin) JOIN grid USING (bin) WHERE bin < last GROUP BY ALL""",
+}
+
+
 @register(
     "m07_rejection_sampler",
     with_views(
-        ["te"],
-        """SELECT CAST(i AS INTEGER) AS set_index, (SELECT count(*) FROM te) AS size,
-           0::BIGINT AS problems, true AS within FROM range(0, 2) r(i)""",
+        ["target_cdf", "te", "iv", "cand"],
+        f"""SELECT CAST(row_number() OVER (ORDER BY proposal_id) - 1 AS INTEGER) AS set_index, proposal_id, size, 0::BIGINT AS problems,
+            {settle_sql("wasserstein", 3)} AS wasserstein, {settle_sql("threshold", 3)} AS threshold
+            FROM own_w1, allowed WHERE wasserstein <= threshold AND size = (SELECT count(*) FROM te)
+            ORDER BY proposal_id LIMIT 2""",
+        _REJECTION,
     ),
 )
 def rejection_sampler(spark, folder):
-    """Two accepted sets of the stratified sampler, certified from their members."""
-    run, facts, sites, mine, pool, oldest, target = _prepared(spark, folder)
+    """The first two proposals of the stratified sampler that pass, certified from their members."""
+    run, facts, sites, mine, pool, oldest, target = _prepared(spark, folder, ALLOWED_REPLICATES, ALLOWED_QUANTILE)
     weights = rejection.candidate_weights(facts, pool, target.strata)
     changes = run.table("pool-changes", cdf.row_changes(facts.join(pool, "row_id", "left_semi"), target.grid))
     result = rejection.generate_matches(
         weights, target.strata, changes, target.cdf, target.grid, target.threshold,
-        accepted_sets=2, max_proposals=64, seed=v.SEED, run=run, batch=16,
+        accepted_sets=2, max_proposals=MOST_PROPOSALS, seed=v.SEED, run=run, batch=16,
     )
     checked = _certified(result.members, ["proposal_id"], sites, mine, pool, facts, target)
     order = F.row_number().over(validation.W.orderBy("proposal_id")) - 1
     return checked.select(
-        order.alias("set_index"), "size", "problems",
-        (F.col("wasserstein") <= target.threshold + 1e-6).alias("within"),
+        order.alias("set_index"), "proposal_id", "size", "problems", settle(F.col("wasserstein"), 3).alias("wasserstein"),
+        settle(F.lit(target.threshold), 3).alias("threshold"),
     )
 
 
