@@ -64,28 +64,32 @@ def native_to_global(requests: DataFrame, chromosomes: DataFrame) -> DataFrame:
     return joined.withColumns({"position": position, "problem": problem}).drop("offset", "length")
 
 
-def global_to_native(sites: DataFrame, chromosomes: DataFrame, tile: int) -> DataFrame:
+def interval_levels(intervals: DataFrame) -> DataFrame:
+    """(level, bin, chrom, offset, length): intervals (offset, offset + length] under the bins they touch at their own level.
+
+    A level's bins are the power of two next above its intervals' lengths wide,
+    so an interval touches two bins at most, however unequal lengths are.
+    """
+    level = F.when(F.col("length") <= 1, 0).otherwise(F.length(F.bin(F.col("length") - 1)))
+    width = F.expr("shiftleft(1L, level)")
+    bins = F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.col("length")) / width))
+    return intervals.withColumn("level", level.cast("int")).select("level", F.explode(bins).alias("bin"), "chrom", "offset", "length")
+
+
+def global_to_native(sites: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """Add ``chrom`` and ``native`` to global positions; NULL in a gap.
 
-    A range lookup turned into an equi join: each chromosome is listed under
-    every ``tile``-wide stretch it touches, and a position looks only at its own
-    stretch. With ``tile`` near the shortest chromosome the list stays at a few
-    rows per chromosome.
+    A range lookup turned into equi joins: a position looks up one bin at each
+    level that occurs, of which there are no more than bits in a length. The
+    driver lists the levels. Chromosomes are disjoint, so one level at most answers.
     """
-    first = F.floor((F.col("offset") + 1) / F.lit(tile))
-    final = F.floor((F.col("offset") + F.col("length")) / F.lit(tile))
-    listed = chromosomes.select(
-        F.col("chrom"),
-        F.col("offset").alias("_offset"),
-        F.col("length").alias("_length"),
-        F.explode(F.sequence(first, final)).alias("_tile"),
-    )
-    within = (F.col("position") > F.col("_offset")) & (
-        F.col("position") <= F.col("_offset") + F.col("_length")
-    )
-    tiled = sites.withColumn("_at", F.floor(F.col("position") / F.lit(tile)))
-    return (
-        tiled.join(broadcast_within(listed, 4 * LISTED_CHROMOSOMES), (F.col("_at") == F.col("_tile")) & within, "left")
-        .withColumn("native", F.col("position") - F.col("_offset"))
-        .drop("_at", "_offset", "_length", "_tile")
-    )
+    listed = interval_levels(chromosomes)
+    levels = sorted(r["level"] for r in listed.select("level").distinct().collect())
+    found = sites.withColumns({"chrom": F.lit(None).cast("string"), "_from": F.lit(None).cast("bigint")})
+    for level in levels:
+        own = listed.where(F.col("level") == level).select(F.col("bin").alias("_bin"), F.col("chrom").alias("_chrom"), F.col("offset").alias("_offset"), F.col("length").alias("_length"))
+        at = F.floor(F.col("position") / F.lit(1 << level)) == F.col("_bin")
+        inside = (F.col("position") > F.col("_offset")) & (F.col("position") <= F.col("_offset") + F.col("_length"))
+        met = found.join(broadcast_within(own, 2 * LISTED_CHROMOSOMES), at & inside, "left")
+        found = met.withColumns({"chrom": F.coalesce("chrom", "_chrom"), "_from": F.coalesce("_from", "_offset")}).drop("_bin", "_chrom", "_offset", "_length")
+    return found.withColumn("native", F.col("position") - F.col("_from")).drop("_from")

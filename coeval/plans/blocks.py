@@ -181,18 +181,29 @@ def walk_round(
     )
 
 
-def apply_swaps(state: DataFrame, swaps: DataFrame) -> DataFrame:
-    """State after a round: swapped slots hold their new row."""
-    changed = swaps.where("slot >= 0").select("job", "slot", F.col("row_id").alias("_new"))
-    return state.join(changed, ["job", "slot"], "left").select(
-        "job", "slot", F.coalesce("_new", "row_id").alias("row_id")
+def shortest_prefix(swaps: DataFrame, profiles: DataFrame, goals: DataFrame, grid: Grid, size: int) -> DataFrame:
+    """Of each job's accepted swaps in turn, those up to the first that brings it within its limit.
+
+    ``goals`` has (job, residual, limit) on the exact grid, before the round. A
+    task holds one job's swaps of the round.
+    """
+    both = swaps.where("slot >= 0").select(
+        "job", "block", "slot", "turn",
+        F.explode(F.array(F.struct(F.lit(replay.SLOT).alias("kind"), F.col("old_id").alias("row_id")), F.struct(F.lit(replay.OFFER).alias("kind"), "row_id"))).alias("x"),
+    )
+    spread = goals.select(F.col("job").alias("goal_job"), "residual", "limit", F.lit(size).alias("size"))
+    return (
+        both.select("job", "block", "slot", "turn", "x.*").join(profiles, "row_id")
+        .groupBy("job")
+        .cogroup(spread.groupBy("goal_job"))
+        .applyInPandas(replay.prefix_runner(grid.width), schema=replay.OUTPUT)
     )
 
 
-def tallies(swaps: DataFrame) -> dict[int, tuple[int, int]]:
-    """(accepted, tried) per job: one driver row per job."""
-    rows = swaps.where("slot < 0").groupBy("job").agg(F.sum("accepted").alias("a"), F.sum("tried").alias("t"))
-    return {r["job"]: (r["a"], r["t"]) for r in rows.collect()}
+def tallies(swaps: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """(accepted, tried, redrawn) per job: one driver row per job."""
+    counts = [F.sum(c).alias(c) for c in ("accepted", "tried", "redrawn")]
+    return {r["job"]: (r["accepted"], r["tried"], r["redrawn"]) for r in swaps.where("slot < 0").groupBy("job").agg(*counts).collect()}
 
 
 def job_distances(cdfs: DataFrame, targets: DataFrame, grid: Grid) -> DataFrame:

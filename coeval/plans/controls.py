@@ -36,14 +36,13 @@ def certify(
 def native_members(members: DataFrame, store: Bundle) -> DataFrame:
     """Members with their chromosome and native position."""
     chromosomes = store.table("chromosomes")
-    tile = chromosomes.agg(F.min("length")).first()[0]
     placed = members.join(store.table("sites").select("row_id", "position"), "row_id")
-    return coordinates.global_to_native(placed, chromosomes, tile)
+    return coordinates.global_to_native(placed, chromosomes)
 
 
 def publish_controls(
     spark: SparkSession, destination: str, chains: Chains, store: Bundle, target: Target,
-    target_identity: dict, seed: int, config: dict,
+    target_identity: dict, seed: int, config: dict, step: str | None = None, audit: dict[str, DataFrame] | None = None,
 ) -> None:
     members = native_members(chains.members, store)
     validation.require_none(members.where("native IS NULL").select("row_id"), "controls in chromosome gaps")
@@ -58,9 +57,10 @@ def publish_controls(
             "sets": chains.sets.coalesce(1),
             "reuse": diversity.reuse_counts(chains.members),
             "diversity": mixing,
+            **(audit or {}),
         },
         {
-            **summary, "threshold": target.threshold, "set_size": target.size, "seed": seed,
+            **summary, "step": step, "threshold": target.threshold, "set_size": target.size, "seed": seed,
             "config": config, "target": target_identity, "source": source_identity(store),
             "diagnostics": chains.diagnostics, "construction": chains.construction,
             "membership_ess_total": total,

@@ -11,7 +11,10 @@ import numpy as np
 import pandas as pd
 
 SLOT, OFFER = 0, 1
-OUTPUT = "job INT, block INT, slot BIGINT, row_id BIGINT, accepted BIGINT, tried BIGINT"
+#: A row a swap, with its turn among the block's swaps; then one of slot -1 with counts and, from a walk, the residual.
+OUTPUT = "job INT, block INT, slot BIGINT, row_id BIGINT, old_id BIGINT, turn BIGINT, accepted BIGINT, tried BIGINT, redrawn BIGINT, residual ARRAY<DOUBLE>"
+#: Bytes of dense curves that a walk keeps.
+CURVE_BYTES = 64 << 20
 
 
 def curve(bins, slopes, intercepts, completes, size: int) -> np.ndarray:
@@ -31,7 +34,7 @@ def block_runner(width: float, absolute: float, relative: float):
 
     def run(items: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
         if items.empty or goal.empty:
-            return _result(0, 0, {}, 0, 0).iloc[:0]
+            return _result(0, 0, [], 0, 0).iloc[:0]
         job, block = int(items["job"].iloc[0]), int(items["block"].iloc[0])
         gap = np.asarray(goal["residual"].iloc[0], dtype=np.float64).copy()
         size = gap.size
@@ -39,14 +42,14 @@ def block_runner(width: float, absolute: float, relative: float):
         offers = items[items["kind"] == OFFER].sort_values(["ord", "row_id"])
         n = len(slots)
         distance = np.abs(gap[:-1]).sum() * width
-        tried, swapped = 0, {}
+        tried, swapped = 0, []
         for old, new in zip(slots.itertuples(index=False), offers.itertuples(index=False)):
             tried += 1
             trial = gap + (_curve_of(new, size) - _curve_of(old, size)) / n
             moved = np.abs(trial[:-1]).sum() * width
             if moved < distance - max(absolute, relative * max(distance, 1.0)):
                 gap, distance = trial, moved
-                swapped[old.slot] = new.row_id
+                swapped.append((old.slot, new.row_id, old.row_id))
         return _result(job, block, swapped, len(swapped), tried)
 
     return run
@@ -65,34 +68,65 @@ def walk_runner(width: float):
 
     def run(items: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
         if items.empty or goal.empty:
-            return _result(0, 0, {}, 0, 0).iloc[:0]
+            return _result(0, 0, [], 0, 0).iloc[:0]
         gap = np.asarray(goal["residual"].iloc[0], dtype=np.float64).copy()
         size, n = gap.size, int(goal["size"].iloc[0])
         limit, wanted = float(goal["limit"].iloc[0]), int(goal["required"].iloc[0])
         slots = {r.slot: r for r in items[items["kind"] == SLOT].itertuples(index=False)}
-        rows = {s: r.row_id for s, r in slots.items()}
-        curves = {}
-        entered, gone, swapped = set(), set(), {}
-        accepted = tried = 0
+        first = {s: r.row_id for s, r in slots.items()}
+        curves, most = {}, max(2, CURVE_BYTES // (8 * size))
+        entered, gone = set(), set()
+        accepted = tried = redrawn = 0
         for offer in items[items["kind"] == OFFER].sort_values("ord").itertuples(index=False):
             if accepted >= wanted:
                 break
             if offer.row_id in entered or (offer.inside and offer.row_id not in gone):
+                redrawn += 1
                 continue
             at = offer.slot
             if at not in curves:
+                if len(curves) >= most:
+                    curves.clear()
                 curves[at] = _curve_of(slots[at], size)
             tried += 1
             new = _curve_of(offer, size)
             trial = gap + (new - curves[at]) / n
             if np.abs(trial[:-1]).sum() * width <= limit:
-                entered.discard(rows[at])
-                gone.add(rows[at])
+                leaves = slots[at].row_id
+                entered.discard(leaves)
+                gone.add(leaves)
                 gone.discard(offer.row_id)
                 entered.add(offer.row_id)
-                gap, rows[at], curves[at], swapped[at] = trial, offer.row_id, new, offer.row_id
+                gap, slots[at], curves[at] = trial, offer, new
                 accepted += 1
-        return _result(int(items["job"].iloc[0]), 0, swapped, accepted, tried)
+        swapped = [(s, r.row_id, first[s]) for s, r in slots.items() if r.row_id != first[s]]
+        return _result(int(items["job"].iloc[0]), 0, swapped, accepted, tried, redrawn, gap)
+
+    return run
+
+
+def prefix_runner(width: float):
+    """Function for one job's accepted swaps of a round: (items, goal) to the swaps that stay.
+
+    Swaps are applied in turn to the exact residual. From the first prefix that
+    is within the limit on, the rest is left out; without one all stay.
+    """
+
+    def run(items: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
+        if items.empty or goal.empty:
+            return _result(0, 0, [], 0, 0).iloc[:0]
+        gap = np.asarray(goal["residual"].iloc[0], dtype=np.float64).copy()
+        size, n, limit = gap.size, int(goal["size"].iloc[0]), float(goal["limit"].iloc[0])
+        kept = []
+        within = np.abs(gap[:-1]).sum() * width <= limit
+        ordered = items.sort_values(["turn", "block", "slot", "kind"])
+        for old, new in zip(ordered[ordered["kind"] == SLOT].itertuples(index=False), ordered[ordered["kind"] == OFFER].itertuples(index=False)):
+            if within:
+                break
+            gap += (_curve_of(new, size) - _curve_of(old, size)) / n
+            kept.append((new.slot, new.row_id, old.row_id))
+            within = np.abs(gap[:-1]).sum() * width <= limit
+        return _result(int(items["job"].iloc[0]), 0, kept, len(kept), 0)
 
     return run
 
@@ -101,7 +135,8 @@ def _curve_of(row, size: int) -> np.ndarray:
     return curve(row.bins, row.slopes, row.intercepts, row.completes, size)
 
 
-def _result(job: int, block: int, swapped: dict, accepted: int, tried: int) -> pd.DataFrame:
+def _result(job: int, block: int, swapped: list, accepted: int, tried: int, redrawn: int = 0, residual=None) -> pd.DataFrame:
     """One row a changed slot, then one with the counts."""
-    rows = [(job, block, slot, row, 0, 0) for slot, row in swapped.items()]
-    return pd.DataFrame([*rows, (job, block, -1, -1, accepted, tried)], columns=["job", "block", "slot", "row_id", "accepted", "tried"])
+    rows = [(job, block, slot, row, old, turn, 0, 0, 0, None) for turn, (slot, row, old) in enumerate(swapped)]
+    counts = (job, block, -1, -1, -1, -1, accepted, tried, redrawn, residual)
+    return pd.DataFrame([*rows, counts], columns=["job", "block", "slot", "row_id", "old_id", "turn", "accepted", "tried", "redrawn", "residual"])

@@ -81,11 +81,8 @@ def target_from_changes(
     if changes.select("row_id").distinct().count() != size:
         raise ValueError("some target rows have no usable interval")
     observed = run.table("target/cdf", mean_target(rows, changes, grid))
-    counts = bootstrap.bootstrap_counts(rows, size, config.replicates, config.seed)
-    replicates = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
-    distances = run.table(
-        "target/distances", bootstrap.bootstrap_distances(replicates, observed, grid)
-    )
+    draws = bootstrap.Draws(run.spark, size, config.replicates, config.seed)
+    distances = run.table("target/distances", bootstrap.replicate_distances(draws, rows, changes, observed, grid))
     spans = strata.strata(strata.equal_mass_edges(observed, grid))
     quotas = run.table("target/strata", strata.largest_remainder(spans, size))
     threshold = config.acceptance_distance

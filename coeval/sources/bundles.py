@@ -61,18 +61,25 @@ def open_bundle(spark: SparkSession, path: str, *versions: str, deep: bool = Fal
     return bundle
 
 
-def is_complete(spark: SparkSession, path: str, version: str) -> bool:
-    """Whether a finished bundle of this version is already there.
+def is_complete(spark: SparkSession, path: str, version: str, step: str | None = None) -> bool:
+    """Whether a finished bundle of this version, made by this step, is already there.
 
-    Nothing there means no; something else there is an error, never a reason
-    to overwrite.
+    Nothing there means no; anything else there is an error, never a reason to
+    overwrite. With a step's key the bundle's tables are counted and digested anew.
     """
     if not exists(spark, path):
         return False
-    open_bundle(spark, path, version)
+    bundle = open_bundle(spark, path, version, deep=step is not None)
+    if step is not None and bundle.metadata.get("step") != step:
+        raise ValueError(f"{path}: made from other inputs, settings or software")
     return True
 
 
+def content_identity(bundle: Bundle) -> dict:
+    """What a bundle holds: its version and its tables' digests."""
+    return {"version": bundle.version, "tables": {name: bundle.digest(name) for name in sorted(bundle.metadata["tables"])}}
+
+
 def require_same_source(store: Bundle, *derived: Bundle) -> None:
     """Every derived bundle must name this store's catalog and interval digests."""
     identity = source_identity(store)

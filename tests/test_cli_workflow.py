@@ -1,9 +1,13 @@
 """Tree tables to spectrum distances through the command line."""
 
 import gzip
+import threading
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from coeval import cli
 from coeval import schema as layout
 from coeval.cli import main
 from coeval.sources import bundles
@@ -136,15 +140,84 @@ def test_workflow(spark, workspace):
         assert scores.where("phi_sfs < 0 OR phi_sfs > 1").count() == 0
         assert scores.where("input_sites <> 8").count() == 0
 
+    # candidates by row number and by mask, one source at a time
+    sites = store.table("sites")
+    allowed = sites.where("eligible").select("row_id")
+    allowed.write.parquet(at("rows.parquet"))
+    sites.select("row_id", F.col("eligible").alias("selected")).write.parquet(at("mask.parquet"))
+    few = ("--sets", "1", "--max-proposals", "64", "--seed", "2")
+    for kind, name in (("rows", "by-rows"), ("mask", "by-mask")):
+        run("reject", "--store", at("store"), "--target", at("target"), "--output", at(name), f"--candidate-{kind}", at(f"{kind}.parquet"), *few)
+    rows, mask = (bundles.open_bundle(spark, at(name), bundles.CONTROLS) for name in ("by-rows", "by-mask"))
+    assert rows.digest("members") == mask.digest("members") and rows.table("excluded_candidates").count() == 0
+    allowed.unionAll(allowed.limit(1)).write.parquet(at("twice.parquet"))
+    for bad, said in ((("--candidate-rows", at("twice.parquet")), "candidates"), (("--candidate-rows", at("rows.parquet"), "--candidates", at("pool.txt")), "one source")):
+        with pytest.raises(ValueError, match=said):
+            run("reject", "--store", at("store"), "--target", at("target"), "--output", at("never"), *bad, *few)
+
+    # positions that the store lacks are listed in what is published
+    (workspace / "more.txt").write_text((workspace / "te.txt").read_text() + "chr2 899\n")
+    run("target", "--store", at("store"), "--positions", at("more.txt"), "--output", at("audited"), "--policy", "drop", *common)
+    audited = bundles.open_bundle(spark, at("audited"), bundles.TARGET)
+    assert [tuple(r) for r in audited.table("excluded").select("chrom", "native", "reason").collect()] == [("chr2", 899, "unresolved")]
+    assert target.table("excluded").count() == 0
+
+    # runs side by side: one finds its target made, one is broken, one is new
     (workspace / "runs.tsv").write_text(
         "label\tpositions\ttarget\toutput\tseed\n"
-        f"one\t{at('te.txt')}\t{at('target')}\t{at('from-manifest')}\t9\n"
+        f"one\t{at('te.txt')}\t{at('target')}\t{at('from-manifest')}\t3\n"
+        f"broken\t{at('nowhere.txt')}\t{at('broken-target')}\t{at('broken-out')}\t4\n"
+        f"two\t{at('te.txt')}\t{at('second-target')}\t{at('second-out')}\t8\n"
     )
-    run(
+    manifest = (
         "run-manifest", "--manifest", at("runs.tsv"), "--store", at("store"), "--chains", "1",
-        "--sets", "1", "--search-bin-width", "1000", "--policy", "drop",
+        "--sets", "1", "--search-bin-width", "1000", "--policy", "error", "--parallel", "3", *common[:-2],
     )
-    assert bundles.is_complete(spark, at("from-manifest"), bundles.CONTROLS)
+    with pytest.raises(RuntimeError, match="1 of 3 runs failed.*broken"):
+        run(*manifest)
+    first = {name: bundles.open_bundle(spark, at(name)) for name in ("target", "from-manifest", "second-target", "second-out")}
+    assert not (workspace / "broken-out").exists()
+    (workspace / "nowhere.txt").write_text((workspace / "te.txt").read_text())
+    run(*manifest)
+    again = {name: bundles.open_bundle(spark, at(name)) for name in first}
+    assert all(again[n].metadata == first[n].metadata for n in first)
+
+    # an output that was made from other inputs or settings is refused, not taken for this run's
+    for changed in (("--quantile", "0.8"), ("--chains", "2")):
+        with pytest.raises(RuntimeError, match="other inputs, settings or software"):
+            run(*manifest, *changed)
+    (workspace / "te.txt").write_text("".join((workspace / "te.txt").read_text().splitlines(True)[1:]))
+    with pytest.raises(RuntimeError, match="other inputs, settings or software"):
+        run(*manifest)
+
+
+def test_runs_of_a_manifest_overlap(spark, tmp_path, monkeypatch):
+    """Two runs that each wait for the other to have begun."""
+    (tmp_path / "m.tsv").write_text("label\tpositions\ttarget\toutput\tseed\na\tp\tt1\to1\t1\nb\tp\tt2\to2\t2\n")
+    together, pools = threading.Barrier(2, timeout=60), {}
+
+    def one(session, args, row):
+        together.wait()
+        pools[row["label"]] = session.sparkContext.getLocalProperty("spark.scheduler.pool")
+        session.range(10).count()
+        together.wait()
+        return "complete"
+
+    monkeypatch.setattr(cli, "_manifest_run", one)
+    assert main(["run-manifest", "--manifest", str(tmp_path / "m.tsv"), "--store", "s", "--parallel", "2"], spark) is None
+    assert set(pools) == {"a", "b"}
+
+
+def test_steps_are_known_by_content(spark, workspace):
+    args = cli.parser().parse_args(["build-store", "--trees", str(workspace / "draw*"), "--chromosomes", str(workspace / "offsets.txt"), "--output", "x"])
+    key = cli.step_key(spark, args)
+    args.output, args.work = "y", "z"
+    assert cli.step_key(spark, args) == key
+    args.min_usable_fraction = 0.2
+    assert cli.step_key(spark, args) != key
+    args.min_usable_fraction = 0.1
+    (workspace / "offsets.txt").write_text("# the same chromosomes\nchr1 0 40\nchr2 41 901\n")
+    assert cli.step_key(spark, args) != key
 
 
 def test_distribution(spark, workspace):

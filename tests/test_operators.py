@@ -1,7 +1,9 @@
 """Hand values and brute-force checks of the relational operators."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,13 +263,29 @@ def test_native_and_global(spark):
     assert got[("chr1", 100)] == (100, None) and got[("chr2", 1)] == (102, None)
     assert got[("chr2", 101)][1] == "position out of range" and got[("chrX", 1)][1] == "unknown chromosome"
     sites = spark.createDataFrame([(1,), (100,), (101,), (102,), (201,), (202,)], "position BIGINT")
-    back = rows(coordinates.global_to_native(sites, frame, 30), "position", "chrom", "native")
+    back = rows(coordinates.global_to_native(sites, frame), "position", "chrom", "native")
     assert back == [(1, "chr1", 1), (100, "chr1", 100), (101, None, None), (102, "chr2", 1), (201, "chr2", 100), (202, None, None)]
     for bad in ([], [Chromosome("a", 0, 5), Chromosome("a", 9, 5)], [Chromosome("a", 0, 5), Chromosome("b", 4, 5)], [Chromosome("a", 0, 0)]):
         with pytest.raises(ValueError):
             coordinates.validate_chromosomes(bad)
 
 
+def test_unequal_intervals_are_listed_twice_at_most(spark):
+    rnd, table, at = random.Random(2), [], 0
+    for i in range(60):
+        at += rnd.choice([0, 1, 1000])
+        length = rnd.choice([1, 2, 10, 1023, 1024, 1025, 10**9])
+        table.append(Chromosome(f"c{i}", at, length))
+        at += length
+    frame = coordinates.chromosome_frame(spark, table)
+    listed = coordinates.interval_levels(frame)
+    assert max(r["count"] for r in listed.groupBy("chrom").count().collect()) <= 2
+    ends = {p for c in table for p in (c.offset, c.offset + 1, c.offset + c.length, c.offset + c.length + 1, c.offset + rnd.randint(1, c.length))}
+    sites = spark.createDataFrame([(p,) for p in sorted(ends)], "position BIGINT")
+    want = [(p, *next(((c.chrom, p - c.offset) for c in table if c.offset < p <= c.offset + c.length), (None, None))) for p in sorted(ends)]
+    assert rows(coordinates.global_to_native(sites, frame), "position", "chrom", "native") == want
+
+
 def test_resolution(spark):
     sites = spark.createDataFrame([(0, 10, True), (1, 20, False), (2, 30, True), (3, 50, True)], "row_id BIGINT, position BIGINT, eligible BOOLEAN")
     asked = spark.createDataFrame([(0, 50), (1, 15), (2, 20), (3, 10)], "request_index INT, position BIGINT")
@@ -314,12 +332,51 @@ def test_bootstrap_support(spark):
     grid = Grid(1000.0, 3)
     rows_ = bootstrap.index_targets(facts.select("row_id"))
     changes = cdf.row_changes(facts, grid)
-    counts = bootstrap.bootstrap_counts(rows_, 2, 40, 5)
+    draws = bootstrap.Draws(spark, 2, 40, 5)
+    counts = bootstrap.bootstrap_counts(draws)
     assert {r["draws"] for r in bootstrap.replicate_sizes(counts).collect()} == {2}
     observed = cdf.set_cdf(facts.select("row_id", F.lit(0).alias("s")), changes, grid, ["s"]).select("bin", F.col("cdf").alias("target_cdf"))
-    means = bootstrap.replicate_cdfs(counts, rows_, changes, grid, 2)
-    distances = {round(r["wasserstein"], 6) for r in bootstrap.bootstrap_distances(means, observed, grid).collect()}
-    assert distances <= {0.0, 1000.0} and len(distances) == 2
+    found = bootstrap.replicate_distances(draws, rows_, changes, observed, grid).collect()
+    assert len(found) == 40 and {round(r["wasserstein"], 6) for r in found} == {0.0, 1000.0}
+
+
+@pytest.mark.parametrize("block,span,drawn", [(256, 1 << 16, 1 << 12), (3, 8, 5)])
+def test_bootstrap_product_matches_brute_force(spark, monkeypatch, block, span, drawn):
+    """Counts, CDFs and distances from counters in plain Python, with one tile and with many."""
+    for name, value in (("BLOCK", block), ("SPAN", span), ("DRAWN", drawn)):
+        monkeypatch.setattr(bootstrap, name, value)
+    rnd, size, replicates = random.Random(4), 21, 11
+    ages = [(3 * i + 1, 0, below := rnd.uniform(0, 5000), below + rnd.uniform(10, 4000), 1) for i in range(size)]
+    facts = spark.createDataFrame(ages, "row_id BIGINT, draw_id INT, below DOUBLE, above DOUBLE, usable_intervals BIGINT")
+    grid = Grid(500.0, 20)
+    rows_, changes = bootstrap.index_targets(facts.select("row_id")), cdf.row_changes(facts, grid)
+    observed = cdf.set_cdf(facts.select("row_id", F.lit(0).alias("s")), changes, grid, ["s"]).select("bin", F.col("cdf").alias("target_cdf"))
+    draws = bootstrap.Draws(spark, size, replicates, 9)
+    number = lambda r, i: int(hashlib.md5(f"9|bootstrap|{r}|{i}".encode()).hexdigest()[:12], 16) / 16**12
+    picks = [[int(number(r, i) * size) for i in range(size)] for r in range(replicates)]
+    counts = {(r["replicate"], r["target_idx"]): r["times"] for r in bootstrap.bootstrap_counts(draws).collect()}
+    assert counts == {(r, t): p.count(t) for r, p in enumerate(picks) for t in set(p)}
+    curves = np.array([[min(1.0, max(0.0, (x - below) / (above - below))) for x in grid.points()] for _, _, below, above, _ in ages])
+    means = {(r["replicate"], r["bin"]): r["cdf"] for r in bootstrap.replicate_cdfs(draws, rows_, changes, grid).collect()}
+    assert len(means) == replicates * grid.bins
+    far = {r["replicate"]: r["wasserstein"] for r in bootstrap.replicate_distances(draws, rows_, changes, observed, grid).collect()}
+    for r, p in enumerate(picks):
+        mean = curves[p].mean(axis=0)
+        assert np.allclose([means[r, b] for b in range(grid.bins)], mean, atol=1e-12)
+        assert abs(far[r] - np.abs((mean - curves.mean(axis=0))[:-1]).sum() * grid.width) < 1e-8
+
+
+def test_ten_thousand_replicates(spark):
+    size = 300
+    facts = spark.range(size).select(F.col("id").alias("row_id"), F.lit(0).alias("draw_id"), (F.col("id") * 10.0).alias("below"), (F.col("id") * 11.0 + 700.0).alias("above"), F.lit(1).cast("bigint").alias("usable_intervals"))
+    grid = Grid(100.0, 45)
+    rows_, changes = bootstrap.index_targets(facts.select("row_id")), cdf.row_changes(facts, grid)
+    observed = cdf.set_cdf(facts.select("row_id", F.lit(0).alias("s")), changes, grid, ["s"]).select("bin", F.col("cdf").alias("target_cdf"))
+    draws = bootstrap.Draws(spark, size, 10_000, 1)
+    assert draws.packed().count() == draws.blocks == 40
+    far = bootstrap.replicate_distances(draws, rows_, changes, observed, grid)
+    summary = far.agg(F.count("*"), F.count_distinct("replicate"), F.avg("wasserstein"), F.max("wasserstein")).first()
+    assert summary[0] == summary[1] == 10_000 and 0 < summary[2] < summary[3] < 1000
 
 
 # --- Genotypes and spectra -------------------------------------------------------

@@ -2,6 +2,7 @@
 
 import bisect
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from coeval.functions.age import Grid
 from coeval.functions.rng import permutation_domain, permuted
 from coeval.operators import cdf
-from coeval.plans import blocks, matcher, rejection, replay, swap, validation
+from coeval.plans import blocks, matcher, nearest, rejection, replay, setlog, swap, validation
 from coeval.plans.target import TargetConfig, build_target
 from coeval.session import RunFolder
 
@@ -180,6 +181,12 @@ def test_offers_give_every_slot_another_candidate(spark, store):
     assert sorted(r["p"] for r in numbers) == list(range(domain))
 
 
+def _applied(run, state, swaps):
+    log = setlog.SetLog(run, "applied", state, state.count())
+    log.append(swaps, 0)
+    return log.current()
+
+
 def _distances(state, changes, target, jobs):
     means = blocks.job_cdfs(state, changes, target.grid)
     aims = blocks.for_every_job(target.cdf, jobs)
@@ -204,7 +211,7 @@ def test_blocks_together_keep_the_guarantee(spark, store, slots):
             state, blocks.indexed(pool), N - X, profiles, residuals, target.grid, jobs, X, 3, "t", blocks.BlockConfig(slots)
         ),
     )
-    after_state = run.table("after", blocks.apply_swaps(state, swaps))
+    after_state = run.table("after", _applied(run, state, swaps))
     after = _distances(after_state, changes, target, jobs)
     counts = blocks.tallies(swaps)
     for job in jobs:
@@ -229,7 +236,7 @@ def test_walk_round_stays_within_the_limit(spark, store, proposals):
     ).withColumns({"limit": F.lit(limit), "required": F.lit(X)})
     listed = run.table("indexed", blocks.indexed(pool))
     swaps = run.table("swaps", blocks.walk_round(state, listed, N - X, profiles, goals, target.grid, [0, 1], X, 3, "t", proposals))
-    after_state = run.table("after", blocks.apply_swaps(state, swaps))
+    after_state = run.table("after", _applied(run, state, swaps))
     assert max(_distances(after_state, changes, target, [0, 1]).values()) <= limit + 1e-9
     counts = blocks.tallies(swaps)
     assert all(0 < counts[j][0] <= min(X, counts[j][1]) and counts[j][1] <= proposals for j in (0, 1))
@@ -237,9 +244,71 @@ def test_walk_round_stays_within_the_limit(spark, store, proposals):
     assert all(r["n"] == r["d"] == X for r in held)
 
 
+def test_log_of_swaps_equals_rewritten_sets(spark, store, monkeypatch):
+    """Sets and running CDFs after rounds of random swaps, with and without new bases, against plain Python."""
+    monkeypatch.setattr(setlog, "MOST_ENTRIES", 3)
+    facts, _, _, pool, _, target = store
+    run, rnd, jobs = RunFolder(spark), random.Random(3), [0, 1, 2]
+    changes = run.table("changes", cdf.row_changes(facts, target.grid))
+    state = run.table("state", blocks.first_state(pool, jobs, X, 3))
+    held = {(r["job"], r["slot"]): r["row_id"] for r in state.collect()}
+    log = setlog.SetLog(run, "sets", state, 10**6)
+    running = setlog.RunningCdfs(run, "sums", state, changes, target.grid, X)
+    versions = [dict(held)]
+    for turn in range(7):
+        touched = rnd.sample(sorted(held), 5 if turn % 2 else 1)
+        rows = []
+        for job, slot in touched:
+            new = rnd.choice(sorted(set(range(X, N)) - {r for (j, _), r in held.items() if j == job}))
+            rows.append((job, 0, slot, new, held[job, slot]))
+            held[job, slot] = new
+        swaps = run.table(f"swaps-{turn}", spark.createDataFrame(rows, "job INT, block INT, slot BIGINT, row_id BIGINT, old_id BIGINT"))
+        log.append(swaps, len(rows))
+        running.advance(swaps)
+        versions.append(dict(held))
+    assert log.compactions == 2
+    flat = lambda df: {(r["job"], r["slot"]): r["row_id"] for r in df.collect()}
+    assert flat(log.current()) == held
+    assert flat(log.at({0: 2, 1: 7, 2: 0})) == {k: versions[{0: 2, 1: 7, 2: 0}[k[0]]][k] for k in held}
+    far = running.cdfs().withColumnRenamed("cdf", "kept").join(blocks.job_cdfs(log.current(), changes, target.grid), ["job", "bin"])
+    assert far.where(F.abs(F.col("kept") - F.col("cdf")) > 1e-10).count() == 0 and far.count() == 3 * target.grid.bins
+
+
+def test_swaps_end_with_the_first_that_suffices():
+    rnd, bins, size = random.Random(9), 10, 12
+    goal = np.linspace(0.1, 1, bins)
+    records, curves = [], {}
+    for turn in range(size):
+        for kind in (replay.SLOT, replay.OFFER):
+            shape = _profile(rnd, bins)
+            curves[turn, kind] = replay.curve(*shape, bins)
+            records.append([0, turn % 3, turn, turn, kind, 100 * kind + turn, *shape])
+    items = pd.DataFrame(records, columns=["job", "block", "slot", "turn", "kind", "row_id", *SHAPE]).sample(frac=1, random_state=1)
+    gaps = [np.mean([curves[t, replay.SLOT] for t in range(size)], axis=0) - goal]
+    for t in range(size):
+        gaps.append(gaps[-1] + (curves[t, replay.OFFER] - curves[t, replay.SLOT]) / size)
+    far = [np.abs(g[:-1]).sum() for g in gaps]
+    for limit in [*far, 0.0]:
+        frame = pd.DataFrame({"residual": [gaps[0]], "limit": [limit + 1e-12], "size": [size]})
+        out = replay.prefix_runner(1.0)(items, frame)
+        kept = next((k for k, d in enumerate(far) if d <= limit + 1e-12), size)
+        assert list(out[out.slot >= 0].slot) == list(range(kept))
+        assert list(out[out.slot >= 0].old_id) == list(range(kept)) and out[out.slot < 0].accepted.iloc[0] == kept
+
+
+def test_chain_near_its_threshold_stops_within_an_epoch(spark, store):
+    facts, _, _, pool, oldest, target = store
+    wide = dataclasses.replace(target, threshold=2.0 * target.threshold)
+    config = swap.SwapConfig(chains=2, sets_per_chain=1, construction=swap.Construction(bin_width=1000))
+    made = swap.run_chains(facts, pool, wide, oldest, 4, config, RunFolder(spark))
+    last = {r["chain_index"]: r for r in made.construction}
+    assert all(r["exact_wasserstein"] <= wide.threshold for r in last.values())
+    assert any(r["accepted_swaps"] < r["passing_swaps"] for r in last.values())
+
+
 def test_chains_are_certified_and_repeatable(spark, store):
     facts, sites, targets, pool, oldest, target = store
-    config = swap.SwapConfig(chains=2, sets_per_chain=2, search_bin_width=4000, blocks=blocks.BlockConfig(16))
+    config = swap.SwapConfig(chains=2, sets_per_chain=2, construction=swap.Construction(bin_width=4000), blocks=blocks.BlockConfig(16))
     keys = ["chain_index", "sample_index"]
     first = swap.run_chains(facts, pool, target, oldest, 9, config, RunFolder(spark))
     validation.require_none(validation.bad_members(first.members, sites, targets, keys, X, pool), "members")
@@ -263,15 +332,15 @@ def test_chains_are_certified_and_repeatable(spark, store):
 def test_search_grid_is_refined_on_a_plateau(spark, store):
     facts, _, _, pool, oldest, target = store
     # so wide a grid sees no difference at all between sets
-    config = swap.SwapConfig(chains=1, sets_per_chain=1, search_bin_width=64_000, max_construction_epochs=30)
+    config = swap.SwapConfig(chains=1, sets_per_chain=1, construction=swap.Construction(bin_width=64_000, epochs=30))
     made = swap.run_chains(facts, pool, target, oldest, 2, config, RunFolder(spark))
     widths = [r["search_bin_width"] for r in made.construction]
     assert widths == sorted(widths, reverse=True)
     with pytest.raises(ValueError, match="finer"):
-        swap.run_chains(facts, pool, target, oldest, 2, swap.SwapConfig(search_bin_width=100), RunFolder(spark))
+        swap.run_chains(facts, pool, target, oldest, 2, swap.SwapConfig(construction=swap.Construction(bin_width=100)), RunFolder(spark))
     small = pool.limit(X)
     with pytest.raises(swap.SwapSamplingError):
-        swap.run_chains(facts, small, target, oldest, 2, swap.SwapConfig(search_bin_width=4000), RunFolder(spark))
+        swap.run_chains(facts, small, target, oldest, 2, swap.SwapConfig(construction=swap.Construction(bin_width=4000)), RunFolder(spark))
 
 
 def _number(*parts):
@@ -392,12 +461,32 @@ def test_rejection_reports_short_strata(spark):
         rejection.generate_matches(frame, strata, changes, target, Grid(1.0, 2), 1.0, 1, 4, 1, RunFolder(spark))
 
 
+@pytest.mark.parametrize("tile,stretches", [(64, 64), (4, 3)])
+def test_nearest_seeds_are_exact_and_few_are_measured(spark, monkeypatch, tile, stretches):
+    monkeypatch.setattr(nearest, "TILE", tile)
+    monkeypatch.setattr(nearest, "STRETCHES", stretches)
+    rnd, bins, grid = random.Random(8), 30, Grid(10.0, 30)
+    curve = lambda shift: np.clip(np.linspace(-shift, 1.2, bins) + np.sort([rnd.uniform(0, 0.05) for _ in range(bins)]), 0, 1)
+    sets, goals = {s: curve(s / 20) for s in range(20)}, {r: curve(r / 12) for r in range(9)}
+    sets[20], sets[3] = sets[7], sets[7]
+    frame = lambda curves, name: spark.createDataFrame([(k, b, float(x)) for k, c in curves.items() for b, x in enumerate(c)], f"{name} INT, bin INT, cdf DOUBLE").repartition(3)
+    args = frame(sets, "set_id"), frame(goals, "replicate"), grid
+    got = {(r["replicate"], r["restart"]): (r["set_id"], r["kind"]) for r in nearest.choose_seeds(*args, 3, 2, 6).collect()}
+    assert len(got) == 9 * 5
+    for r, goal in goals.items():
+        order = sorted(sets, key=lambda s: (np.abs(sets[s] - goal)[:-1].sum() * grid.width, s))
+        rest = sorted(order[3:], key=lambda s: (_number(6, "diverse", r, s), s))
+        want = [(s, "closest") for s in order[:3]] + [(s, "diverse") for s in rest[:2]]
+        assert [got[r, k] for k in range(5)] == want
+    measured = nearest.candidates(*args, 3, 2, 6).agg(F.sum("measured")).first()[0]
+    assert measured < (0.6 if tile == 64 else 0.95) * 9 * len(sets)
+
+
 def test_matcher_improves_and_certifies(spark, store):
     facts, sites, targets, pool, oldest, target = store
     seeds = blocks.first_state(pool, [0, 1, 2], X, 8).select(F.col("job").alias("set_id"), "row_id")
     config = matcher.OptimizerConfig(
-        replicates=2, closest_restarts=1, diverse_restarts=1, min_epochs=2, max_epochs=4, patience=1,
-        search_bin_width=1000.0, blocks=blocks.BlockConfig(16),
+        replicates=2, bin_width=1000.0, seeds=matcher.Seeds(1, 1), stopping=matcher.Stopping(2, 4, 1), blocks=blocks.BlockConfig(16),
     )
     found = matcher.match_replicates(facts, pool, target, seeds, oldest, 5, config, RunFolder(spark))
     validation.require_none(
@@ -419,10 +508,11 @@ def test_matcher_improves_and_certifies(spark, store):
 
 
 def test_configurations_are_checked():
-    for bad in (dict(chains=0), dict(sets_per_chain=0), dict(burnin_accepted_sweeps=0), dict(search_bin_width=0)):
+    for bad in (dict(chains=0), dict(sets_per_chain=0), dict(walk=swap.Walk(burnin=0)), dict(construction=swap.Construction(bin_width=0))):
         with pytest.raises(ValueError):
             swap.SwapConfig(**bad).validate()
-    for bad in (dict(replicates=0), dict(closest_restarts=0, diverse_restarts=0), dict(min_epochs=9, max_epochs=3), dict(patience=0), dict(relative_tolerance=-1)):
+    stops = [matcher.Stopping(least=9, most=3), matcher.Stopping(patience=0), matcher.Stopping(material=-1.0)]
+    for bad in (dict(replicates=0), dict(seeds=matcher.Seeds(0, 0)), *[dict(stopping=x) for x in stops], dict(tolerance=matcher.Tolerance(relative=-1.0)), dict(quality=matcher.Quality(ratio=0.0))):
         with pytest.raises(ValueError):
             matcher.OptimizerConfig(**bad).validate()
     with pytest.raises(ValueError):

@@ -2,10 +2,12 @@
 
 import gzip
 import hashlib
+import shutil
 import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from coeval.operators.coordinates import Chromosome
 from coeval.sinks.publish import publish, table_digest
@@ -31,24 +33,58 @@ def test_positions(spark, tmp_path):
             text_inputs.load_native_positions(spark, str(path))
 
 
-def test_manifest(tmp_path):
+def test_manifest(spark, tmp_path):
     path = tmp_path / "m.tsv"
     head = "label\tpositions\ttarget\toutput\tseed\n"
-    path.write_text(head + "a.1\tp\tt1\to1\t3\nb\tp\tt2\to2\t4\n")
-    assert [r["label"] for r in text_inputs.load_manifest(str(path))] == ["a.1", "b"]
-    for text in (head, "label\tseed\na\t1\n", head + "-x\tp\tt\to\t1\n", head + "a\tp\tt\to\tx\n", head + "a\tp\tt\to\t1\nb\tp\tt\to2\t1\n"):
+    path.write_text(head + "a.1\tp\tt1\to1\t3\nb\tp\tt2\to2\t-4\n")
+    for name in (str(path), path.as_uri()):
+        runs = text_inputs.load_manifest(spark, name)
+        assert [(r["label"], r["seed"]) for r in runs] == [("a.1", "3"), ("b", "-4")]
+    bad = {
+        head: "no runs", "label\tseed\na\t1\n": "no column", head + "-x\tp\tt\to\t1\n": "malformed label", head + "a\tp\tt\to\tx\n": "no integer",
+        head + "a\tp\tt\to\t1\nb\tp\tt\to2\t1\n": "repeated target", head + "a\tp\tt\to\t1\na\tp\tt2\to2\t1\n": "repeated label",
+        head + "a\t\tt\to\t1\n": "empty positions", head + "a\tp\tt\t \t1\n": "empty output", head + "a\tp\tt\to\t1.5\n": "no integer",
+    }
+    for text, said in bad.items():
         path.write_text(text)
-        with pytest.raises(ValueError):
-            text_inputs.load_manifest(str(path))
+        with pytest.raises(ValueError, match=said):
+            text_inputs.load_manifest(spark, str(path))
 
 
-def test_expand(tmp_path):
+def test_expand(spark, tmp_path):
     for name in ("b1", "b0", "a0"):
         (tmp_path / name).touch()
-    got = text_inputs.expand([str(tmp_path / "b*"), str(tmp_path / "*")])
-    assert [p[-2:] for p in got] == ["b0", "b1", "a0"]
+    for base in (str(tmp_path), tmp_path.as_uri()):
+        got = text_inputs.expand(spark, [f"{base}/b*", f"{base}/*"])
+        assert [p[-2:] for p in got] == ["b0", "b1", "a0"]
     with pytest.raises(ValueError):
-        text_inputs.expand([str(tmp_path / "none*")])
+        text_inputs.expand(spark, [str(tmp_path / "none*")])
+
+
+def test_offsets_by_uri(spark, tmp_path):
+    (tmp_path / "o.txt").write_text("a 10\nb 5\n")
+    assert text_inputs.load_offsets(spark, (tmp_path / "o.txt").as_uri()) == [Chromosome("a", 0, 10), Chromosome("b", 10, 5)]
+
+
+def test_many_draws_are_one_scan(spark, tmp_path):
+    from coeval import schema as layout
+    from coeval.sources.tree_tables import load_draws
+
+    base = tmp_path / "draws of run+1"
+    ddl = {"nodes": layout.NODES, "edges": layout.EDGES, "sites": layout.DRAW_SITES, "mutations": layout.MUTATIONS}
+    one = spark.range(1).select(F.lit(1).alias("n"))
+    for name, columns in ddl.items():
+        empty = spark.createDataFrame([], columns.split(", ", 1)[1])
+        row = one.select(*[F.lit(7).cast(f.dataType).alias(f.name) for f in empty.schema.fields])
+        row.coalesce(1).write.parquet(str(base / "first" / name))
+    for i in range(74):
+        shutil.copytree(base / "first", base / f"d{i:02d}")
+    trees = load_draws(spark, [(base / "d*").as_uri(), str(base / "first")])
+    assert trees.draws == 75
+    assert sorted(r["draw_id"] for r in trees.sites.collect()) == list(range(75))
+    assert trees.nodes.where("draw_id = 74").select(F.input_file_name()).first()[0].count("first") == 1
+    plan = trees.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1 and "Union" not in plan
 
 
 def block_gzip(data: bytes, size: int) -> bytes:

@@ -51,8 +51,8 @@ def _target_parts(spark, folder):
 
 @register("a21_bootstrap_counts", _with_boot("SELECT replicate, target_idx, times FROM boot"))
 def bootstrap_counts(spark, folder):
-    rows = bootstrap.index_targets(v.targets(spark, folder))
-    return bootstrap.bootstrap_counts(rows, rows.count(), REPLICATES, v.SEED)
+    size = v.targets(spark, folder).count()
+    return bootstrap.bootstrap_counts(bootstrap.Draws(spark, size, REPLICATES, v.SEED))
 
 
 @register(
@@ -62,17 +62,16 @@ def bootstrap_counts(spark, folder):
 def bootstrap_cdfs(spark, folder):
     grid, mine, size, changes = _target_parts(spark, folder)
     rows = bootstrap.index_targets(mine)
-    counts = bootstrap.bootstrap_counts(rows, size, REPLICATES, v.SEED)
-    means = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
+    draws = bootstrap.Draws(spark, size, REPLICATES, v.SEED)
+    means = bootstrap.replicate_cdfs(draws, rows, changes, grid)
     return means.withColumn("cdf", settle(F.col("cdf"), 7))
 
 
 def _distances(spark, folder):
     grid, mine, size, changes = _target_parts(spark, folder)
     rows = bootstrap.index_targets(mine)
-    counts = bootstrap.bootstrap_counts(rows, size, REPLICATES, v.SEED)
-    means = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
-    return bootstrap.bootstrap_distances(means, mean_target(mine, changes, grid), grid)
+    draws = bootstrap.Draws(spark, size, REPLICATES, v.SEED)
+    return bootstrap.replicate_distances(draws, rows, changes, mean_target(mine, changes, grid), grid)
 
 
 @register(
@@ -311,25 +310,28 @@ def best_restart(spark, folder):
 @register(
     "t03_closest_seeds",
     _with_boot(
-        """SELECT replicate, CAST(place - 1 AS INTEGER) AS restart, set_id, 'closest' AS kind FROM (
-             SELECT replicate, set_id, row_number() OVER (PARTITION BY replicate ORDER BY d, set_id) AS place
+        """SELECT replicate, CAST(place - 1 AS INTEGER) AS restart, set_id, 'closest' AS kind FROM placed WHERE place <= 2
+           UNION ALL SELECT replicate, CAST(1 + turn AS INTEGER), set_id, 'diverse' FROM (
+             SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY u, set_id) AS turn FROM placed WHERE place > 2) WHERE turn <= 1""",
+        {"placed": f"""SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY d, set_id) AS place,
+             {_uniform_sql(f"'{v.SEED}'", "'diverse'", "replicate::VARCHAR", "set_id::VARCHAR")} AS u
              FROM (SELECT replicate, CAST(s.chain_index * 3 + s.sample_index AS INTEGER) AS set_id,
                    sum(abs(s.cdf - r.cdf)) AS d FROM set_cdf s JOIN rep_cdf r USING (bin)
-                   JOIN grid USING (bin) WHERE bin < last GROUP BY ALL)) WHERE place <= 2""",
+                   JOIN grid USING (bin) WHERE bin < last GROUP BY ALL)"""},
         views=("set_cdf",),
     ),
 )
 def closest_seeds(spark, folder):
-    """The two control sets nearest to each bootstrap replicate."""
+    """The two control sets nearest to each bootstrap replicate, and another by lot."""
     grid, mine, size, changes = _target_parts(spark, folder)
     rows = bootstrap.index_targets(mine)
-    counts = bootstrap.bootstrap_counts(rows, size, REPLICATES, v.SEED)
-    means = bootstrap.replicate_cdfs(counts, rows, changes, grid, size)
+    draws = bootstrap.Draws(spark, size, REPLICATES, v.SEED)
+    means = bootstrap.replicate_cdfs(draws, rows, changes, grid)
     every = cdf.row_changes(v.intervals(spark, folder), grid)
     seeds = v.control_sets(spark, folder).select(
         (F.col("chain_index") * 3 + F.col("sample_index")).alias("set_id"), "row_id"
     )
-    return matcher.choose_seeds(cdf.set_cdf(seeds, every, grid, ["set_id"]), means, grid, 2, 0, v.SEED)
+    return matcher.choose_seeds(cdf.set_cdf(seeds, every, grid, ["set_id"]), means, grid, 2, 1, v.SEED)
 
 
 @register(
@@ -483,7 +485,7 @@ def rejection_sampler(spark, folder):
 def swap_chains(spark, folder):
     """Two chains of two saved sets; every rule and claim recomputed from members."""
     run, facts, sites, mine, pool, oldest, target = _prepared(spark, folder)
-    config = swap.SwapConfig(chains=2, sets_per_chain=2, search_bin_width=8000)
+    config = swap.SwapConfig(chains=2, sets_per_chain=2, construction=swap.Construction(bin_width=8000))
     chains = swap.run_chains(facts, pool, target, oldest, v.SEED, config, run)
     checked = _certified(chains.members, SETS, sites, mine, pool, facts, target)
     claimed = chains.sets.withColumnRenamed("wasserstein", "claimed")
@@ -512,8 +514,8 @@ def bootstrap_matcher(spark, folder):
         ),
     )
     config = matcher.OptimizerConfig(
-        replicates=3, closest_restarts=1, diverse_restarts=1, min_epochs=2, max_epochs=4,
-        patience=1, search_bin_width=2000.0,
+        replicates=3, bin_width=2000.0, seeds=matcher.Seeds(closest=1, diverse=1),
+        stopping=matcher.Stopping(least=2, most=4, patience=1),
     )
     found = matcher.match_replicates(facts, pool, target, seeds, oldest, v.SEED, config, run)
     checked = _certified(found.members, ["replicate"], sites, mine, pool, facts, target)

@@ -100,9 +100,7 @@ _NATIVE_SQL = """SELECT p.position, c.chrom, p.position - c."offset" AS native
 def global_to_native(spark, folder):
     """Every position to its chromosome; gap bases have none."""
     sites = v.table(spark, folder, "part").select((F.col("p_partkey") + 1).alias("position"))
-    return coordinates.global_to_native(
-        sites, v.chromosomes(spark, folder), v.chromosome_tile(spark, folder)
-    )
+    return coordinates.global_to_native(sites, v.chromosomes(spark, folder))
 
 
 def _native_requests(spark, folder):

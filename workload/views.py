@@ -146,10 +146,6 @@ def chromosomes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def chromosome_tile(spark: SparkSession, folder: str) -> int:
-    return chromosomes(spark, folder).agg(F.min("length")).first()[0]
-
-
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """Small parts, eligible or not, plus positions past the catalog."""
     part = table(spark, folder, "part")
