@@ -127,6 +127,8 @@ def validate(spark, args) -> None:
     bundle = bundles.open_bundle(spark, args.store, deep=args.deep)
     if bundle.version == bundles.INTERVAL_STORE:
         stores.validate_interval_store(bundle, args.deep)
+    elif bundle.version == bundles.DENSE_STORE:
+        stores.validate_dense_store(bundle, args.deep)
 
 
 def export(spark, args) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coeval.operators.ranks import ordinal_in_group
+
 
 def resolve(requests: DataFrame, sites: DataFrame) -> DataFrame:
     """Left join with the three outcomes of a request.
@@ -101,13 +103,30 @@ def candidate_problems(sites: DataFrame, candidates: DataFrame) -> DataFrame:
     return joined.select("row_id", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def gather_intervals(requests: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Intervals of every request; repeats keep their own group, empty ones too.
+#: Intervals of one piece of a request's answer.
+PIECE = 1_024
+
 
-    The result is as long as the requests ask for, repeats included. To reduce
-    per request, use :func:`gather_summaries`.
+def gather_intervals(requests: DataFrame, intervals: DataFrame, piece: int = PIECE) -> DataFrame:
+    """(request_index, row_id, piece, intervals): what every request asked for, in request order.
+
+    Requests (request_index, row_id) may repeat rows, and each has its own answer;
+    one for a row without intervals has an empty array. Intervals are structs
+    (draw_id, mutation_id, below, above) in order of draw and mutation. A site's
+    arrays are made once, before requests meet them, in pieces of at most
+    ``piece`` intervals, so neither a busy site nor a wanted one is ever held
+    whole. Partitions are ranges of requests, sorted: written files are in order.
     """
-    return requests.join(intervals, "row_id", "left")
+    wanted = requests.select("row_id").distinct()
+    own = intervals.join(wanted, "row_id", "left_semi").select("row_id", "draw_id", "mutation_id", "below", "above")
+    placed = ordinal_in_group(own, ["row_id"], ["draw_id", "mutation_id"], "mutation_id")
+    held = placed.groupBy("row_id", F.floor(F.col("ord") / piece).cast("int").alias("piece")).agg(
+        F.array_sort(F.collect_list(F.struct("draw_id", "mutation_id", "below", "above"))).alias("intervals")
+    )
+    met = requests.select("request_index", "row_id").join(held, "row_id", "left")
+    none = F.array().cast(held.schema["intervals"].dataType)
+    answers = met.select("request_index", "row_id", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("intervals", none).alias("intervals"))
+    return answers.repartitionByRange("request_index", "piece").sortWithinPartitions("request_index", "piece")
 
 
 def gather_summaries(requests: DataFrame, intervals: DataFrame) -> DataFrame:

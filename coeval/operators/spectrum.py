@@ -46,12 +46,9 @@ def accumulate_spectra(
         F.sum("_times").alias("input_sites"),
         F.coalesce(F.sum(F.when(enough, F.col("_times"))), F.lit(0)).alias("eligible_sites"),
     )
-    eligible = tallied.where(enough)
-    cells = eligible.select(
-        *keys, "k", "n", "_times", F.explode(F.sequence(F.lit(0), F.lit(m))).alias("bin")
-    )
-    mass = projection_mass("k", "n", "bin", m)
-    spectra = cells.groupBy(*keys, "bin").agg(F.sum(mass * F.col("_times")).alias("raw"))
+    # Each pair is projected once, whatever the number of sets that hold it.
+    cells = tallied.where(enough).join(project_long(tallied, m), ["k", "n"])
+    spectra = cells.groupBy(*keys, "bin").agg(F.sum(F.col("mass") * F.col("_times")).alias("raw"))
     diagnostics = totals.withColumn("dropped", F.col("input_sites") - F.col("eligible_sites"))
     return spectra, diagnostics
 

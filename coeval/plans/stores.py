@@ -75,6 +75,17 @@ def validate_interval_store(store: Bundle, deep: bool = False) -> None:
         store.verify()
 
 
+def validate_dense_store(store: Bundle, deep: bool = False) -> None:
+    """Shallow: ids and codes. Deep: both layouts hold the same cells, and digests."""
+    sites, codes = store.table("sites"), store.table("codes")
+    validation.require_none(validation.bad_row_ids(sites), "row ids")
+    validation.require_none(validation.bad_codes(codes, store.metadata["bins"], CDF_SCALE, sites), "codes")
+    if deep:
+        if "codes_by_bin" in store.metadata["tables"]:
+            validation.require_none(validation.bad_layouts(codes, store.table("codes_by_bin")), "tiles of the transpose")
+        store.verify()
+
+
 def dense_codes(intervals: DataFrame, grid: Grid) -> DataFrame:
     """(row_id, bin, code) of every site with an interval; point intervals are kept."""
     return density.quantise(cdf.row_grid_cdf(intervals, grid), grid, ["row_id"])
@@ -86,7 +97,7 @@ def build_dense_store(
     """Quantised CDFs by site and, unless omitted, again by age bin."""
     grid = Grid.spanning(store.metadata["maximum_above"], bin_width)
     codes = RunFolder(spark).table("codes", dense_codes(store.table("intervals"), grid))
-    validation.require_none(validation.bad_codes(codes, grid.bins, CDF_SCALE), "codes")
+    validation.require_none(validation.bad_codes(codes, grid.bins, CDF_SCALE, store.table("sites")), "codes")
     tables = {
         "sites": clustered(store.table("sites"), "row_id"),
         "codes": clustered(codes, "row_id", "bin"),

@@ -99,15 +99,54 @@ def bad_status(status: DataFrame, intervals: DataFrame) -> DataFrame:
     return joined.where(usable != F.coalesce("held", F.lit(False)))
 
 
-def bad_codes(codes: DataFrame, bins: int, scale: int) -> DataFrame:
-    """Dense-store rows that are not monotone or do not end at full scale."""
+def bad_codes(codes: DataFrame, bins: int, scale: int, sites: DataFrame | None = None) -> DataFrame:
+    """Dense-store rows that are not monotone or do not end at full scale.
+
+    With ``sites``, a row may end at zero only if its site has no usable interval.
+    """
     order = W.partitionBy("row_id").orderBy("bin")
     marked = codes.withColumn("previous", F.lag("code").over(order))
     problem = (
         F.when(F.col("code") < F.col("previous"), F.lit("decreasing"))
         .when((F.col("bin") == bins - 1) & ~F.col("code").isin(0, scale), F.lit("terminal code"))
     )
-    return marked.withColumn("problem", problem).where("problem IS NOT NULL")
+    found = marked.withColumn("problem", problem).where("problem IS NOT NULL")
+    if sites is None:
+        return found
+    ends = codes.where((F.col("bin") == bins - 1) & (F.col("code") == 0))
+    empty = ends.join(sites.where("usable_intervals > 0").select("row_id"), "row_id", "left_semi")
+    return found.unionByName(empty.select("*", F.lit(None).cast(codes.schema["code"].dataType).alias("previous"), F.lit("terminal code").alias("problem")))
+
+
+#: Rows and bins of a tile whose cells are digested together.
+TILE_ROWS, TILE_BINS = 1 << 12, 1 << 7
+
+
+def layout_digests(codes: DataFrame) -> DataFrame:
+    """(row_tile, bin_tile, cells, total, mixed): digests of the cells of every tile, in whatever order they lie."""
+    cell = ["row_id", "bin", "code"]
+    tiles = [F.floor(F.col("row_id") / TILE_ROWS).alias("row_tile"), F.floor(F.col("bin") / TILE_BINS).alias("bin_tile")]
+    return codes.groupBy(*tiles).agg(
+        F.count("*").alias("cells"),
+        F.sum(F.xxhash64(*cell).cast("decimal(38,0)")).alias("total"),
+        F.bit_xor(F.xxhash64(F.lit("mixed"), *cell)).alias("mixed"),
+    )
+
+
+def bad_layouts(codes: DataFrame, other: DataFrame) -> DataFrame:
+    """Tiles in which two layouts of a dense store do not hold the same cells.
+
+    Each layout is read once and reduced to a few numbers a tile before they
+    meet, so neither is sorted into the other's order.
+    """
+    names = ("cells", "total", "mixed")
+    left, right = layout_digests(codes), layout_digests(other)
+    right = right.withColumnsRenamed({c: f"other_{c}" for c in names})
+    both = left.join(right, ["row_tile", "bin_tile"], "full_outer")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"other_{c}"))
+    return both.where(~same).select("row_tile", "bin_tile", "cells", "other_cells")
 
 
 def bad_members(

@@ -14,6 +14,7 @@ from coeval.functions.rng import derive_seed, uniform
 from coeval.operators import bootstrap, catalog, cdf, coordinates, density, diversity, parents, ranks, resolution
 from coeval.operators import spectrum, strata
 from coeval.operators.coordinates import Chromosome
+from coeval.plans import validation
 
 INTERVALS = [(0, 0, 0.0, 10.0), (0, 1, 10.0, 20.0), (2, 0, 0.0, 10.0), (2, 0, 0.0, 20.0), (2, 1, 20.0, 30.0)]
 
@@ -179,6 +180,42 @@ def test_two_draw_store(spark):
         check_inputs(sites.withColumn("position", F.col("position") + 0.5), store)
 
 
+def test_requests_are_answered_whole_and_in_order(spark):
+    rnd = random.Random(3)
+    facts = [(row, d, m, float(m), float(m + d + 1)) for m, (row, d) in enumerate((rnd.choice([1, 1, 1, 2, 5]), rnd.randrange(4)) for _ in range(90))]
+    asked = [(i, rnd.choice([1, 2, 3, 5])) for i in range(40)]
+    frame = spark.createDataFrame(facts, "row_id BIGINT, draw_id INT, mutation_id BIGINT, below DOUBLE, above DOUBLE").repartition(3)
+    requests = spark.createDataFrame(rnd.sample(asked, len(asked)), "request_index INT, row_id BIGINT").repartition(5)
+    got = resolution.gather_intervals(requests, frame, piece=7).collect()
+    # rows come in request order, a request's pieces one after the other
+    assert [(r["request_index"], r["piece"]) for r in got] == sorted((r["request_index"], r["piece"]) for r in got)
+    assert all(len(r["intervals"]) <= 7 for r in got)
+    answers = {}
+    for r in got:
+        answers.setdefault((r["request_index"], r["row_id"]), []).extend(tuple(x) for x in r["intervals"])
+    assert answers == {(i, row): sorted(f[1:] for f in facts if f[0] == row) for i, row in asked}
+
+
+def test_layouts_of_a_dense_store_hold_the_same_cells(spark):
+    codes = spark.range(300).select(F.col("id").alias("row_id"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("bin"))
+    codes = codes.withColumn("code", F.least(F.lit(65535), F.col("bin") * 300 + F.col("row_id").cast("int")))
+    turned = codes.repartition(7, "bin").sortWithinPartitions("bin", "row_id")
+    assert validation.bad_layouts(codes, turned).isEmpty()
+    flipped = turned.withColumn("code", F.when((F.col("row_id") == 17) & (F.col("bin") == 200), F.col("code") + 1).otherwise(F.col("code")))
+    assert [tuple(r)[:2] for r in validation.bad_layouts(codes, flipped).collect()] == [(0, 1)]
+    assert [tuple(r) for r in validation.bad_layouts(codes, turned.where("NOT (row_id = 3 AND bin = 299)")).collect()] == [(0, 2, 300 * 44, 300 * 44 - 1)]
+    # a swap of two codes leaves counts and the set of codes as they are
+    swapped = turned.withColumn("row_id", F.when((F.col("bin") == 0) & (F.col("row_id") < 2), 1 - F.col("row_id")).otherwise(F.col("row_id")))
+    assert [tuple(r)[:2] for r in validation.bad_layouts(codes, swapped).collect()] == [(0, 0)]
+
+
+def test_empty_rows_end_at_zero_only_without_intervals(spark):
+    codes = spark.createDataFrame([(r, b, c) for r, cs in enumerate([(0, 9), (0, 0), (0, 0), (5, 3)]) for b, c in enumerate(cs)], "row_id BIGINT, bin INT, code INT")
+    sites = spark.createDataFrame([(0, 2), (1, 0), (2, 1), (3, 1)], "row_id BIGINT, usable_intervals BIGINT")
+    assert {r["row_id"] for r in validation.bad_codes(codes, 2, 9).collect()} == {3}
+    assert {r["row_id"] for r in validation.bad_codes(codes, 2, 9, sites).collect()} == {2, 3}
+
+
 def test_status_packing_round_trip(spark):
     status = spark.createDataFrame([(0, i, i % 3) for i in range(10)], "draw_id INT, row_id BIGINT, status INT")
     packed = bits.pack_status(status)

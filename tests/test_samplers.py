@@ -318,6 +318,7 @@ def test_chains_are_certified_and_repeatable(spark, store):
     validation.require_none(validation.bad_distances(first.sets, scores, keys, target.threshold), "distances")
     for record in first.diagnostics:
         assert record["accepted_swaps"] >= record["required_accepted_swaps"] == X
+        assert 0 < record["replacement_fraction"] <= min(1.0, record["accepted_sweeps"])
     broken = first.sets.withColumn("wasserstein", F.col("wasserstein") + 1)
     assert validation.bad_distances(broken, scores, keys).count() == 4
     spoiled = first.members.limit(1).withColumn("row_id", F.lit(0).cast("bigint")).unionByName(first.members)

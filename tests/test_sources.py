@@ -79,7 +79,7 @@ def test_many_draws_are_one_scan(spark, tmp_path):
         row.coalesce(1).write.parquet(str(base / "first" / name))
     for i in range(74):
         shutil.copytree(base / "first", base / f"d{i:02d}")
-    trees = load_draws(spark, [(base / "d*").as_uri(), str(base / "first")])
+    trees = load_draws(spark, [f"file://{base}/d*", str(base / "first")])
     assert trees.draws == 75
     assert sorted(r["draw_id"] for r in trees.sites.collect()) == list(range(75))
     assert trees.nodes.where("draw_id = 74").select(F.input_file_name()).first()[0].count("first") == 1

@@ -160,6 +160,35 @@ def requested_intervals(spark, folder):
     return resolution.gather_summaries(wanted, v.intervals(spark, folder))
 
 
+@register(
+    "j17_t06_ragged_intervals",
+    with_views(
+        ["site"],
+        """SELECT request_index, row_id, CAST(CASE WHEN below IS NOT NULL THEN row_number() OVER (PARTITION BY request_index ORDER BY draw_id, mutation_id) - 1 END AS INTEGER) AS place,
+           draw_id, below, above
+           FROM (SELECT c_custkey AS request_index, c_custkey * 7 % 3000 AS row_id FROM customer)
+           LEFT JOIN (SELECT row_id, CAST(l_suppkey % 8 AS INTEGER) AS draw_id, l_orderkey * 8 + l_linenumber AS mutation_id, l_quantity * 1000.0::DOUBLE AS below,
+             l_quantity * 1000.0::DOUBLE + 1000.0::DOUBLE + l_discount * 100000.0::DOUBLE AS above
+             FROM lineitem JOIN site ON position = l_partkey + 1 WHERE l_returnflag <> 'R') USING (row_id)""",
+    ),
+)
+def ragged_intervals(spark, folder):
+    """The intervals that every customer asks for, in order; rows beyond the catalog have none."""
+    line = v.table(spark, folder, "lineitem").where("l_returnflag <> 'R'")
+    below = F.col("l_quantity") * 1000.0
+    facts = line.select(
+        (F.col("l_partkey") + 1).alias("position"), (F.col("l_suppkey") % v.DRAWS).cast("int").alias("draw_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mutation_id"), below.alias("below"),
+        (below + 1000.0 + F.col("l_discount") * 100000.0).alias("above"),
+    ).join(v.sites(spark, folder).select("position", "row_id"), "position")
+    wanted = v.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("request_index"), (F.col("c_custkey") * 7 % 3000).alias("row_id")
+    )
+    found = resolution.gather_intervals(wanted, facts, piece=8)
+    each = found.select("request_index", "row_id", "piece", F.posexplode_outer("intervals").alias("at", "i"))
+    return each.select("request_index", "row_id", (F.col("piece") * 8 + F.col("at")).alias("place"), "i.draw_id", "i.below", "i.above")
+
+
 @register(
     "s09_candidates_from_positions",
     with_views(["resolved"], "SELECT row_id FROM resolved WHERE eligible"),
