@@ -35,6 +35,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
+def _folded(text: Column) -> Column:
+    """All letters lowered, each alike wherever it stands: only a capital sigma's lower form depends on what follows."""
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def _plain(words: Column) -> Column:
     return F.transform(words, lower_ascii)
 
@@ -86,12 +91,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     """
     run = RunFolder(docs.sparkSession)
     windows = run.table("windows", _windows(benchmark, item, item_text, window, nameless))
-    distinct = windows.select("wid", "words", "k", F.transform("words", F.lower).alias("low")).dropDuplicates(["wid"])
+    distinct = windows.select("wid", "words", "k", F.transform("words", _folded).alias("low")).dropDuplicates(["wid"])
     distinct = run.table("distinct", distinct.withColumn("width", F.least(F.lit(SHINGLE), "k")))
     widths = sorted(r[0] for r in distinct.select("width").distinct().collect())
     # Lowering all letters is quick and leaves the number of words as it is. It finds too
     # much at most: the words with A-Z lowered decide in the end.
-    texts = docs.select(row_key(id_column, text).alias("key"), words_of(F.lower(F.col(text))).alias("all"))
+    texts = docs.select(row_key(id_column, text).alias("key"), words_of(_folded(F.col(text))).alias("all"))
 
     nothing = distinct.filter("false").select("wid", "width", F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("shingle"))
     parts = [_shingles(distinct.filter(F.col("width") == w), "low", w, "offset").select("wid", "width", "offset", "shingle") for w in widths]
@@ -120,7 +125,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_
     placed = run.table("places", reduce(DataFrame.unionAll, places, nowhere).distinct().join(prefixes.select("wid", "k", "low", "words"), "wid"))
     asked = run.table("asked", placed.groupBy("key").agg(F.collect_list(F.struct("start", "k", "wid", "low", "words")).alias("asked")))
     met = docs.select(row_key(id_column, text).alias("key"), F.col(text).alias("text")).join(small_side(asked.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    met = met.join(asked, "key").select("key", "asked", words_of(F.lower("text")).alias("all"), words_of(F.col("text")).alias("own"))
+    met = met.join(asked, "key").select("key", "asked", words_of(_folded(F.col("text"))).alias("all"), words_of(F.col("text")).alias("own"))
     # Slices that end short of a window differ from it.
     here = lambda words, x: F.slice(words, x["start"] + 1, x["k"])
     true = F.filter("asked", lambda x: (here(F.col("all"), x) == x["low"]) & (F.transform(here(F.col("own"), x), lower_ascii) == x["words"]))

@@ -58,6 +58,15 @@ def test_matches_brute_force(spark, seed, vocab):
     assert found(spark, docs, items) == brute(docs, items)
 
 
+def test_greek_capitals_beside_punctuation(spark):
+    item = "ΑΒΓ ΟΔΟΣ.ΝΕΑ ένα two three four five six seven eight nine ten"
+    items = [(1, item), (2, "ΟΔΟΣ-ΟΔΟΣ Σ.Σ ς"), (3, "İΣ K.Σa")]
+    docs = [(1, item), (2, item.replace(".", " ").lower()), (3, "x ΟΔΟΣ ΟΔΟΣ.Σ,Σ ς"), (4, "İΣ K Σa ΟΔΟς-ΟΔΟΣ Σ.Σ ς"), (5, "ΑΒΓ, " * 5)]
+    got = found(spark, docs, items)
+    assert got == brute(docs, items)
+    assert sum(bool(hit) for _, hit, _ in got) == 4
+
+
 def test_blocks_do_not_show(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK", 7)
     rng = random.Random(4)
