@@ -25,7 +25,7 @@ LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "digit
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; else empty."""
-    rest = F.substring_index(F.regexp_replace(F.substr(url, F.locate("://", url) + 3), r"[/?#](?s:.)*$", ""), "\0\0", 1)
+    rest = F.regexp_replace(F.substr(url, F.locate("://", url) + 3), r"[/?#](?s:.)*$", "")
     return F.when(F.coalesce(F.locate("://", url), F.lit(0)) > 0, lower_ascii(rest)).otherwise(F.lit(""))
 
 
@@ -78,9 +78,16 @@ def _lexical(rows: DataFrame) -> DataFrame:
 
 
 def _rates(known: DataFrame, key: str) -> DataFrame:
-    """How many labelled URLs a host suffix has, and their smoothed share of blocks."""
-    counts = known.groupBy(key).agg(F.count("*").cast("double").alias(f"{key}_seen"), F.sum("label").alias("blocked"))
-    return counts.select(key, F.log1p(f"{key}_seen").alias(f"{key}_seen"), ((F.col("blocked") + 1) / (F.col(f"{key}_seen") + 2)).alias(f"{key}_rate"))
+    """How many labelled URLs a host suffix has, and how many of them are blocked."""
+    return known.groupBy(key).agg(F.count("*").cast("double").alias(f"{key}_all"), F.sum("label").alias(f"{key}_blocked"))
+
+
+def _with_rates(rows: DataFrame, key: str, counts: DataFrame, learned: bool) -> DataFrame:
+    """Adds a suffix's labelled URLs, as a logarithm, and their smoothed share of blocks; a URL learned from is not counted for itself."""
+    own, blocked = (F.lit(1.0), F.col("label")) if learned else (F.lit(0.0), F.lit(0.0))
+    seen = F.greatest(F.coalesce(f"{key}_all", F.lit(0.0)) - own, F.lit(0.0))
+    rate = (F.greatest(F.coalesce(f"{key}_blocked", F.lit(0.0)) - blocked, F.lit(0.0)) + 1) / (seen + 2)
+    return rows.join(counts, key, "left").withColumns({f"{key}_seen": F.log1p(seen), f"{key}_rate": rate}).drop(f"{key}_all", f"{key}_blocked")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_column: str = "page_id", url: str = "url", labels: DataFrame | None = None) -> DataFrame:
@@ -90,7 +97,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_column: str =
     give blocking at least even odds, else ``allow``. ``score`` is that
     probability, null where a rule fits. Trees learn from at most SAMPLE_ROWS
     rows, picked by a hash of the URL; ``labels`` (url, blocked 0/1) replaces
-    the rules' verdicts as labels. Suffix statistics count all labelled rows. With fewer
+    the rules' verdicts as labels. Suffix statistics count all labelled rows but the
+    one that is learned from. With fewer
     than two kinds of label there is nothing to learn and the rest is allowed.
 
     Null URLs and those without ``://`` have an empty host and path. Very long
@@ -107,10 +115,12 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_column: str =
         known = known.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     suffixes = run.table("suffixes", _rates(known.withColumn("suffix", F.substring_index("host", ".", -1)), "suffix"))
     domains = run.table("domains", _rates(known.withColumn("domain", F.substring_index("host", ".", -2)), "domain"))
-    rates = {c: F.coalesce(c, F.lit(0.5 if c.endswith("rate") else 0.0)) for c in ("suffix_rate", "suffix_seen", "domain_rate", "domain_seen")}
-    described = lambda rows: _lexical(rows).join(small_side(suffixes), "suffix", "left").join(small_side(domains), "domain", "left").withColumns(rates)
+
+    def described(rows: DataFrame, learned: bool = False) -> DataFrame:
+        return _with_rates(_with_rates(_lexical(rows), "suffix", small_side(suffixes), learned), "domain", small_side(domains), learned)
+
     sample = known.orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE_ROWS).select("url", "host", "path", "label")
-    train = run.table("train", described(sample).select("label", *LEXICAL))
+    train = run.table("train", described(sample, True).select("label", *LEXICAL))
     kinds = train.agg(F.count_distinct("label")).first()[0]
     open_rows = described(ruled) if kinds > 1 else ruled
     if kinds > 1:

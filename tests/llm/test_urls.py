@@ -27,7 +27,7 @@ def rule(host, path):
     return best
 
 
-ODD = [None, "", "no scheme", "http://", "http://com", "HTTP://COM/", "a://b://c/d", "x://Sub.Example.COM/en/?q#f", "x://www.example.com/en/1", "x://notexample.com/en/1", "x://net/es/", "x://a.net/es", "x://a.net?u=/es/", "x://É.net/fr/ü", "x://h#/en/", "x://a.com/\n/en?b\nc", "x://" + "a" * 5000 + ".com/en/"]
+ODD = [None, "", "no scheme", "http://", "http://com", "HTTP://COM/", "a://b://c/d", "x://Sub.Example.COM/en/?q#f", "x://www.example.com/en/1", "x://notexample.com/en/1", "x://net/es/", "x://a.net/es", "x://a.net?u=/es/", "x://É.net/fr/ü", "x://h#/en/", "x://a.com/\n/en?b\nc", "x://" + "a" * 5000 + ".com/en/", "http://a\0\0b.com/en/\0x", "x://\0\0/\0\0"]
 
 
 def test_hosts_paths_and_rules(spark):
