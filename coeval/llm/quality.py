@@ -110,7 +110,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     """Weights of all slots, from at most SAMPLE_ROWS labelled rows.
 
     ``labels`` has the id and a 0/1 label. Ids with a null or with both labels
-    are left out. Without labelled rows all weights are 0, so every score is a half.
+    are left out, and of rows that repeat an id one text is learned from. Without labelled rows all weights are 0, so every score is a half.
     """
     run = RunFolder(docs.sparkSession)
     short_batches(docs.sparkSession)
@@ -118,6 +118,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
     picked = run.table("picked", known.orderBy(F.xxhash64(id_column), id_column).limit(SAMPLE_ROWS).select(F.col(id_column).alias("id"), F.col("low").cast("double").alias("label")))
     # At most SAMPLE_ROWS ids are broadcast.
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).cast("binary").alias("bytes")).join(F.broadcast(picked), "id").select("id", "label", "bytes")
+    # One text an id, chosen within tasks before they meet: an id may repeat any number of times.
+    texts = texts.groupBy("id", "label").agg(F.min_by("bytes", F.struct(F.xxhash64("bytes"), F.octet_length("bytes"))).alias("bytes"))
     kind = picked.schema["id"].dataType.simpleString()
     rows = texts.mapInArrow(_featurer(), f"id {kind}, label double, slots binary, amounts binary")
     fitted = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_fitter(), "slot int, weight double").collect()

@@ -37,6 +37,14 @@ def test_held_out_accuracy(spark):
     assert sum((scores[i] >= 0.3) == bool(y) for i, y in held) >= 0.97 * len(held)
 
 
+def test_one_text_an_id_is_learned_from(spark):
+    rows, labels = corpus(80)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    many = docs.unionAll(docs.filter("doc_id < 3").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("again"))
+    assert (fit_quality(many.repartition(5), known) == fit_quality(docs, known)).all()
+
+
 def test_fold_matches_crc32(spark):
     got = spark.range(200).select("id", is_held_out("id").alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
