@@ -222,7 +222,8 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     Null and empty texts have no licence of their own, null paths no directory:
     both are passed on. Very long texts and lines are read whole. Repeated rows
     are treated alike, one row each. An empty table gives no rows. Other columns
-    are passed on.
+    are passed on; those named like the new ones are replaced. Of licences with
+    equal scores the first by name is taken.
     """
     listed = templates is None
     templates = TEMPLATES if listed else templates
@@ -237,6 +238,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     could_match = lambda s, need=tokens: F.arrays_overlap(F.split(F.lower(plain(s)), "[^a-z0-9]+"), need)
     lines = F.split(F.col(text), "\n")
     pieces = lines if known else F.when(named, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
+    made = ("licence", "score", "origin", "given_by")
     carried = [c for c in files.columns if c != text]
     # A text without a needed token is settled before it is cut into lines.
     could = F.filter(F.when(could_match(F.col(text)), pieces), lambda s: could_match(s))
@@ -264,12 +266,13 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", spea
     nearest = ancestors.join(givers, "dir").groupBy("folder").agg(F.max_by(F.struct("given", "given_by"), "depth").alias("near"))
     nearest = run.table("nearest", nearest.select("folder", "near.*"))
 
-    marked = files.select(*carried, F.xxhash64(F.col(path), F.col(text)).alias(MARK), _up(F.col(path)).alias(FOLDER))
+    # The user's columns travel as one, so none can clash.
+    marked = files.select(F.struct(*carried).alias("row"), F.xxhash64(F.col(path), F.col(text)).alias(MARK), _up(F.col(path)).alias(FOLDER))
     mine = own.select(MARK, F.col("licence").alias("own_licence"), F.col("score").alias("own_score"))
     full = marked.join(mine, MARK, "left").join(nearest.withColumnRenamed("folder", FOLDER), FOLDER, "left")
     inherits = F.col("own_licence").isNull() & F.col("given").isNotNull()
     result = full.select(
-        *carried,
+        *[F.col(f"row.`{c}`") for c in carried if c not in made],
         F.coalesce("own_licence", "given").alias("licence"),
         F.col("own_score").alias("score"),
         F.when(F.col("own_licence").isNotNull(), "own").when(inherits, "inherited").alias("origin"),

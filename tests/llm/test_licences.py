@@ -77,6 +77,16 @@ def test_matches_brute_force(spark, named):
     assert found(spark, rows, named) == brute(rows, named)
 
 
+def test_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "x"), ("c/y", None)], "path string, text string")
+    names = ["given", "own_licence", "own_score", "licence", "origin", "row", "folder", "segment", "p", "dir", "speaks"]
+    got = scan_licences(df.withColumns({n: F.lit(f"<{n}>") for n in names}))
+    assert sorted(got.columns) == sorted({*names, "path", "licence", "score", "origin", "given_by"})
+    rows = {r["path"]: r for r in got.collect()}
+    assert {p: (r["licence"], r["origin"]) for p, r in rows.items()} == {"a/LICENSE": ("MIT", "own"), "a/b/x.py": ("MIT", "inherited"), "c/y": (None, None)}
+    assert all(r[n] == f"<{n}>" for r in rows.values() for n in names if n not in ("licence", "origin"))
+
+
 def test_necessary_tokens_are_necessary():
     need = set(necessary_tokens(TEMPLATES, THRESHOLD))
     for text in TEMPLATES.values():
