@@ -208,6 +208,17 @@ def _setter(width: int):
     return run
 
 
+def _sizer(width: int):
+    """Arrow batches of texts to the sizes of their sets."""
+
+    def run(batches):
+        words = WordHashes()
+        for batch in bites(batches, 0):
+            yield pa.record_batch({"n": pa.array([len(shingle_set(t.as_py(), width, words)) for t in batch.column(0)], pa.int64())})
+
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough."""
     a = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
@@ -245,11 +256,12 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Two documents link when their shingle sets' Jaccard similarity is at least
     ``percent`` / 100. Returns (id, n_shingles bigint, component_id bigint), one
-    row per id, the component being the smallest id reachable by links. Sets are
+    row per id and one per row without, the component being the smallest id reachable by links. Sets are
     compared by 64-bit hashes.
 
     Nulls: a null text or one without words has no shingles and its own class;
-    a null id is left out. Very long texts are hashed whole. Rows that repeat an
+    a row with a null id has its own set size and a null class, and is linked
+    with nothing. Very long texts are hashed whole. Rows that repeat an
     id count once: the smallest of their sets' digests stands for the id. An
     empty table gives no rows; other columns are not read.
     """
@@ -297,6 +309,10 @@ def jaccard_classes(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             F.coalesce("label", "rep", "doc").alias("component_id"),
         )
     )
+    # Rows without an id have no name to link by: a row each, with the size of its set.
+    bare = docs.filter(F.col(id_column).isNull()).select(F.col(text).cast("binary").alias("text"))
+    sizes = bare.mapInArrow(_sizer(width), "n bigint")
+    joined = joined.unionAll(sizes.select(F.lit(None).cast("bigint"), "n", F.lit(None).cast("bigint")))
     result = run.table("result", joined)
     for step in ("facts", "classes", "reps", "sets"):
         drop_table(run, step)

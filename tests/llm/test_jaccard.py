@@ -55,7 +55,7 @@ def corpus(seed, docs=120):
 def test_matches_all_pairs(spark, seed):
     rows = corpus(seed) + [(900, None), (901, ""), (902, " \t"), (903, "one two"), (904, "ONE\ntwo"), (905, "é Ä b c"), (906, "é ä b c"), (None, "one two")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1)).withColumn("rep", F.lit("x"))
-    got = {r[0]: (r[1], r[2]) for r in jaccard_classes(df.repartition(5)).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard_classes(df.repartition(5)).collect() if r[0] is not None}
     assert got == brute(rows)
 
 
@@ -69,14 +69,20 @@ def test_hub_of_near_copies_and_rest_round(spark):
             words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r[0]: (r[1], r[2]) for r in jaccard_classes(df).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard_classes(df).collect() if r[0] is not None}
     assert got == brute(rows)
 
 
+def test_rows_without_an_id_have_a_row_each(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None), (None, "x " * 50_000), (None, "a b c d e f")]
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(1, 2, 1), (None, 0, None), (None, 1, None), (None, 2, None), (None, 2, None)], key=str)
+
+
 def test_lower_similarity_and_other_width(spark):
     rows = corpus(9, 70)
     df = spark.createDataFrame(rows, "key bigint, body string")
-    got = {r[0]: (r[1], r[2]) for r in jaccard_classes(df, "key", "body", 2, 50).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard_classes(df, "key", "body", 2, 50).collect() if r[0] is not None}
     assert got == brute(rows, 2, 50)
 
 
