@@ -18,10 +18,11 @@ two blocks of sources at most, and adds what each pair differs by there.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,47 +36,63 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS, TOP_TERMS = 10, 10
 #: Unit of a share, as its third root, which keeps products of counts below 2^63.
 UNIT_ROOT = 1_000
-#: Chunks, and bytes of new chunks, that a task counts before it sends them on.
-COUNTED, COUNTED_BYTES = 250_000, 32 << 20
-#: Slots that say which chunks are looked up again.
+#: Bytes of counts, and groups, that a task holds before it adds them up and sends them on.
+COUNTED_BYTES, NAMED = 96 << 20, 100_000
+#: Slots that say which chunks of a language are looked up again.
 SLOTS = 1 << 22
+#: Most kept terms, and their bytes, that are sent to every task; more are joined by a shuffle.
+SENT, SENT_BYTES = 500_000, 16 << 20
+#: Mask of the lower half of a 64-bit number.
+LOW = (1 << 32) - 1
 #: Sources of a block, and counts of a tile of terms.
-BLOCK, TILE = 64, 100_000
+BLOCK, TILE = 64, 25_000
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """All chunks of some texts, as codes into the distinct ones, and the text that each is of."""
+    cut = pc.ascii_split_whitespace(pc.cast(texts, pa.string(), safe=False) if texts.type == pa.string() else texts.view(pa.string()))
+    flat = cut.flatten()
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    doc = np.repeat(np.arange(len(cut), dtype=np.int64), np.diff(cut.offsets.to_numpy()))[full.to_numpy(zero_copy_only=False)]
+    return doc, flat.filter(full).dictionary_encode()
 
-LOW = (1 << 32) - 1
+
+def _distinct(doc: np.ndarray, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, times) of every chunk of every text."""
+    pairs, times = np.unique(doc << 32 | coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    return pairs >> 32, pairs & LOW, times
 
 
 def _chunk_counts():
     """(lang, source, bytes) to (lang, source, chunk, docs, times), added up within a task; chunk '' counts a group's documents."""
 
-    def send(groups):
-        for (lang, source), held in groups.items():
-            words, counts = list(held), np.fromiter(held.values(), np.int64, len(held))
-            yield pa.record_batch({
-                "lang": pa.array([lang] * len(words), pa.string()),
-                "source": pa.array([source] * len(words), pa.string()),
-                "chunk": pa.array(words, pa.binary()),
-                "docs": pa.array(counts >> 32),
-                "times": pa.array(counts & LOW),
-            })
+    def send(pieces, names):
+        added = pa.concat_tables(pieces).group_by(["group", "chunk"], use_threads=False).aggregate([("docs", "sum"), ("times", "sum")]).combine_chunks()
+        for piece in added.to_batches():
+            named = [pa.array([n[k] for n in names], pa.string()).take(piece.column("group")) for k in (0, 1)]
+            yield pa.record_batch({"lang": named[0], "source": named[1], "chunk": piece.column("chunk").view(pa.binary()), "docs": piece.column("docs_sum"), "times": piece.column("times_sum")})
 
     def run(batches):
-        groups, size, new = defaultdict(lambda: defaultdict(int)), 0, 0
+        names: dict[tuple, int] = {}
+        pieces, size = [], 0
         for batch in bites(batches, 2):
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                held = groups[lang, source]
-                before = len(held)
-                held[b""] += 1 << 32
-                text = text.as_py()
-                for word, times in Counter(text.split()).items():
-                    held[word] += (1 << 32) + times
-                size += len(held) - before
-                new += len(text) if len(held) > before else 0
-                if size >= COUNTED or new >= COUNTED_BYTES:
-                    yield from send(groups)
-                    groups.clear()
-                    size = new = 0
-        yield from send(groups)
+            of = np.array([names.setdefault(g, len(names)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.int64)
+            text, coded = _words(batch.column(2))
+            doc, code, times = _distinct(text, coded)
+            keys, place = np.unique(of[doc] << 32 | code, return_inverse=True)
+            groups, docs = np.unique(of, return_counts=True)
+            pieces.append(pa.table({
+                "group": pa.array(np.concatenate([keys >> 32, groups])),
+                "chunk": pa.concat_arrays([coded.dictionary.take(pa.array(keys & LOW)), pa.repeat(pa.scalar("", pa.string()), len(groups))]),
+                "docs": pa.array(np.concatenate([np.bincount(place, minlength=len(keys)), docs])),
+                "times": pa.array(np.concatenate([np.bincount(place, times, len(keys)).astype(np.int64), np.zeros(len(groups), np.int64)])),
+            }))
+            size += pieces[-1].nbytes
+            if size >= COUNTED_BYTES or len(names) >= NAMED:
+                yield from send(pieces, list(names))
+                names, pieces, size = {}, [], 0
+        if pieces:
+            yield from send(pieces, list(names))
 
     return run
 
@@ -87,9 +104,10 @@ def _recount(slots):
         marked = np.unpackbits(slots.value, bitorder="little")
         for batch in bites(batches, 2):
             at, chunks = [], []
+            before = [zlib.crc32(x.encode() + b"\0") for x in batch.column(1).to_pylist()]
             for i, text in enumerate(batch.column(2)):
                 words = list(set(text.as_py().split()))
-                places = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % SLOTS
+                places = np.fromiter(map(zlib.crc32, words, repeat(before[i])), np.int64, len(words)) % SLOTS
                 hit = np.nonzero(marked[places])[0].tolist()
                 at += [i] * len(hit)
                 chunks += [words[k] for k in hit]
@@ -166,18 +184,20 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     named = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     plain = docs.select(named(lang).alias("lang"), named(source).alias("source"), F.coalesce(text, F.lit("")).cast("binary").alias("bytes"))
     partial = plain.mapInArrow(_chunk_counts(), "lang string, source string, chunk binary, docs bigint, times bigint")
-    counts = run.table("chunks", partial.groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times")))
+    # Tasks have added up what they can: shuffled first, rows are not hashed twice.
+    counts = run.table("chunks", partial.repartition("lang", "source", "chunk").groupBy("lang", "source", "chunk").agg(F.sum("docs").alias("docs"), F.sum("times").alias("times")))
     groups = run.table("groups", counts.filter("chunk = X''").select("lang", "source"))
 
     # Every distinct chunk is cut into terms once.
     found = counts.filter("chunk <> X''").select("chunk").distinct().select("chunk", F.regexp_extract_all(lower_ascii(F.col("chunk").cast("string")), F.lit(TERM), 0).alias("terms"))
     cut = run.table("cut", found.filter(F.size("terms") > 0))
-    spread = counts.join(cut, "chunk").select("lang", "source", "docs", "times", F.explode("terms").alias("term"))
-    terms = run.table("terms", spread.groupBy("lang", "source", "term").agg(F.sum("times").alias("n"), F.max("docs").alias("low"), F.sum("docs").alias("high")))
+    # Chunks are distinct there, so its hash tables are even.
+    spread = counts.join(cut.hint("shuffle_hash"), "chunk").select("lang", "source", "docs", "times", F.explode("terms").alias("term"))
+    terms = run.table("terms", spread.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("times").alias("n"), F.max("docs").alias("low"), F.sum("docs").alias("high")))
     drop_table(run, "chunks")
     kept = _kept_terms(run, plain, terms, cut, least_docs)
 
-    had = terms.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
+    had = run.table("had", terms.join(_sendable(kept), ["lang", "term"]).select("lang", "source", "term", "n"))
     by_lang = W.partitionBy("lang")
     sizes = had.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
     vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
@@ -188,6 +208,12 @@ def source_divergence(docs: DataFrame, lang: str = "lang", source: str = "source
     return _term_part(shares, top).unionAll(_pair_part(run, numbered, shares))
 
 
+def _sendable(kept: DataFrame) -> DataFrame:
+    """Broadcast hint behind a count of rows and bytes."""
+    rows, size = kept.agg(F.count("*"), F.sum(F.octet_length("lang") + F.octet_length("term"))).first()
+    return F.broadcast(kept) if rows <= SENT and (size or 0) <= SENT_BYTES else kept
+
+
 def _kept_terms(run: RunFolder, plain: DataFrame, terms: DataFrame, cut: DataFrame, least: int) -> DataFrame:
     """(lang, term) of the terms in ``least`` documents of the language or more."""
     bounds = terms.groupBy("lang", "term").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).filter(F.col("high") >= least)
@@ -195,7 +221,7 @@ def _kept_terms(run: RunFolder, plain: DataFrame, terms: DataFrame, cut: DataFra
     open_terms = bounds.filter(F.col("low") < least).select("lang", "term")
     again = cut.select("chunk", F.explode(F.array_distinct("terms")).alias("term")).join(open_terms, "term").select("lang", "chunk", "term")
     again = run.table("again", again)
-    slot = F.crc32("chunk") % SLOTS
+    slot = F.crc32(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("chunk"))) % SLOTS
     words = again.select(F.shiftright(slot, 5).alias("word"), (slot % 32).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("bits")).collect()
     certain = bounds.filter(F.col("low") >= least).select("lang", "term")
     if not words:

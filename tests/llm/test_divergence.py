@@ -53,9 +53,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("counted,block,tile", [(250_000, 64, 100_000), (40, 2, 50)])
-def test_matches_brute_force(spark, monkeypatch, counted, block, tile):
-    monkeypatch.setattr(divergence, "COUNTED", counted)
+@pytest.mark.parametrize("counted,block,tile,sent", [(96 << 20, 64, 25_000, 500_000), (40, 2, 50, 0)])
+def test_matches_brute_force(spark, monkeypatch, counted, block, tile, sent):
+    monkeypatch.setattr(divergence, "COUNTED_BYTES", counted)
+    monkeypatch.setattr(divergence, "SENT", sent)
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "TILE", tile)
     rows = corpus(3)
