@@ -139,7 +139,7 @@ def export(spark, args) -> None:
 
 def distribution(spark, args) -> None:
     trees = load_draws(spark, args.trees)
-    wanted = text_inputs.numeric_positions(spark.read.text(args.positions)).distinct()
+    wanted = text_inputs.load_numeric_positions(spark, args.positions, args.at)
     placed = trees.mutations.join(trees.sites, ["draw_id", "site_id"]).join(wanted, "position", "left_semi")
     aged = parents.with_ages(parents.mutation_parents(placed, trees.edges), trees.nodes)
     run = RunFolder(spark)
@@ -151,7 +151,8 @@ def distribution(spark, args) -> None:
     if args.missing == "error":
         require_none(result.where("missing_draws > 0").select("position"), "positions absent from some draw")
     publish(
-        spark, args.output, bundles.DISTRIBUTION, {"distribution": result},
+        spark, args.output, bundles.DISTRIBUTION,
+        {"distribution": result, "intervals": aged.where("above IS NOT NULL").orderBy("position", "draw_id", "below")},
         {"bin_width": args.bin_width, "draws": trees.draws},
     )
 
@@ -258,6 +259,8 @@ def match(spark, args) -> None:
     store, made, identity = _matching_inputs(spark, args)
     seeds = bundles.open_bundle(spark, args.seed_sets, bundles.CONTROLS)
     bundles.require_same_source(store, seeds)
+    if seeds.metadata["set_size"] != made.size:
+        raise ValueError(f"{args.seed_sets}: sets of {seeds.metadata['set_size']} rows cannot seed matches of {made.size}")
     run = _run(spark, args, "matcher")
     config = matcher.OptimizerConfig(
         args.replicates, args.search_bin_width, matcher.Seeds(args.closest, args.diverse),
@@ -293,6 +296,8 @@ def phi_sfs(spark, args) -> None:
         matches.metadata["source"] != goal.metadata["source"]
     ):
         raise ValueError("the matches were made for a different target or store")
+    if matches.version == bundles.REPLICATES:
+        controls.check_replicates(matches, goal.metadata["size"])
     coordinate = [F.col("chrom"), F.col("native").alias("pos")]
     result = phi.calculate(
         vcf.read_lines(spark, args.vcf),
@@ -409,7 +414,9 @@ def parser() -> argparse.ArgumentParser:
     c = add("validate", validate, "store")
     c.add_argument("--deep", action="store_true")
     add("export", export, "bundle", "table", "output")
-    c = add("distribution", distribution, "positions", "output")
+    c = add("distribution", distribution, "output")
+    c.add_argument("--positions", help="list of positions")
+    c.add_argument("--at", type=float, nargs="+", help="positions")
     c.add_argument("--trees", nargs="+", required=True)
     c.add_argument("--bin-width", type=float, default=1000.0)
     policies(c)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
-from coeval.operators import cdf, coordinates, diversity
+from coeval.operators import bootstrap, cdf, coordinates, diversity
 from coeval.plans import validation
 from coeval.plans.swap import Chains
 from coeval.plans.target import Target
@@ -69,6 +69,19 @@ def publish_controls(
     )
 
 
+def check_replicates(bundle: Bundle, size: int) -> None:
+    """Counts, members and winners of a bundle of replicate matches agree with each other and with the target's size."""
+    counts, members, restarts = (bundle.table(name) for name in ("counts", "members", "restarts"))
+    validation.require_none(bootstrap.replicate_sizes(counts).where(F.col("draws") != size), "draws of replicates")
+    held = members.groupBy("replicate").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("distinct"))
+    validation.require_none(held.where((F.col("n") != size) | (F.col("distinct") != size)), "members of replicates")
+    best = bootstrap.best_restart(restarts.select("replicate", "restart", F.col("match_bootstrap").alias("wasserstein")))
+    said = bundle.table("replicates").select("replicate", F.col("restart").alias("_restart"), F.col("match_bootstrap").alias("_distance"))
+    both = best.join(said, "replicate", "full_outer").join(held, "replicate", "full_outer")
+    agree = F.col("restart").eqNullSafe(F.col("_restart")) & F.col("wasserstein").eqNullSafe(F.col("_distance")) & F.col("n").isNotNull()
+    validation.require_none(both.where(~agree), "winners of replicates")
+
+
 def load_target(bundle: Bundle) -> Target:
     """Target of a published bundle, its invariants checked."""
     meta = bundle.metadata

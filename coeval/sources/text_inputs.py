@@ -56,6 +56,21 @@ def numeric_positions(lines: DataFrame) -> DataFrame:
     return parts.select(F.col("t")[0].try_cast("double").alias("position"))
 
 
+def load_numeric_positions(spark: SparkSession, path: str | None, listed: list[float] | None = None) -> DataFrame:
+    """Distinct finite positions of a list, of the command line, or of both; anything else in them is an error."""
+    parts = [spark.createDataFrame([(str(x),) for x in listed], "value STRING")] if listed else []
+    if path:
+        parts.append(spark.read.text(path))
+    if not parts:
+        raise ValueError("no positions are given")
+    found = numeric_positions(reduce(DataFrame.unionAll, parts))
+    wrong = F.col("position").isNull() | F.isnan("position") | (F.abs("position") == float("inf"))
+    bad = found.where(wrong).count()
+    if bad:
+        raise ValueError(f"{path or 'positions'}: {bad} values are not finite numbers")
+    return found.distinct()
+
+
 def parse_offsets(lines: list[str]) -> list[Chromosome]:
     """``chrom length`` (cumulative) or ``chrom offset length`` lines, not mixed."""
     rows = [line.split("#", 1)[0].split() for line in lines]

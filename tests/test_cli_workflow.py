@@ -232,3 +232,40 @@ def test_distribution(spark, workspace):
     rows = bundles.open_bundle(spark, str(workspace / "dist")).table("distribution")
     sums = {r["position"]: r["s"] for r in rows.groupBy("position").agg({"probability": "sum"}).withColumnRenamed("sum(probability)", "s").collect()}
     assert sums == pytest.approx({10.0: 1.0, 12.0: 1.0})
+    made = bundles.open_bundle(spark, str(workspace / "dist"))
+    assert made.table("intervals").groupBy("position").count().where(f"count = {DRAWS}").count() == 2
+    both = ["distribution", "--trees", str(workspace / "draw*"), "--at", "10", "12", "--output", str(workspace / "dist-at"), "--bin-width", "500"]
+    main(both, spark)
+    assert bundles.open_bundle(spark, str(workspace / "dist-at")).digest("distribution") == made.digest("distribution")
+    (workspace / "where.txt").write_text("10\nnan\nx\n")
+    with pytest.raises(ValueError, match="2 values are not finite"):
+        main(["distribution", "--trees", str(workspace / "draw*"), "--positions", str(workspace / "where.txt"), "--output", str(workspace / "never"), "--bin-width", "500"], spark)
+
+
+def test_replicate_bundles_are_checked_on_load(spark):
+    from dataclasses import dataclass
+
+    from coeval.plans.controls import check_replicates
+
+    tables = {
+        "counts": spark.createDataFrame([(0, 0, 2), (1, 0, 1), (1, 1, 1)], "replicate INT, target_idx BIGINT, times BIGINT"),
+        "members": spark.createDataFrame([(0, 5), (0, 6), (1, 5), (1, 7)], "replicate INT, row_id BIGINT"),
+        "restarts": spark.createDataFrame([(0, 0, 3.0), (0, 1, 2.0), (1, 0, 1.0)], "replicate INT, restart INT, match_bootstrap DOUBLE"),
+    }
+    tables["replicates"] = tables["restarts"].where("replicate = 1 OR restart = 1")
+
+    @dataclass
+    class Made:
+        tables: dict
+
+        def table(self, name):
+            return self.tables[name]
+
+    check_replicates(Made(tables), 2)
+    broken = {
+        "counts": tables["counts"].where("target_idx = 0"), "members": tables["members"].where("row_id < 7"),
+        "replicates": tables["restarts"].where("restart = 0"),
+    }
+    for name, table in broken.items():
+        with pytest.raises(ValueError, match="of replicates"):
+            check_replicates(Made({**tables, name: table}), 2)
