@@ -154,7 +154,14 @@ def grid_changes(
 
 
 def accumulate(changes: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
-    """Changes to a dense (keys, bin, cdf) table.
+    """Changes to a dense (keys, bin, cdf) table."""
+    return lines(changes, grid, keys).select(
+        *keys, "bin", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value"))).alias("cdf")
+    )
+
+
+def lines(changes: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
+    """Changes to a dense (keys, bin, value) table, whatever the values are.
 
     Between two changes the CDF is one straight line, so each change expands to
     the bins up to the next one; no grid table is joined. A window group holds
@@ -175,10 +182,7 @@ def accumulate(changes: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
         "_slope",
         "_level",
     )
-    value = F.col("bin") * F.col("_slope") + F.col("_level")
-    return cells.select(
-        *keys, "bin", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("cdf")
-    )
+    return cells.select(*keys, "bin", (F.col("bin") * F.col("_slope") + F.col("_level")).alias("value"))
 
 
 def with_counts(intervals: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
@@ -36,15 +37,27 @@ from coeval.functions.rng import permutation_domain, permuted, uniform
 from coeval.operators import cdf
 from coeval.operators.ranks import dense_row_ids, ordinal_in_group, smallest_by_key
 from coeval.plans import replay
+from coeval.session import RunFolder
 
 # Workers get the block runner itself, so executors need no installed package.
 cloudpickle.register_pickle_by_value(replay)
 
 
+#: Drawn rows that are broadcast to the tables they are looked up in; more are shuffled.
+LOOKED_UP = 1_000_000
+#: About so many accepted swaps are followed on the exact grid by one task.
+PREFIX_SWAPS = 8192
+
+
+def looked_up(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for drawn rows, of which there are at most ``rows``: the tables they meet stay where they are."""
+    return F.broadcast(df) if rows <= LOOKED_UP else df
+
+
 @dataclass(frozen=True)
 class BlockConfig:
     block_slots: int = 1024
-    walk_proposals: int = 4096
+    walk_proposals: int = 65_536
 
     def validate(self) -> None:
         if self.block_slots <= 0 or self.walk_proposals <= 0:
@@ -159,45 +172,68 @@ def walk_round(
     """Swaps and tallies of one stretch of every job's walk.
 
     ``goals`` has (job, residual, limit, required). A proposal is drawn by its
-    number alone; its slot and its candidate are looked up by equal keys.
+    number alone; its slot and its candidate are looked up by equal keys. A
+    round's proposals are few beside the tables, so they travel to them: a round
+    shuffles what it drew and reads, but never moves, the pool, sets and profiles.
     """
     job = F.explode(F.array(*[F.lit(j) for j in jobs])).alias("job")
     draw = lambda name, n: F.least(F.floor(uniform(seed, tag, name, F.col("job"), F.col("ord")) * n), F.lit(n - 1)).cast("bigint")
     drawn = state.sparkSession.range(proposals).select(F.col("id").alias("ord"), job)
     drawn = drawn.withColumns({"slot": draw("slot", size), "idx": draw("candidate", pool_size)})
-    held = state.where(F.col("job").isin(jobs)).select("job", "row_id", F.lit(True).alias("held"))
-    offers = drawn.join(pool, "idx").join(held, ["job", "row_id"], "left").select(
+    most = proposals * len(jobs)
+    placed = looked_up(drawn, most).join(pool, "idx")
+    mine = state.where(F.col("job").isin(jobs))
+    held = mine.join(looked_up(placed.select("job", "row_id"), most), ["job", "row_id"], "left_semi").withColumn("held", F.lit(True))
+    offers = placed.join(looked_up(held.select("job", "row_id", "held"), most), ["job", "row_id"], "left").select(
         "job", F.lit(replay.OFFER).alias("kind"), F.col("ord").cast("double").alias("ord"), "slot", "row_id", F.coalesce("held", F.lit(False)).alias("inside")
     )
-    slots = state.join(drawn.select("job", "slot").distinct(), ["job", "slot"]).select(
+    slots = mine.join(looked_up(drawn.select("job", "slot"), most), ["job", "slot"], "left_semi").select(
         "job", F.lit(replay.SLOT).alias("kind"), F.lit(0.0).alias("ord"), "slot", "row_id", F.lit(True).alias("inside")
     )
     spread = goals.select(F.col("job").alias("goal_job"), "residual", "limit", "required", F.lit(size).alias("size"))
     return (
-        slots.unionByName(offers).join(profiles, "row_id")
+        looked_up(slots.unionByName(offers), 2 * most).join(profiles, "row_id")
         .groupBy("job")
         .cogroup(spread.groupBy("goal_job"))
         .applyInPandas(replay.walk_runner(grid.width), schema=replay.OUTPUT)
     )
 
 
-def shortest_prefix(swaps: DataFrame, profiles: DataFrame, goals: DataFrame, grid: Grid, size: int) -> DataFrame:
+def shortest_prefix(
+    swaps: DataFrame, count: int, profiles: DataFrame, goals: DataFrame, grid: Grid, size: int, config: BlockConfig, run: RunFolder, tag: str
+) -> DataFrame:
     """Of each job's accepted swaps in turn, those up to the first that brings it within its limit.
 
-    ``goals`` has (job, residual, limit) on the exact grid, before the round. A
-    task holds one job's swaps of the round.
+    ``goals`` has (job, residual, limit) on the exact grid, before the round;
+    ``count`` is the number of swaps. Turns are cut into stretches, each followed
+    by a task of its own from the residual that all earlier ones leave, so a
+    task's share does not grow with the set.
     """
+    turns = max(1, PREFIX_SWAPS // max(1, math.ceil(size / config.block_slots)))
     both = swaps.where("slot >= 0").select(
-        "job", "block", "slot", "turn",
+        "job", F.floor(F.col("turn") / turns).cast("int").alias("part"), "block", "slot", "turn",
         F.explode(F.array(F.struct(F.lit(replay.SLOT).alias("kind"), F.col("old_id").alias("row_id")), F.struct(F.lit(replay.OFFER).alias("kind"), "row_id"))).alias("x"),
     )
-    spread = goals.select(F.col("job").alias("goal_job"), "residual", "limit", F.lit(size).alias("size"))
-    return (
-        both.select("job", "block", "slot", "turn", "x.*").join(profiles, "row_id")
-        .groupBy("job")
-        .cogroup(spread.groupBy("goal_job"))
-        .applyInPandas(replay.prefix_runner(grid.width), schema=replay.OUTPUT)
+    moved = run.table(f"{tag}/moved", looked_up(both.select("job", "part", "block", "slot", "turn", "x.*"), 2 * count).join(profiles, "row_id"))
+    sign = F.when(F.col("kind") == replay.OFFER, 1.0).otherwise(-1.0) / size
+    names = ("slope", "intercept", "complete")
+    steps = moved.select("job", "part", sign.alias("sign"), F.explode(F.arrays_zip("bins", "slopes", "intercepts", "completes")).alias("c"))
+    summed = steps.groupBy("job", "part", F.col("c.bins").alias("bin")).agg(*[F.sum(F.col(f"c.{n}s") * F.col("sign")).alias(n) for n in names])
+    earlier = W.partitionBy("job", "bin").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = cdf.lines(summed, grid, ["job", "part"]).withColumn("before", F.coalesce(F.sum("value").over(earlier), F.lit(0.0)))
+    gaps = before.groupBy("job", "part").agg(F.array_sort(F.collect_list(F.struct("bin", "before"))).alias("b"))
+    spread = gaps.join(goals.select("job", "residual", "limit"), "job").select(
+        F.col("job").alias("goal_job"), F.col("part").alias("goal_part"),
+        F.zip_with("residual", F.col("b.before"), lambda r, b: r + b).alias("residual"), "limit", F.lit(size).alias("size"),
+    )
+    followed = run.table(
+        f"{tag}/followed",
+        moved.groupBy("job", "part").cogroup(spread.groupBy("goal_job", "goal_part"))
+        .applyInPandas(replay.prefix_runner(grid.width), schema=replay.OUTPUT),
     )
+    ends = followed.where("slot < 0 AND tried > 0").groupBy("job").agg(F.min("block").alias("end"))
+    # A row a job.
+    return followed.join(F.broadcast(ends), "job", "left").where("end IS NULL OR block <= end").drop("end")
 
 
 def tallies(swaps: DataFrame) -> dict[int, tuple[int, int, int]]:

@@ -106,10 +106,12 @@ def walk_runner(width: float):
 
 
 def prefix_runner(width: float):
-    """Function for one job's accepted swaps of a round: (items, goal) to the swaps that stay.
+    """Function for a stretch of a job's accepted swaps: (items, goal) to the swaps that stay.
 
     Swaps are applied in turn to the exact residual. From the first prefix that
-    is within the limit on, the rest is left out; without one all stay.
+    is within the limit on, the rest is left out; without one all stay. The
+    stretch's number comes back as the block, and ``tried`` says whether it got
+    within the limit.
     """
 
     def run(items: pd.DataFrame, goal: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +128,8 @@ def prefix_runner(width: float):
             gap += (_curve_of(new, size) - _curve_of(old, size)) / n
             kept.append((new.slot, new.row_id, old.row_id))
             within = np.abs(gap[:-1]).sum() * width <= limit
-        return _result(int(items["job"].iloc[0]), 0, kept, len(kept), 0)
+        part = int(items["part"].iloc[0]) if "part" in items else 0
+        return _result(int(items["job"].iloc[0]), part, kept, len(kept), int(within))
 
     return run
 

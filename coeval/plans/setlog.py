@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid
 from coeval.operators import cdf
+from coeval.plans.blocks import looked_up
 from coeval.session import RunFolder
 
 #: Log entries, and their swaps over the base's slots, at which the base is written anew.
@@ -68,10 +69,15 @@ class SetLog:
         return base.join(latest, ["job", "slot"], "left").select("job", "slot", F.coalesce("_new", "row_id").alias("row_id"))
 
 
-def moved_changes(swaps: DataFrame, changes: DataFrame, size: int) -> DataFrame:
-    """(job, bin, slope, intercept, complete): what swaps (job, slot, row_id, old_id) add to their sets' mean changes."""
+def moved_changes(swaps: DataFrame, changes: DataFrame, size: int, count: int | None = None) -> DataFrame:
+    """(job, bin, slope, intercept, complete): what swaps (job, slot, row_id, old_id) add to their sets' mean changes.
+
+    A known small ``count`` of swaps is broadcast, so the changes are read where they lie.
+    """
     signed = F.explode(F.array(F.struct(F.col("row_id"), F.lit(1.0).alias("_sign")), F.struct(F.col("old_id").alias("row_id"), F.lit(-1.0).alias("_sign"))))
     rows = swaps.where("slot >= 0").select("job", signed.alias("x")).select("job", "x.*")
+    if count is not None:
+        rows = looked_up(rows, 2 * count)
     return rows.join(changes, "row_id").groupBy("job", "bin").agg(*[(F.sum(F.col(c) * F.col("_sign")) / size).alias(c) for c in NAMES])
 
 
@@ -82,10 +88,10 @@ class RunningCdfs:
         self.run, self.name, self.changes, self.grid, self.size, self.step = run, name, changes, grid, size, 0
         self.sums = run.table(f"{name}-0", cdf.set_changes(sets.select("job", "row_id"), changes, ["job"]).select("job", "bin", *NAMES))
 
-    def advance(self, swaps: DataFrame) -> None:
-        """Follow a round's written swaps (job, slot, row_id, old_id)."""
+    def advance(self, swaps: DataFrame, count: int | None = None) -> None:
+        """Follow a round's ``count`` written swaps (job, slot, row_id, old_id)."""
         self.step += 1
-        both = self.sums.unionByName(moved_changes(swaps, self.changes, self.size))
+        both = self.sums.unionByName(moved_changes(swaps, self.changes, self.size, count))
         self.sums = self.run.table(f"{self.name}-{self.step}", both.groupBy("job", "bin").agg(*[F.sum(c).alias(c) for c in NAMES]))
 
     def cdfs(self, jobs: list[int] | None = None) -> DataFrame:

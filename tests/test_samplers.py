@@ -296,6 +296,45 @@ def test_swaps_end_with_the_first_that_suffices():
         assert list(out[out.slot >= 0].old_id) == list(range(kept)) and out[out.slot < 0].accepted.iloc[0] == kept
 
 
+def test_stretches_of_swaps_end_where_one_task_would(spark, monkeypatch):
+    rnd, bins, size = random.Random(5), 10, 12
+    run, grid = RunFolder(spark), Grid(1.0, bins)
+    shapes = [(i, *[list(map(float, a)) if n else list(map(int, a)) for n, a in enumerate(_profile(rnd, bins))]) for i in range(2 * size)]
+    profiles = spark.createDataFrame(shapes, "row_id BIGINT, bins ARRAY<INT>, slopes ARRAY<DOUBLE>, intercepts ARRAY<DOUBLE>, completes ARRAY<DOUBLE>")
+    curves = [replay.curve(*s[1:], bins) for s in shapes]
+    rows = [(0, t % 3, t, size + t, t, t // 3) for t in range(size)]
+    swaps = spark.createDataFrame(rows, "job INT, block INT, slot BIGINT, row_id BIGINT, old_id BIGINT, turn BIGINT")
+    gaps = [np.mean(curves[:size], axis=0) - np.linspace(0.1, 1, bins)]
+    for t in range(size):
+        gaps.append(gaps[-1] + (curves[size + t] - curves[t]) / size)
+    far = [np.abs(g[:-1]).sum() for g in gaps]
+    monkeypatch.setattr(blocks, "PREFIX_SWAPS", 1)
+    for at, limit in enumerate([*sorted(far)[:3], 0.0]):
+        if far[0] <= limit + 1e-9:
+            continue
+        goals = spark.createDataFrame([(0, [float(x) for x in gaps[0]], float(limit + 1e-9))], "job INT, residual ARRAY<DOUBLE>, limit DOUBLE")
+        got = blocks.shortest_prefix(swaps, size, profiles, goals, grid, size, blocks.BlockConfig(12), run, f"cut-{at}").collect()
+        kept = next((k for k, d in enumerate(far) if d <= limit + 1e-9), size)
+        assert sorted(r["slot"] for r in got if r["slot"] >= 0) == list(range(kept))
+        assert sum(r["accepted"] for r in got if r["slot"] < 0) == kept
+        assert {r["block"] for r in got} == set(range(-(-kept // 3)))
+
+
+def test_a_walk_round_moves_no_table(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = spark.range(50).selectExpr("0 AS job", "id AS slot", "id AS row_id")
+        pool = spark.range(100).selectExpr("id AS idx", "id AS row_id")
+        profiles = spark.range(100).selectExpr("id AS row_id", "array(0) AS bins", "array(0D) AS slopes", "array(0D) AS intercepts", "array(1D) AS completes")
+        goals = spark.createDataFrame([(0, [0.0, 0.0], 1.0, 5)], "job INT, residual ARRAY<DOUBLE>, limit DOUBLE, required INT")
+        swaps = blocks.walk_round(state, pool, 100, profiles, goals, Grid(1.0, 2), [0], 50, 3, "t", 64)
+        assert "SortMergeJoin" not in swaps._jdf.queryExecution().executedPlan().toString()
+        assert sum(r["accepted"] for r in swaps.collect()) == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_chain_near_its_threshold_stops_within_an_epoch(spark, store):
     facts, _, _, pool, oldest, target = store
     wide = dataclasses.replace(target, threshold=2.0 * target.threshold)
