@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from coeval.functions.age import Grid, nearest_bin
 from coeval.operators import cdf, density
+from coeval.session import RunFolder
 from workload import views as v
 from workload.registry import register
 from workload.views import settle, settle_sql, with_views
@@ -369,7 +370,8 @@ def accessory_distribution(spark, folder):
     from coeval.plans.distribution import estimate_distributions
     from workload.coverage import _tree_intervals
 
-    aged = _tree_intervals(spark, folder)
+    # Counts, bins and densities all read them, so the parents are looked up once.
+    aged = RunFolder(spark).table("aged", _tree_intervals(spark, folder).select("position", "draw_id", "below", "above"))
     oldest = aged.agg(F.max("above")).first()[0]
     result = estimate_distributions(aged, Grid.spanning(oldest, 40000.0), draws=5)
     return result.withColumn("probability", settle(F.col("probability"), 7))
