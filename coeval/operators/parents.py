@@ -130,15 +130,19 @@ def parent_audit(
         F.col("parent").alias("direct_parent"),
         F.explode(F.sequence(first, final)).alias("_tile"),
     )
-    points = mutations.select(*point).distinct()
-    direct = (
-        points.withColumn("_tile", F.floor(F.col("position") / tile))
-        .join(spans, ["draw_id", "node_id", "_tile"])
-        .where((F.col("_left") <= F.col("position")) & (F.col("position") < F.col("_right")))
-        .select(*point, "direct_parent")
-    )
-    return (
-        points.join(direct, point, "left")
-        .join(looked_up.select(*point, "parent").distinct(), point, "left")
-        .where(~F.col("parent").eqNullSafe(F.col("direct_parent")))
+    nothing = F.lit(None).cast(looked_up.schema["parent"].dataType)
+    both = mutations.select(*point, nothing.alias("parent"), F.lit(0).alias("_seen")).unionByName(
+        looked_up.select(*point, "parent", F.lit(1).alias("_seen"))
     )
+    # A point once, with all that was looked up for it.
+    points = both.groupBy(*point).agg(
+        F.min("parent").alias("parent"), F.max("parent").alias("_most"),
+        (F.count("parent") == F.sum("_seen")).alias("_whole"), F.sum("_seen").alias("_seen"), F.max(1 - F.col("_seen")).alias("_wanted"),
+    ).where("_wanted = 1")
+    tiled = points.withColumn("_tile", F.floor(F.col("position") / tile)).alias("p")
+    on = [F.col(f"p.{c}") == F.col(f"s.{c}") for c in ("draw_id", "node_id", "_tile")]
+    covered = (F.col("s._left") <= F.col("p.position")) & (F.col("p.position") < F.col("s._right"))
+    joined = tiled.join(spans.alias("s"), [*on, covered], "left").select("p.*", "s.direct_parent")
+    same = F.col("parent").eqNullSafe(F.col("direct_parent")) & F.col("_most").eqNullSafe(F.col("direct_parent"))
+    whole = (F.col("_seen") == 0) | F.col("_whole") | F.col("direct_parent").isNull()
+    return joined.where(~(same & whole)).select(*point, "parent", "direct_parent")
