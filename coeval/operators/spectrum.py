@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coeval.functions.hypergeom import PROJECTION_SIZE, projection_mass
+from coeval.session import RunFolder
 
 
 def callable_sites(counts: DataFrame, m: int = PROJECTION_SIZE) -> DataFrame:
@@ -41,7 +42,8 @@ def accumulate_spectra(
     """
     joined = members.join(counts.select(*on, "k", "n"), on, "left")
     enough = F.col("n") >= m
-    tallied = joined.groupBy(*keys, "k", "n").agg(F.count("*").alias("_times"))
+    # Three plans read the tallies, of which there are few, so they are written.
+    tallied = RunFolder(members.sparkSession).table("tallied", joined.groupBy(*keys, "k", "n").agg(F.count("*").alias("_times")))
     totals = tallied.groupBy(*keys).agg(
         F.sum("_times").alias("input_sites"),
         F.coalesce(F.sum(F.when(enough, F.col("_times"))), F.lit(0)).alias("eligible_sites"),
