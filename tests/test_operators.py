@@ -149,6 +149,43 @@ def test_parent_lookup_matches_brute_force(spark):
     assert got == expected
 
 
+def test_parent_audit_finds_every_wrong_answer(spark):
+    edges = spark.createDataFrame([(0, 0.0, 5.0, 7, 1), (0, 5.0, 90.0, 8, 1)], "draw_id INT, `left` DOUBLE, `right` DOUBLE, parent BIGINT, child BIGINT")
+    mutations = spark.createDataFrame([(0, 1, p) for p in (1, 1, 4, 5, 80, 95, 96, 60)], "draw_id INT, node_id BIGINT, position BIGINT")
+    right = parents.mutation_parents(mutations, edges, 8)
+    assert parents.parent_audit(mutations, edges, right, 8).count() == 0
+    # One of two answers wrong, one null, one missing, one given where there is none, one for a point nobody asked for.
+    spoiled = spark.createDataFrame([(0, 1, 1, 7), (0, 1, 1, 9), (0, 1, 4, None), (0, 1, 80, 8), (0, 1, 95, 8), (0, 1, 96, None), (0, 1, 60, 8), (0, 1, 60, 8), (0, 1, 2, 9)], "draw_id INT, node_id BIGINT, position BIGINT, parent BIGINT")
+    assert rows(parents.parent_audit(mutations, edges, spoiled, 8), "position", "direct_parent") == [(1, 7), (4, 7), (5, 8), (95, None)]
+
+
+def test_pairs_are_tallied_once(spark):
+    members = spark.createDataFrame([(0, 1), (0, 2)], "set_id INT, row_id BIGINT")
+    counts = spark.createDataFrame([(1, 5, 30), (2, 5, 30)], "row_id BIGINT, k BIGINT, n BIGINT")
+    spectra, _ = spectrum.accumulate_spectra(members, counts, ["set_id"], ["row_id"])
+    assert "Join LeftOuter" not in spectra._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffles_follow_the_input(spark):
+    from coeval.session import SHUFFLE_BYTES, SHUFFLE_ROWS, fit_shuffles
+
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    held = {n: spark.conf.get(n) for n in names}
+    try:
+        fit_shuffles(spark, 10)
+        assert spark.conf.get(names[0]) == held[names[0]] and int(spark.conf.get(names[1]).rstrip("b")) == SHUFFLE_BYTES
+        fit_shuffles(spark, 90 * SHUFFLE_ROWS + 1)
+        assert spark.conf.get(names[0]) == "91"
+        fit_shuffles(spark, 10)
+        assert spark.conf.get(names[0]) == "91"
+        spark.conf.set(names[1], "1m")
+        fit_shuffles(spark, 10)
+        assert spark.conf.get(names[1]) == "1m"
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+
+
 def test_two_draw_store(spark):
     from coeval.plans.interval_store import check_inputs, interval_store_tables
     from coeval.session import RunFolder
