@@ -499,3 +499,13 @@ def test_replacement(spark):
     current = spark.createDataFrame([(0, r) for r in (1, 2, 5, 6)], "s INT, row_id BIGINT")
     reference = spark.createDataFrame([(0, r) for r in (1, 2, 3, 4)], "s INT, row_id BIGINT")
     assert diversity.replacement_fraction(current, reference, ["s"]).first()["replacement"] == 0.5
+
+
+def test_quality_flags_of_prices_that_are_no_numbers(spark, tmp_path):
+    from workload.matching import quality_flags
+
+    prices = [float("nan"), float("inf"), float("-inf"), 1e300, -10.5, 1500.5, None]
+    spark.createDataFrame([(i, 1, p) for i, p in enumerate(prices)], "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE").write.parquet(f"{tmp_path}/orders.parquet")
+    got = rows(quality_flags(spark, str(tmp_path)), "id", "error_ratio", "qc_pass")
+    assert np.isnan(got[0][1]) and got[0][2] is False
+    assert got[1:] == [(1, float("inf"), False), (2, float("-inf"), True), (3, 1e300 / 1000.0, False), (4, -1.0, True), (5, 1.0, False), (6, None, None)]

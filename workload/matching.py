@@ -376,10 +376,13 @@ def first_state(spark, folder):
 )
 def quality_flags(spark, folder):
     """Matching error over bootstrap distance, zero distances included."""
+    price = F.col("o_totalprice") / 1000.0
+    # floor() makes a bigint: NaN would become 0 and pass, and what is beyond 2^53 is whole already.
+    whole = F.when(F.abs(price) < float(2**53), F.floor(price).cast("double")).otherwise(price)
     rows = v.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("id"),
         (F.col("o_custkey") % 5).cast("double").alias("bootstrap_distance"),
-        F.floor(F.col("o_totalprice") / 1000.0).cast("double").alias("match_bootstrap"),
+        whole.alias("match_bootstrap"),
     )
     flagged = matcher.with_quality(rows, matcher.OptimizerConfig())
     return flagged.select("id", "error_ratio", "qc_pass")
