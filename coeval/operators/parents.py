@@ -16,10 +16,14 @@ from coeval.operators.ranks import POSITION_TILE
 KEY = ["draw_id", "child"]
 
 
-def parent_at(edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE) -> DataFrame:
+def parent_at(
+    edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE, times: str | None = None, own: DataFrame | None = None
+) -> DataFrame:
     """As-of join of distinct (draw_id, child, pos) points onto edges.
 
-    Returns every point with ``parent``, NULL where no edge covers it.
+    Returns every point with ``parent``, NULL where no edge covers it. A point's
+    column ``times`` is passed on. ``own`` has one row (draw_id, child, below) a
+    child; its ``below`` comes with the tile, so points are not joined with it.
 
     A child can own any share of the edges and points, so its span is cut into
     position tiles and the window runs per tile. Each tile also needs the last
@@ -27,11 +31,12 @@ def parent_at(edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE)
     a window over tiles only. Every point and edge is shuffled once, and a
     child's edge is never copied into the tiles it spans.
     """
+    extra = [times] if times else []
     tile_of = lambda c: F.floor(c / F.lit(float(tile))).cast("bigint")
     edge = F.struct(F.col("right").alias("right"), F.col("parent").alias("parent"))
     cut_edges = edges.select(*KEY, tile_of(F.col("left")).alias("tile"), "left", edge.alias("edge"))
     cut_points = points.select(
-        *KEY, tile_of(F.col("pos")).alias("tile"), F.col("pos").cast("double").alias("pos")
+        *KEY, tile_of(F.col("pos")).alias("tile"), F.col("pos").cast("double").alias("pos"), *extra
     )
 
     last_in_tile = cut_edges.groupBy(*KEY, "tile").agg(F.max_by("edge", "left").alias("edge"))
@@ -42,7 +47,7 @@ def parent_at(edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE)
     earlier = W.partitionBy(*KEY).orderBy("tile").rangeBetween(W.unboundedPreceding, -1)
     carry = (
         tiles.withColumn("carried", F.last("edge", ignorenulls=True).over(earlier))
-        .where(F.col("edge").isNull() & F.col("carried").isNotNull())
+        .where(F.col("edge").isNull() & (F.col("carried").isNotNull() | F.lit(own is not None)))
         .select(
             *KEY,
             "tile",
@@ -51,9 +56,12 @@ def parent_at(edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE)
             F.col("carried").alias("edge"),
         )
     )
+    if own is not None:
+        carry = carry.join(own, KEY, "left")
     stream = (
         carry.unionByName(
-            cut_edges.select(*KEY, "tile", F.col("left").alias("at"), F.lit(1).alias("kind"), "edge")
+            cut_edges.select(*KEY, "tile", F.col("left").alias("at"), F.lit(1).alias("kind"), "edge"),
+            allowMissingColumns=True,
         )
         .unionByName(
             cut_points.select(
@@ -62,7 +70,9 @@ def parent_at(edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE)
                 F.col("pos").alias("at"),
                 F.lit(2).alias("kind"),
                 F.lit(None).cast(last_in_tile.schema["edge"].dataType).alias("edge"),
-            )
+                *extra,
+            ),
+            allowMissingColumns=True,
         )
     )
     so_far = (
@@ -71,10 +81,15 @@ def parent_at(edges: DataFrame, points: DataFrame, tile: float = POSITION_TILE)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     covering = stream.withColumn("found", F.last("edge", ignorenulls=True).over(so_far))
+    if own is not None:
+        # The tile's own row is its first.
+        covering = covering.withColumn("below", F.first("below").over(so_far))
+        extra = [*extra, "below"]
     covered = F.col("at") < F.col("found.right")
     return covering.where(F.col("kind") == 2).select(
         *KEY,
         F.col("at").alias("pos"),
+        *extra,
         F.when(covered, F.col("found.parent")).alias("parent"),
     )
 
@@ -101,6 +116,22 @@ def mutation_parents(
     return keyed.join(found, ["draw_id", "node_id", "_pos"], "left").drop("_pos")
 
 
+def interval_counts(mutations: DataFrame, edges: DataFrame, nodes: DataFrame, tile: float = POSITION_TILE) -> DataFrame:
+    """(draw_id, below, above, times): the usable intervals of mutations, repeats of a point as one row.
+
+    What ``with_ages`` gives with ``above``, for aggregates that need neither
+    the mutation nor its place: edges bring their parent's age, tiles their
+    child's and points their number, so mutations are not joined back.
+    """
+    point = ["draw_id", F.col("node_id").alias("child"), F.col("position").cast("double").alias("pos")]
+    points = mutations.dropna(subset=["draw_id", "node_id"]).groupBy(*point).agg(F.count("*").alias("times"))
+    older = nodes.select("draw_id", F.col("node_id").alias("parent"), F.col("time").alias("above"))
+    aged = edges.join(older, ["draw_id", "parent"], "left").drop("parent").withColumnRenamed("above", "parent")
+    own = nodes.select("draw_id", F.col("node_id").alias("child"), F.col("time").alias("below"))
+    found = parent_at(aged, points, tile, "times", own).where("parent IS NOT NULL")
+    return found.select("draw_id", "below", F.col("parent").alias("above"), "times")
+
+
 def with_ages(mutations: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add ``below`` and ``above``: the ages of the node and of its parent."""
     child = nodes.select("draw_id", "node_id", F.col("time").alias("below"))

@@ -509,3 +509,22 @@ def test_quality_flags_of_prices_that_are_no_numbers(spark, tmp_path):
     got = rows(quality_flags(spark, str(tmp_path)), "id", "error_ratio", "qc_pass")
     assert np.isnan(got[0][1]) and got[0][2] is False
     assert got[1:] == [(1, float("inf"), False), (2, float("-inf"), True), (3, 1e300 / 1000.0, False), (4, -1.0, True), (5, 1.0, False), (6, None, None)]
+
+
+def test_interval_counts_equal_the_joined_intervals(spark):
+    rng = random.Random(5)
+    edges, nodes, mutations = [], [(0, 100 + i, 50.0 + i) for i in range(40)], []
+    for child in range(6):
+        cuts = sorted({16.0 * rng.randint(0, 6), *(rng.randint(0, 120) / 2 for _ in range(6))})
+        edges += [(0, child, a, b if rng.random() < 0.7 else (a + b) / 2, 100 + rng.randint(0, 45)) for a, b in zip(cuts, cuts[1:])]
+        nodes += [(0, child, float(child))] * (child < 5)
+        mutations += [(0, child, rng.randint(-5, 70)) for _ in range(30)] + [(0, child, 16)] * 3
+    mutations += [(0, None, 20), (1, 0, 20)]
+    e = spark.createDataFrame(edges + [(0, None, 0.0, 90.0, 101)], "draw_id INT, child BIGINT, left DOUBLE, right DOUBLE, parent BIGINT")
+    n = spark.createDataFrame(nodes, "draw_id INT, node_id BIGINT, time DOUBLE")
+    m = spark.createDataFrame(mutations, "draw_id INT, node_id BIGINT, position BIGINT")
+    joined = parents.with_ages(parents.mutation_parents(m, e, 16), n).where("above IS NOT NULL")
+    want = joined.groupBy("draw_id", "below", "above").count()
+    got = parents.interval_counts(m, e, n, 16).groupBy("draw_id", "below", "above").agg(F.sum("times"))
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key) and want.count() > 20

@@ -115,10 +115,12 @@ def eligible(spark, folder):
 def interval_problems(spark, folder):
     from coeval.plans.validation import interval_problem
 
-    usable = _tree_intervals(spark, folder).where("above IS NOT NULL")
+    mutations = v.tree_mutations(spark, folder).withColumn("position", F.col("site_id"))
+    usable = parents.interval_counts(mutations, v.tree_edges(spark, folder), v.tree_nodes(spark, folder), tile=512)
+    broken = interval_problem(F.col("below"), F.col("above")).isNotNull()
     return usable.groupBy("draw_id").agg(
-        F.count("*").alias("intervals"),
-        F.count_if(interval_problem(F.col("below"), F.col("above")).isNotNull()).alias("problems"),
+        F.sum("times").alias("intervals"),
+        F.sum(F.when(broken, F.col("times")).otherwise(0)).alias("problems"),
     )
 
 

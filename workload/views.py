@@ -227,7 +227,7 @@ def tree_draws(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@stored("tree-nodes", "draw_id", "node_id")
+@stored("tree-nodes")
 def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Customers are young nodes; orders are their older parents."""
     owners = tree_draws(spark, folder)
@@ -247,7 +247,7 @@ def tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return young.unionByName(old)
 
 
-@stored("tree-edges", "draw_id", "child", "left")
+@stored("tree-edges")
 def tree_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Each order reigns from its date to the customer's next order.
 
@@ -273,17 +273,17 @@ def tree_edges(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@stored("tree-mutations", "draw_id", "site_id", "node_id")
+@stored("tree-mutations")
 def tree_mutations(spark: SparkSession, folder: str) -> DataFrame:
     """A line item mutates the customer's node at its ship date."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("node_id")
     )
-    owners = tree_draws(spark, folder).select("node_id", "draw_id")
+    # Orders meet their owners first, so the longest table is joined once.
+    owned = orders.join(tree_draws(spark, folder).select("node_id", "draw_id"), "node_id")
     return (
         table(spark, folder, "lineitem")
-        .join(orders, "l_orderkey")
-        .join(owners, "node_id")
+        .join(owned, "l_orderkey")
         .select(
             "draw_id",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mutation_id"),
